@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.plans import scan as S
+from cutline.plans.stage import stage
 
 MS = 1_000
 KEY = ["asset_id"]
@@ -122,6 +123,7 @@ def _ranges_and_points(
 
 
 def _scan_points(both: DataFrame, **ops: S.Op) -> DataFrame:
+    """Run over ranges and points together, keep the points."""
     flat = both.withColumn("pt_id", F.col("pt.sample_id"))
     return S.Scan(flat, KEY, ["pos", "side", "pt_id"]).run(**ops).df.where("pt is not null")
 
@@ -166,7 +168,7 @@ def from_output_time(
     last range's end is used.  Assets without any range map to their `in_us` when
     `assets` is given, else to 0.
     """
-    ranges = accumulate(keep)
+    ranges = stage(accumulate(keep), "ranges")
     start = F.when(F.col("acc_us") == 0, F.lit(_FIRST)).otherwise(F.col("acc_us"))
     both = _ranges_and_points(ranges, points, start, F.col("o_us"), False)
     hit = _scan_points(both, hit=S.last_value(F.col("rng")))
@@ -229,6 +231,7 @@ def snap_to_kept(
         )
         .where("to_us > from_us")
     )
+    pieces = stage(pieces, "pieces")
     both = _ranges_and_points(pieces, points, F.col("from_us"), F.col("t_us"), True)
     hit = _scan_points(both, hit=S.last_value(F.col("rng")))
     inside = F.when(F.col("t_us") < F.col("hit.to_us"), F.col("hit.end_us"))
@@ -287,7 +290,7 @@ def segment_timeline(assets: DataFrame, cuts: DataFrame) -> DataFrame:
 def kept_samples(samples: DataFrame, assets: DataFrame, cuts: DataFrame) -> DataFrame:
     """Samples that survive trim and cuts, with their compacted time."""
     return (
-        to_output_time(samples, keep_ranges(assets, cuts))
+        to_output_time(samples, stage(keep_ranges(assets, cuts), "keep"))
         .where("kept")
         .drop("kept")
     )

@@ -136,7 +136,7 @@ def ticks_to_us(samples: DataFrame) -> DataFrame:
 
 def estimate_fps(samples: DataFrame) -> DataFrame:
     """Samples per second of each track: count over span plus the last duration."""
-    span = F.max("t_us") - F.min("t_us") + F.coalesce(F.max_by("dur_us", "t_us"), F.lit(0))
+    span = F.max("t_us") - F.min("t_us") + F.coalesce(F.max_by("dur_us", F.struct("t_us", "sample_id")), F.lit(0))
     out = samples.groupBy("asset_id", "track").agg(
         F.count("*").alias("nb_samples"), span.alias("span_us")
     )

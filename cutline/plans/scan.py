@@ -77,34 +77,38 @@ def rows_per_chunk(df: DataFrame) -> int:
 
 def split_points(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sorted split points per key; at most MAX_SPLITS points over all keys."""
-    modulus = rows_per_chunk(df)
+    names = [*key, *order]
     picked = (
-        df.select(*key, *order, F.xxhash64(*key, *order).alias("__h"))
-        .where(F.pmod(F.col("__h"), F.lit(modulus)) == 0)
-        .orderBy("__h", *key, *order)
+        df.selectExpr(*names, f"xxhash64({', '.join(names)}) as __h")
+        .where(f"pmod(__h, {rows_per_chunk(df)}) = 0")
+        .orderBy("__h", *names)
         .limit(MAX_SPLITS)
     )
     return picked.groupBy(*key).agg(
-        F.array_sort(F.collect_set(F.struct(*order))).alias(_SPLITS)
+        F.expr(f"array_sort(collect_set(struct({', '.join(order)}))) as {_SPLITS}")
     )
 
 
-def _chunk_of(splits: Column, position: Column) -> Column:
-    """Number of split points at or before `position`, by binary search."""
+def _chunk_of(order: Sequence[str]) -> Column:
+    """Number of split points at or before the row, by binary search."""
+    rounds = ", ".join(["0"] * (MAX_SPLITS.bit_length() + 1))
+    right = f"acc.lo < acc.hi and get({_SPLITS}, (acc.lo + acc.hi) div 2) <= __at"
+    return F.expr(
+        f"""case when {_SPLITS} is null then 0 else aggregate(array({rounds}),
+            struct(0 as lo, size({_SPLITS}) as hi),
+            (acc, i) -> struct(
+                cast(if({right}, (acc.lo + acc.hi) div 2 + 1, acc.lo) as int) as lo,
+                cast(if(acc.lo < acc.hi and not ({right}), (acc.lo + acc.hi) div 2, acc.hi)
+                    as int) as hi),
+            acc -> acc.lo) end""".replace("__at", f"struct({', '.join(order)})")
+    )
 
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc.lo + acc.hi) / 2).cast("int")
-        open_ = acc.lo < acc.hi
-        right = open_ & (F.get(splits, mid) <= position)
-        return F.struct(
-            F.when(right, mid + 1).otherwise(acc.lo).alias("lo"),
-            F.when(open_ & ~right, mid).otherwise(acc.hi).alias("hi"),
-        )
 
-    rounds = F.array(*[F.lit(i) for i in range(MAX_SPLITS.bit_length() + 1)])
-    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
-    found = F.aggregate(rounds, start, step, lambda acc: acc.lo)
-    return F.when(splits.isNull(), F.lit(0)).otherwise(found)
+def _joined(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], split_source: DataFrame | None
+) -> DataFrame:
+    points = split_points(split_source if split_source is not None else df, key, order)
+    return df.join(F.broadcast(points), list(key), "left").withColumn(CHUNK, _chunk_of(order))
 
 
 def with_chunks(
@@ -112,13 +116,9 @@ def with_chunks(
     key: Sequence[str],
     order: Sequence[str],
     split_source: DataFrame | None = None,
-    how: str = "left",
 ) -> DataFrame:
-    """Add the chunk number; how="inner" keeps only keys that were split."""
-    points = split_points(split_source if split_source is not None else df, key, order)
-    joined = df.join(F.broadcast(points), list(key), how)
-    position = F.struct(*order)
-    return joined.withColumn(CHUNK, _chunk_of(F.col(_SPLITS), position)).drop(_SPLITS)
+    """Add the chunk number of each row; keys without split points have one chunk."""
+    return _joined(df, key, order, split_source).drop(_SPLITS)
 
 
 class Scan:
@@ -132,8 +132,9 @@ class Scan:
         split_source: DataFrame | None = None,
     ):
         self.key, self.order = list(key), list(order)
-        self._all = with_chunks(df, self.key, self.order, split_source)
-        self._hot = with_chunks(df, self.key, self.order, split_source, "inner")
+        rows = _joined(df, self.key, self.order, split_source)
+        self._all = rows.drop(_SPLITS)
+        self._hot = rows.where(f"{_SPLITS} is not null").drop(_SPLITS)
 
     def _copy(self, all_rows: DataFrame, hot_rows: DataFrame) -> "Scan":
         out = object.__new__(Scan)

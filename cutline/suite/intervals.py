@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixtures as X
 from cutline.operators import intervals as B
+from cutline.plans.stage import stage
 
 SAMPLE = ["asset_id", "sample_id", "t_us"]
 
@@ -30,10 +31,11 @@ def _floored(spark, sf):
 
 
 def _b6(spark, sf, empty):
-    keep = _keep(spark, sf)
+    keep = stage(_keep(spark, sf), "keep")
     at = B.to_output_time(_slim(spark, sf), keep).select(
         "asset_id", "sample_id", F.col("out_us").alias("o_us")
     )
+    at = stage(at, "points")
     return B.from_output_time(at, keep, X.assets(spark, sf) if empty == "in" else None)
 
 
@@ -43,7 +45,7 @@ QUERIES = {
     "b3_keep_ranges": _keep,
     "b4_kept_duration": lambda s, d: B.kept_duration(X.assets(s, d), _keep(s, d)),
     "b4_floored_duration": _floored,
-    "b5_to_output_time": lambda s, d: B.to_output_time(_slim(s, d), _keep(s, d)),
+    "b5_to_output_time": lambda s, d: B.to_output_time(_slim(s, d), stage(_keep(s, d), "keep")),
     "b5_kept_samples": kept_samples,
     "b6_from_output_time": lambda s, d: _b6(s, d, "in"),
     "b7_drop_cut_samples": lambda s, d: B.drop_cut_samples(_slim(s, d), X.cuts(s, d)),
