@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["intervals", "sampling", "tone"]
+FAMILIES = ["intervals", "sampling", "tone", "deltas"]
 
 
 def _modules():
