@@ -153,7 +153,8 @@ def first_supported(requests: DataFrame, supports: DataFrame) -> DataFrame:
         .select(
             *requests.columns,
             F.col("hit.option").alias("option"),
-            F.element_at(F.array(*map(F.lit, ACCELS)), F.col("hit.accel_rank") + 1).alias("accel"),
+            F.when(F.col("hit.accel_rank") == 0, ACCELS[0])
+            .when(F.col("hit.accel_rank") == 1, ACCELS[1]).alias("accel"),
             F.when(F.col("hit").isNotNull(), "ok")
             .when(F.col("alt_hit").isNotNull(), F.concat(F.lit("switch to "), "alt_codec"))
             .otherwise("pick a smaller size").alias("advice"),

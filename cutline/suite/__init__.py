@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["intervals", "sampling", "tone", "deltas", "planning", "forms"]
+FAMILIES = ["intervals", "sampling", "tone", "deltas", "planning", "forms", "text"]
 
 
 def _modules():

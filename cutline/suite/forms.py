@@ -227,9 +227,9 @@ ORACLE = {
         WHERE NOT list_contains(list_transform(range(k % 4 + 1), lambda i: CAST(k + i + k % 2 AS VARCHAR)), value)"""),
     "h12_nearest": X.with_tables("items sheets", """
         SELECT i.doc_id, item_id AS point_id, x * 7 + i.y AS pos,
-               arg_min(page, struct_pack(d := abs((page - 1) * 500 + h / 2 - (x * 7 + i.y)), o := page)) AS ord,
-               min(abs((page - 1) * 500 + h / 2 - (x * 7 + i.y))) AS distance
-        FROM items i JOIN (SELECT doc_id, page AS page, h FROM sheets) t USING (doc_id)
+               arg_min(pg, struct_pack(d := abs((pg - 1) * 500 + ph / 2 - (x * 7 + i.y)), o := pg)) AS ord,
+               min(abs((pg - 1) * 500 + ph / 2 - (x * 7 + i.y))) AS distance
+        FROM items i JOIN (SELECT doc_id, page AS pg, h AS ph FROM sheets) t USING (doc_id)
         GROUP BY i.doc_id, item_id, x, i.y"""),
     "h12_nearest_handle": X.with_tables("items", """
         SELECT item_id, px, py, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS handle
