@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["intervals", "sampling", "tone", "deltas", "planning", "forms", "text"]
+FAMILIES = [
+    "intervals", "sampling", "tone", "deltas", "planning", "forms", "text", "containers", "events",
+]
 
 
 def _modules():
