@@ -269,18 +269,28 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+CUTS_PER_PROJECT = 1_000
+
+
 def projects(spark: SparkSession, sf: str) -> DataFrame:
-    """One saved-settings JSON per asset; assets divisible by 10 hold junk."""
-    listed = cuts(spark, sf).groupBy("asset_id").agg(
+    """Saved-settings JSON per asset; assets divisible by 10 hold junk.
+
+    A project lists at most CUTS_PER_PROJECT cuts; assets with more get several.
+    """
+    numbered = S.Scan(cuts(spark, sf), ["asset_id"], ["st_us", "en_us"]).run(ix=S.row_index()).df
+    listed = numbered.groupBy(
+        "asset_id", F.expr(f"ix div {CUTS_PER_PROJECT}").alias("part")
+    ).agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("st_us").alias("start"), F.col("en_us").alias("end")))
         ).alias("cuts")
     )
+    part = F.when(F.col("part") > 0, F.concat(F.lit("-"), "part")).otherwise("")
     doc = F.to_json(
         F.struct(
             F.lit(1).alias("v"),
             F.struct(
-                F.concat(F.lit("asset"), F.col("asset_id")).alias("name"),
+                F.concat(F.lit("asset"), F.col("asset_id"), part).alias("name"),
                 F.col("duration_us").alias("size"),
                 F.col("start_us").alias("lastModified"),
             ).alias("file"),

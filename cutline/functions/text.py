@@ -32,7 +32,7 @@ def fuzzy_score(query: str, col: str) -> Column:
 
 def odd_characters(col: str, allowed: str = ASCII) -> Column:
     """The text without line breaks and allowed characters (a regex class)."""
-    return F.regexp_replace(col, f"[{allowed}\\n\\r]", "")
+    return F.regexp_replace(col, f"[{allowed}\\n\\r]+", "")
 
 
 def replaced(col: str, allowed: str = ASCII) -> Column:

@@ -201,19 +201,24 @@ def _replay_fn(schema: pa.Schema):
     return fn
 
 
-def replay_disposed(deltas: DataFrame, frames: DataFrame, canvas: DataFrame) -> DataFrame:
+def replay_disposed(
+    deltas: DataFrame, frames: DataFrame, width: int, height: int
+) -> DataFrame:
     """Full frames under any blend (0 replace, 1 over) and disposal (0 keep, 1 clear
     the box, 2 restore the frame before).
 
-    deltas(anim_id, seq, x, y, r, g, b, a), frames(anim_id, seq, box_x, box_y, box_w, box_h,
-    blend, dispose) and canvas(anim_id, x, y).  Blending and disposal act on each
-    pixel alone, so one pixel's frames are folded in order with constant state.
+    deltas(anim_id, seq, x, y, r, g, b, a) and frames(anim_id, seq, box_x, box_y,
+    box_w, box_h, blend, dispose).  Each frame expands to its own pixels; blending
+    and disposal act on a pixel alone, so one pixel's frames are folded in order
+    with constant state.
     """
     inside = (
         (F.col("x") >= F.col("box_x")) & (F.col("x") < F.col("box_x") + F.col("box_w"))
         & (F.col("y") >= F.col("box_y")) & (F.col("y") < F.col("box_y") + F.col("box_h"))
     )
-    grid = canvas.join(frames, ["anim_id"]).withColumn("inside", inside)
+    line = F.explode(F.expr(f"sequence(0, {height - 1})"))
+    cell = F.explode(F.expr(f"sequence(0, {width - 1})"))
+    grid = frames.withColumn("y", line).withColumn("x", cell).withColumn("inside", inside)
     rows = grid.join(deltas.select(*FRAME, "x", "y", *RGBA), [*FRAME, "x", "y"], "left")
     kinds = {"anim_id": pa.int64(), "seq": pa.int64()}
     out = [*FRAME, "x", "y", *RGBA]

@@ -35,10 +35,15 @@ def unencodable_chars(docs: DataFrame, allowed: str = ASCII, show: int = 8) -> D
 
 
 def sanitize_text(docs: DataFrame, allowed: str = ASCII) -> DataFrame:
-    """Text with unencodable characters replaced by "?", and how many were."""
-    return docs.select(
-        "doc_id", replaced("text", allowed).alias("text"),
-        F.length(odd_characters("text", allowed)).alias("n_replaced"),
+    """Text with unencodable characters replaced by "?", and how many were.
+
+    The count is the number of question marks gained, cheaper than a second regex.
+    """
+    def marks(col: str) -> Column:
+        return F.length(col) - F.length(F.replace(F.col(col), F.lit("?"), F.lit("")))
+
+    return docs.select("doc_id", "text", replaced("text", allowed).alias("clean")).select(
+        "doc_id", F.col("clean").alias("text"), (marks("clean") - marks("text")).alias("n_replaced")
     )
 
 

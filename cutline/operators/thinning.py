@@ -2,11 +2,21 @@
 kept one.
 
 The rule is sequential per key, yet a key is not held to one task.  A chunk of
-consecutive rows acts on the running threshold as a step function ("from this
-threshold on, the chunk leaves that one behind").  Chains that start at different
-rows soon meet, so the function has few steps.  Keys that were cut into chunks get
-their functions computed in parallel, one pass over the steps fixes the threshold
-at which each chunk begins, and every chunk then emits its rows on its own.
+consecutive rows acts on the running threshold as a step function ("a threshold up
+to this row leaves that one behind").  For keys that were cut into chunks:
+
+1. `_reach_fn` folds chunk summaries (first, last, largest gap) and bounds the
+   thresholds with which each chunk can be entered at all: one threshold, hence one
+   chain, is real, and its position is known up to the gaps it has jumped over.
+2. `_step_fn` computes the step function of every chunk in parallel, for rows
+   within those bounds only.  Chains that start at different rows soon meet, which
+   keeps the functions short where an interval holds few rows; where it holds many,
+   the bounds do.
+3. `_entry_fn` applies the functions in order and so fixes each chunk's threshold.
+4. Every chunk emits its rows on its own.
+
+Steps 1 and 3 see a handful of rows per chunk.  Bounds that turn out loose cost
+time, never exactness.
 """
 
 from __future__ import annotations
@@ -15,13 +25,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cutline.plans import scan as S
 
 _NEVER = -(2**62)
+_PASS = -(2**63)
+_HOPS, _WINDOWS = 64, 16
 
 
 def _segments(batch: pa.RecordBatch, keys: list[str], last: tuple | None):
@@ -32,8 +45,69 @@ def _segments(batch: pa.RecordBatch, keys: list[str], last: tuple | None):
     return ids, fresh
 
 
-def _steps(t: np.ndarray, interval: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of one sorted chunk: (largest start time, threshold after)."""
+def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint sorted windows; the closest neighbours are joined beyond a few."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    while len(out) > _WINDOWS:
+        i = min(range(len(out) - 1), key=lambda j: out[j + 1][0] - out[j][1])
+        out[i:i + 2] = [(out[i][0], out[i + 1][1])]
+    return out
+
+
+def _picks(live: list, first: int, last: int, gap: int) -> list[tuple[int, int]]:
+    """Where a threshold inside `live` can make its next pick up to `last`."""
+    out = []
+    for lo, hi in live:
+        if lo <= last:
+            top = min(hi, last)
+            out.append((max(lo, first), first if top <= first else min(top + gap, last)))
+    return out
+
+
+def _through(live: list, first: int, last: int, gap: int, jump: int) -> list[tuple[int, int]]:
+    """Thresholds possible after a chunk, given those possible before it."""
+    done, todo = [], live
+    for _ in range(_HOPS):
+        done += [(max(lo, last + 1), hi) for lo, hi in todo if hi > last]
+        todo = _merged([(a + jump, b + jump) for a, b in _picks(todo, first, last, gap)])
+        if not todo:
+            return _merged(done)
+    return _merged([*done, (last + 1, last + jump)])
+
+
+def _reach_fn(keys: list[str], jump: int, schema: pa.Schema):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, live = None, []
+        for batch in batches:
+            ids, _ = _segments(batch, keys, None)
+            stats = zip(*[batch.column(c).to_pylist() for c in ("first", "last", "gap")])
+            out = []
+            for ident, (first, last, gap) in zip(ids, stats):
+                if ident[:-1] != key:
+                    key, live = ident[:-1], [(_NEVER, _NEVER)]
+                spots = _merged(_picks(live, first, last, gap))
+                out.append((*ident, [a for a, _ in spots], [b for _, b in spots]))
+                live = _through(live, first, last, gap, jump)
+            if out:
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return fn
+
+
+def _steps(
+    t: np.ndarray, picked: np.ndarray, interval: int, slack: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of one sorted chunk at the rows in `picked`: (up to this
+    threshold, threshold after).  A chunk nothing is picked from keeps one step
+    that no threshold meets, so that it is not lost."""
+    if not len(picked):
+        return np.array([_PASS]), np.array([_PASS])
     n = len(t)
     after = np.searchsorted(t, t + (interval - slack))
     jump = np.where(after < n, after, np.arange(n))
@@ -42,15 +116,15 @@ def _steps(t: np.ndarray, interval: int, slack: int) -> tuple[np.ndarray, np.nda
         if np.array_equal(twice, jump):
             break
         jump = twice
-    reach = min(int(np.searchsorted(t, t[0] + interval - slack)), n - 1) + 1
-    left = t[jump[:reach]] + interval
+    left = t[jump[picked]] + interval
     edge = np.append(left[1:] != left[:-1], True)
-    return t[:reach][edge], left[edge]
+    return t[picked][edge], left[edge]
 
 
 def _step_fn(keys: list[str], interval: int, slack: int, schema: pa.Schema):
-    def make(ident: tuple, parts: list[np.ndarray]) -> pa.RecordBatch:
-        upto, left = _steps(np.concatenate(parts), interval, slack)
+    def make(ident: tuple, parts: list[tuple]) -> pa.RecordBatch:
+        t, near = (np.concatenate(p) for p in zip(*parts))
+        upto, left = _steps(t, np.flatnonzero(near), interval, slack)
         head = [pa.array([v] * len(upto), f.type) for v, f in zip(ident, schema)]
         return pa.RecordBatch.from_arrays([*head, pa.array(upto), pa.array(left)], schema=schema)
 
@@ -61,13 +135,14 @@ def _step_fn(keys: list[str], interval: int, slack: int, schema: pa.Schema):
                 continue
             ids, fresh = _segments(batch, keys, ident)
             t = batch.column("t_us").to_numpy()
+            near = batch.column("near").to_numpy(zero_copy_only=False)
             cuts = sorted({0, *(i for i, f in enumerate(fresh) if f), len(t)})
             for a, b in zip(cuts, cuts[1:]):
                 if fresh[a] and parts:
                     yield make(ident, parts)
                     parts = []
                 ident = ids[a]
-                parts.append(t[a:b])
+                parts.append((t[a:b], near[a:b]))
         if parts:
             yield make(ident, parts)
 
@@ -122,11 +197,17 @@ def _emit_fn(keys: list[str], interval: int, slack: int):
     return fn
 
 
-def _arrow_schema(df: DataFrame, names: Sequence[str], extra: Sequence[str]) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
+_LONG = pa.int64()
+_LIST = pa.list_(_LONG)
+
 
+def _arrow_schema(df: DataFrame, names: Sequence[str], **extra: pa.DataType) -> pa.Schema:
     known = [pa.field(n, to_arrow_type(df.schema[n].dataType)) for n in names]
-    return pa.schema([*known, *[pa.field(n, pa.int64()) for n in extra]])
+    return pa.schema([*known, *[pa.field(n, kind) for n, kind in extra.items()]])
+
+
+def _by_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*key).sortWithinPartitions(*key, *order)
 
 
 def thin_min_gap(
@@ -138,23 +219,36 @@ def thin_min_gap(
     key, order = list(key), ["t_us", "sample_id"]
     parts = [*key, S.CHUNK]
     scan = S.Scan(samples, key, order)
-    hot = scan._hot.select(*parts, *order).repartition(*parts).sortWithinPartitions(*parts, *order)
-    step_schema = _arrow_schema(scan._hot, parts, ["upto", "left"])
-    head = [scan._hot.schema[c] for c in parts]
+    hot = scan.hot.select(*parts, *order)
+    head = [hot.schema[c] for c in parts]
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    steps = hot.mapInArrow(
-        _step_fn(parts, interval_us, slack_us, step_schema),
-        T.StructType([*head, *longs("upto", "left")]),
+
+    before = F.lag("t_us").over(Window.partitionBy(*parts).orderBy(*order))
+    chunks = hot.withColumn("gap", F.col("t_us") - before).groupBy(*parts).agg(
+        F.min("t_us").alias("first"), F.max("t_us").alias("last"),
+        F.coalesce(F.max("gap"), F.lit(0)).alias("gap"),
     )
-    entry = (
-        steps.repartition(*key)
-        .sortWithinPartitions(*parts, "upto")
+    spots = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("spot_lo", "spot_hi")]
+    reach = _by_key(chunks, key, [S.CHUNK]).mapInArrow(
+        _reach_fn(parts, interval_us - slack_us, _arrow_schema(hot, parts, spot_lo=_LIST, spot_hi=_LIST)),
+        T.StructType([*head, *spots]),
+    )
+    near = F.expr("exists(arrays_zip(spot_lo, spot_hi), s -> t_us between s.spot_lo and s.spot_hi)")
+    steps = (
+        hot.join(F.broadcast(reach), parts)
+        .select(*parts, *order, near.alias("near"))
+        .repartition(*parts)
+        .sortWithinPartitions(*parts, *order)
         .mapInArrow(
-            _entry_fn(parts, slack_us, _arrow_schema(scan._hot, parts, ["__entry"])),
-            T.StructType([*head, *longs("__entry")]),
+            _step_fn(parts, interval_us, slack_us, _arrow_schema(hot, parts, upto=_LONG, left=_LONG)),
+            T.StructType([*head, *longs("upto", "left")]),
         )
     )
-    rows = scan._all.join(F.broadcast(entry), parts, "left")
+    entry = _by_key(steps, key, [S.CHUNK, "upto"]).mapInArrow(
+        _entry_fn(parts, slack_us, _arrow_schema(hot, parts, __entry=_LONG)),
+        T.StructType([*head, *longs("__entry")]),
+    )
+    rows = scan.rows.join(F.broadcast(entry), parts, "left")
     return (
         rows.repartition(*parts)
         .sortWithinPartitions(*parts, *order)

@@ -145,6 +145,16 @@ class Scan:
         """Row-wise step (columns added, rows filtered) between two scans."""
         return self._copy(fn(self._all), fn(self._hot))
 
+    @property
+    def rows(self) -> DataFrame:
+        """All rows with their chunk number."""
+        return self._all
+
+    @property
+    def hot(self) -> DataFrame:
+        """Rows of the keys that were split, with their chunk number."""
+        return self._hot
+
     @property
     def df(self) -> DataFrame:
         return self._all.drop(CHUNK)

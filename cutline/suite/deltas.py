@@ -51,8 +51,7 @@ def _f7_disposed(s, d):
         (F.max("x") - F.min("x") + 1).alias("box_w"), (F.max("y") - F.min("y") + 1).alias("box_h"),
         F.max("blend").alias("blend"), F.lit(0).alias("dispose"),
     )
-    canvas = tiles.where("seq = 0").select("anim_id", "x", "y")
-    return N.replay_disposed(deltas, frames, canvas)
+    return N.replay_disposed(deltas, frames, 4, 4)
 
 
 def _vec(s, d):
