@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # End points of the ramps, as (r, g, b).
 RAMPS = {
@@ -58,16 +59,16 @@ SEGMENTS = {
 
 
 def _channels() -> dict[str, list[list[tuple[float, float]]]]:
-    """Every generated map as three lists of (position, level 0..255)."""
+    """Every generated map as three lists of (position, level), both in 0..1."""
     maps = {}
     for key, ends in RAMPS.items():
-        maps[key] = [[(0.0, float(ends[0][c])), (1.0, float(ends[1][c]))] for c in range(3)]
+        maps[key] = [[(0.0, ends[0][c] / 255), (1.0, ends[1][c] / 255)] for c in range(3)]
     for key, text in BREWER.items():
         stops = [bytes.fromhex(h) for h in text.split()]
         last = len(stops) - 1
-        maps[key] = [[(i / last, float(s[c])) for i, s in enumerate(stops)] for c in range(3)]
+        maps[key] = [[(i / last, s[c] / 255) for i, s in enumerate(stops)] for c in range(3)]
     for key, parts in SEGMENTS.items():
-        maps[key] = [[(float(x), y * 255.0) for x, y in part] for part in parts]
+        maps[key] = [[(float(x), float(y)) for x, y in part] for part in parts]
     return maps
 
 
@@ -80,15 +81,11 @@ def builtin_luts(spark: SparkSession) -> DataFrame:
         for a, b in zip(stops, stops[1:])
     ]
     spans = spark.createDataFrame(rows, "map_key string, c int, x0 double, y0 double, x1 double, y1 double")
-    inside = "x >= x0 and (x < x1 or (x1 = 1 and x = 1))"
-    level = "cast(floor(y0 + (y1 - y0) * (x - x0) / (x1 - x0) + 0.5) as int)"
-    points = spans.selectExpr("*", "explode(sequence(0, 255)) as idx").selectExpr(
-        "*", "idx / 255D as x"
-    ).where(inside)
-    out = points.groupBy("map_key", "idx")
-    from pyspark.sql import functions as F
-
-    return out.agg(
+    inside = "idx / 255D >= x0 and (idx / 255D < x1 or (x1 = 1 and idx = 255))"
+    along = "(idx - x0 * 255D) / (x1 * 255D - x0 * 255D)"
+    level = f"cast(floor(({along} * (y1 - y0) + y0) * 255D + 0.5D) as int)"
+    points = spans.selectExpr("*", "explode(sequence(0, 255)) as idx").where(inside)
+    return points.groupBy("map_key", "idx").agg(
         *[F.expr(f"max(case when c = {i} then {level} end) as {n}") for i, n in enumerate("rgb")]
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files below `path` as (path, content)."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
     )
 
