@@ -9,7 +9,7 @@ forward (`plans.scan`), so the work is n log n and a hot asset is split over tas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.plans import scan as S
@@ -109,23 +109,25 @@ def floored_duration(
     )
 
 
-def _ranges_and_points(
-    ranges: DataFrame, points: DataFrame, at: Column, point_at: Column, ranges_first: bool
-) -> DataFrame:
-    """Both tables as one, ordered by (pos, side); ranges carry struct `rng`."""
-    struct = F.struct(*[c for c in ranges.columns if c != "asset_id"])
-    r = ranges.select("asset_id", at.alias("pos"), struct.alias("rng")).withColumn(
-        "side", F.lit(0 if ranges_first else 1)
-    )
-    p = points.select("asset_id", point_at.alias("pos"), F.struct(*points.columns).alias("pt"))
-    p = p.withColumn("side", F.lit(1 if ranges_first else 0))
-    return r.unionByName(p, allowMissingColumns=True)
+def _along(ranges: DataFrame, at: str, points: DataFrame, time: str, ranges_first: bool, **ops):
+    """Scan ranges and points together by position; returns the points.
 
-
-def _scan_points(both: DataFrame, **ops: S.Op) -> DataFrame:
-    """Run over ranges and points together, keep the points."""
-    flat = both.withColumn("pt_id", F.col("pt.sample_id"))
-    return S.Scan(flat, KEY, ["pos", "side", "pt_id"]).run(**ops).df.where("pt is not null")
+    Ranges are placed at column `at` and carry their columns as struct `rng`, which
+    `ops` may use.  At equal positions ranges come first or last.  Points travel
+    with their payload only: key, id and time are the sort columns themselves.
+    """
+    fields = [c for c in ranges.columns if c != "asset_id"]
+    payload = [c for c in points.columns if c not in ("asset_id", "sample_id", time)]
+    r = ranges.select(
+        "asset_id", F.col(at).alias("pos"), F.lit(0 if ranges_first else 2).alias("side"),
+        F.struct(*fields).alias("rng"),
+    )
+    p = points.select(
+        "asset_id", F.col(time).alias("pos"), F.lit(1).alias("side"), "sample_id", *payload
+    )
+    both = r.unionByName(p, allowMissingColumns=True)
+    out = S.Scan(both, KEY, ["pos", "side", "sample_id"]).run(**ops).df.where("side = 1")
+    return out.withColumnRenamed("pos", time).select(*points.columns, *ops)
 
 
 def to_output_time(samples: DataFrame, keep: DataFrame) -> DataFrame:
@@ -134,19 +136,17 @@ def to_output_time(samples: DataFrame, keep: DataFrame) -> DataFrame:
     One pass: the last range at or before the sample and the running length of
     ranges come out of the same scan.  Inside a cut the output time stands still.
     """
-    both = _ranges_and_points(
-        keep.select("asset_id", "st_us", "en_us"), samples, F.col("st_us"), F.col("t_us"), True
-    )
     length = F.col("rng.en_us") - F.col("rng.st_us")
-    out = _scan_points(
-        both, hit=S.last_value(F.col("rng")), acc=S.running_sum(length, inclusive=True)
+    out = _along(
+        keep.select("asset_id", "st_us", "en_us"), "st_us", samples, "t_us", True,
+        hit=S.last_value(F.col("rng")), acc=S.running_sum(length, inclusive=True),
     )
     before = F.col("acc") - (F.col("hit.en_us") - F.col("hit.st_us"))
-    inside = F.least(F.col("pt.t_us"), F.col("hit.en_us")) - F.col("hit.st_us")
+    inside = F.least(F.col("t_us"), F.col("hit.en_us")) - F.col("hit.st_us")
     return out.select(
-        "pt.*",
+        *samples.columns,
         F.coalesce(before + inside, F.lit(0)).alias("out_us"),
-        F.coalesce(F.col("pt.t_us") < F.col("hit.en_us"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("t_us") < F.col("hit.en_us"), F.lit(False)).alias("kept"),
     )
 
 
@@ -170,12 +170,14 @@ def from_output_time(
     """
     ranges = stage(accumulate(keep), "ranges")
     start = F.when(F.col("acc_us") == 0, F.lit(_FIRST)).otherwise(F.col("acc_us"))
-    both = _ranges_and_points(ranges, points, start, F.col("o_us"), False)
-    hit = _scan_points(both, hit=S.last_value(F.col("rng")))
+    hit = _along(
+        ranges.withColumn("from_us", start), "from_us", points, "o_us", False,
+        hit=S.last_value(F.col("rng")),
+    )
     inside = F.least(
-        F.col("hit.st_us") + F.col("pt.o_us") - F.col("hit.acc_us"), F.col("hit.en_us")
+        F.col("hit.st_us") + F.col("o_us") - F.col("hit.acc_us"), F.col("hit.en_us")
     )
-    out = hit.select("pt.*", inside.alias("t_us"))
+    out = hit.select(*points.columns, inside.alias("t_us"))
     if assets is None:
         return out.withColumn("t_us", F.coalesce("t_us", F.lit(0).cast("bigint")))
     empty = assets.select("asset_id", F.col("in_us").alias("empty_us"))
@@ -188,13 +190,11 @@ def from_output_time(
 
 def drop_cut_samples(samples: DataFrame, cuts: DataFrame) -> DataFrame:
     """Samples outside every cut: no cut begun so far ends after them."""
-    both = _ranges_and_points(
-        cuts.select("asset_id", "st_us", "en_us"), samples, F.col("st_us"), F.col("t_us"), True
+    out = _along(
+        cuts.select("asset_id", "st_us", "en_us"), "st_us", samples, "t_us", True,
+        reach=S.running_max(F.col("rng.en_us")),
     )
-    reach = _scan_points(both, reach=S.running_max(F.col("rng.en_us")))
-    return reach.where(
-        F.col("reach").isNull() | (F.col("reach") <= F.col("pos"))
-    ).select("pt.*")
+    return out.where("reach is null or reach <= t_us").drop("reach")
 
 
 def trim_window(samples: DataFrame, assets: DataFrame, slack_us: int = 1) -> DataFrame:
@@ -232,15 +232,13 @@ def snap_to_kept(
         .where("to_us > from_us")
     )
     pieces = stage(pieces, "pieces")
-    both = _ranges_and_points(pieces, points, F.col("from_us"), F.col("t_us"), True)
-    hit = _scan_points(both, hit=S.last_value(F.col("rng")))
+    hit = _along(pieces, "from_us", points, "t_us", True, hit=S.last_value(F.col("rng")))
     inside = F.when(F.col("t_us") < F.col("hit.to_us"), F.col("hit.end_us"))
     bounds = assets.select("asset_id", "in_us", "out_us")
     out_of_range = (F.col("t_us") >= F.col("out_us")) | (F.col("t_us") < F.col("in_us"))
     snapped = F.when(out_of_range, F.col("in_us")).otherwise(F.coalesce(inside, "t_us"))
     return (
-        hit.select("pt.*", "hit")
-        .join(bounds, KEY)
+        hit.join(bounds, KEY)
         .withColumn("snap_us", snapped)
         .select(*points.columns, "snap_us")
     )

@@ -190,7 +190,8 @@ def evict_cold(items: DataFrame, keep_n: int = 24) -> DataFrame:
 def restore_settings(files: DataFrame, settings: DataFrame) -> DataFrame:
     """files(name, size, mtime) with the saved settings that apply to each.
 
-    settings has the same key, general columns g_* and timeline columns t_*.  The
+    settings has the same key, one row each, general columns g_* and timeline columns
+    t_*.  The
     same file gets everything; any other file gets the general part of the latest
     saved project, a single row read as a scalar subquery.
     """

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cutline.plans.stage import stage_root
+from cutline.operators.intervals import accumulate
+from cutline.plans.stage import stage, stage_root
 
 DAY_US = 86_400_000_000
 SLIM = "asset_id long, sample_id long, t_us long"
@@ -182,20 +183,21 @@ def stream_kept_samples(
 ) -> DataFrame:
     """Live trim, cut filter, thinning and restamping of samples.
 
-    Kept ranges are a static table.  They are listed under every day they touch, so
+    Kept ranges are a static table, stored once before the stream starts.  They are listed under every day they touch, so
     a sample is matched on (asset, day) and not against all ranges of its asset.
     The first range reaches `slack` back, as the trim test does.
     """
-    from cutline.operators.intervals import accumulate
-
     starts = assets.select("asset_id", "in_us")
     ranges = accumulate(keep).join(starts, "asset_id").select(
         "asset_id", "st_us", "en_us", "acc_us",
         F.when(F.col("st_us") == F.col("in_us"), F.col("st_us") - slack_us)
         .otherwise(F.col("st_us")).alias("from_us"),
     )
-    listed = ranges.withColumn(
-        "day", F.explode(F.expr(f"sequence(from_us div {DAY_US}, en_us div {DAY_US})"))
+    listed = stage(
+        ranges.withColumn(
+            "day", F.explode(F.expr(f"sequence(from_us div {DAY_US}, en_us div {DAY_US})"))
+        ),
+        "listed",
     )
     t = F.col("t_us")
     placed = (
