@@ -7,7 +7,7 @@ microseconds since the epoch everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.plans import scan as S
@@ -24,11 +24,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # --- timelines -------------------------------------------------------------
 
 
+def epoch_us(spark: SparkSession, col: str) -> Column:
+    """Microseconds of a zone-less timestamp, whatever the session's time zone."""
+    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT"):
+        return F.unix_micros(F.col(col).cast("timestamp"))
+    since = f"({col} - timestamp_ntz'1970-01-01 00:00:00')"
+    return F.expr(
+        f"""extract(day from {since}) * 86400000000L + extract(hour from {since}) * 3600000000L
+            + extract(minute from {since}) * 60000000L
+            + cast(extract(second from {since}) * 1000000 as bigint)"""
+    )
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("asset_id"),
         F.col("event_id").alias("sample_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+        epoch_us(spark, "ts").alias("t_us"),
         "event_type",
         "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
@@ -237,8 +249,8 @@ def widgets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Classified, visible fields with a value of the kind's own type."""
-    return samples(spark, sf).where("k % 13 <> 0").selectExpr(
+    """Classified fields with a value of the kind's own type."""
+    return samples(spark, sf).selectExpr(
         "asset_id as doc_id", "1 + k % 7 as page", "sample_id as ord",
         "event_type as name",
         "element_at(array('sig', 'checkbox', 'radio', 'list', 'text'), cast(k % 5 as int) + 1)"
@@ -414,7 +426,7 @@ SQL = {
                CASE WHEN k % 5 = 3 THEN CASE WHEN k % 3 = 0 THEN CAST([] AS VARCHAR[])
                     ELSE [CAST(k AS VARCHAR)] END END AS v_arr,
                k % 11 = 0 AS read_only, k
-        FROM samples WHERE k % 13 <> 0""",
+        FROM samples""",
     "posts": """
         SELECT '_posts/' || strftime(DATE '2016-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d')
                    || '-' || doc_id || '.md' AS path,

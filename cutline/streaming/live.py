@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cutline.fixtures import epoch_us
 from cutline.operators.intervals import accumulate
 from cutline.plans.stage import stage, stage_root
+from cutline.session import SETTINGS
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 DAY_US = 86_400_000_000
 SLIM = "asset_id long, sample_id long, t_us long"
 
@@ -33,11 +36,10 @@ def sample_stream(spark: SparkSession, sf: str, files_per_trigger: int = 1) -> D
         .option("maxFilesPerTrigger", str(files_per_trigger))
         .parquet(sf)
     )
-    ts = F.col("ts").cast("timestamp")
     return raw.select(
         F.col("user_id").alias("asset_id"), F.col("event_id").alias("sample_id"),
-        F.unix_micros(ts).alias("t_us"), ts.alias("ts"), "event_type", "value",
-    )
+        epoch_us(spark, "ts").alias("t_us"), "event_type", "value",
+    ).withColumn("ts", F.timestamp_micros("t_us"))
 
 
 def with_lateness(stream: DataFrame, lateness: str) -> DataFrame:
@@ -47,6 +49,7 @@ def with_lateness(stream: DataFrame, lateness: str) -> DataFrame:
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run over everything available now and return the written table."""
     spark = stream.sparkSession
+    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
     base = f"{stage_root(spark)}/cutline/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append")
