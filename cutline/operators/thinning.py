@@ -25,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,23 @@ _PASS = -(2**63)
 _HOPS, _WINDOWS = 64, 16
 
 
-def _segments(batch: pa.RecordBatch, keys: list[str], last: tuple | None):
-    """Row lists of the key columns and a flag where a new segment starts."""
-    columns = [batch.column(k).to_pylist() for k in keys]
-    ids = list(zip(*columns))
-    fresh = [a != b for a, b in zip(ids, [last, *ids[:-1]])]
-    return ids, fresh
+def _ident(batch: pa.RecordBatch, keys: list[str], i: int) -> tuple:
+    return tuple(batch.column(k)[i].as_py() for k in keys)
+
+
+def _fresh(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> np.ndarray:
+    """Flags the rows where a new segment starts; `last` ended the batch before."""
+    flags = np.zeros(batch.num_rows, dtype=bool)
+    for k in keys:
+        col = batch.column(k)
+        moved = pc.not_equal(col.slice(1), col.slice(0, len(col) - 1))
+        flags[1:] |= moved.to_numpy(zero_copy_only=False)
+    flags[0] = _ident(batch, keys, 0) != last
+    return flags
+
+
+def _idents(batch: pa.RecordBatch, keys: list[str]) -> list[tuple]:
+    return list(zip(*[batch.column(k).to_pylist() for k in keys]))
 
 
 def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,7 +96,7 @@ def _reach_fn(keys: list[str], jump: int, schema: pa.Schema):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, live = None, []
         for batch in batches:
-            ids, _ = _segments(batch, keys, None)
+            ids = _idents(batch, keys)
             stats = zip(*[batch.column(c).to_pylist() for c in ("first", "last", "gap")])
             out = []
             for ident, (first, last, gap) in zip(ids, stats):
@@ -133,15 +145,15 @@ def _step_fn(keys: list[str], interval: int, slack: int, schema: pa.Schema):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, fresh = _segments(batch, keys, ident)
+            fresh = _fresh(batch, keys, ident)
             t = batch.column("t_us").to_numpy()
             near = batch.column("near").to_numpy(zero_copy_only=False)
-            cuts = sorted({0, *(i for i, f in enumerate(fresh) if f), len(t)})
+            cuts = sorted({0, *np.flatnonzero(fresh).tolist(), len(t)})
             for a, b in zip(cuts, cuts[1:]):
                 if fresh[a] and parts:
                     yield make(ident, parts)
                     parts = []
-                ident = ids[a]
+                ident = _ident(batch, keys, a)
                 parts.append((t[a:b], near[a:b]))
         if parts:
             yield make(ident, parts)
@@ -156,7 +168,7 @@ def _entry_fn(keys: list[str], slack: int, schema: pa.Schema):
         key = chunk = None
         at, settled = _NEVER, True
         for batch in batches:
-            ids, _ = _segments(batch, keys, None)
+            ids = _idents(batch, keys)
             out: list[tuple] = []
             for ident, upto, left in zip(
                 ids, batch.column("upto").to_pylist(), batch.column("left").to_pylist()
@@ -181,8 +193,8 @@ def _emit_fn(keys: list[str], interval: int, slack: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, fresh = _segments(batch, keys, ident)
-            ident = ids[-1]
+            fresh = _fresh(batch, keys, ident).tolist()
+            ident = _ident(batch, keys, batch.num_rows - 1)
             keep = []
             rows = zip(fresh, batch.column("t_us").to_pylist(), batch.column("__entry").to_pylist())
             for new, t, entry in rows:
