@@ -82,7 +82,7 @@ def changed_fields(before: DataFrame, after: DataFrame) -> DataFrame:
     """Names whose value differs, values compared as JSON.
 
     Both sides come from `field_values`; read-only and signature fields have no
-    metadata there and are left out.
+    metadata there and are left out.  Resetting a form is going back to `before`.
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.where("meta_kind is not null").select(

@@ -180,3 +180,12 @@ def container_summary(chunks: DataFrame) -> DataFrame:
         F.max("plays").alias("plays"),
         F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("total_delay_ms"),
     )
+
+
+def track_summary(tracks: DataFrame) -> DataFrame:
+    """tracks(nb_samples, duration, timescale, codec) with fps and the codec's family."""
+    seconds = F.col("duration") / F.col("timescale")
+    fps = F.when(F.col("duration") > 0, F.col("nb_samples") / seconds)
+    return tracks.withColumns(
+        {"fps": fps, "codec_name": F.upper(F.substring_index("codec", ".", 1))}
+    )

@@ -89,6 +89,16 @@ def _a2(s, d):
     return A.chunk_crc_audit(files(s, d, "png")).select("path", "pos", "type", "ok")
 
 
+def _tracks(s, d):
+    """Tracks of every asset from its media samples."""
+    per = X.media_samples(s, d).groupBy("asset_id", "track").agg(
+        F.count("*").alias("nb_samples"), (F.max("cts") - F.min("cts")).alias("duration"),
+        F.max("timescale").alias("timescale"),
+    )
+    codec = F.when(F.col("track") == "view", "avc1.64001f").otherwise("mp4a.40.2")
+    return A.track_summary(per.withColumn("codec", codec))
+
+
 QUERIES = {
     "a1_riff_chunks": lambda s, d: _chunks(s, d, "riff"),
     "a1_png_chunks": lambda s, d: _chunks(s, d, "png"),
@@ -98,6 +108,7 @@ QUERIES = {
     "a3_riff_summary": lambda s, d: _summary(s, d, "riff"),
     "a3_png_summary": lambda s, d: _summary(s, d, "png"),
     "a3_gif_summary": lambda s, d: _summary(s, d, "gif"),
+    "a3_track_summary": _tracks,
     "a5_project_settings": lambda s, d: projects.explode_projects(X.projects(s, d))[0],
     "a5_project_cuts": lambda s, d: projects.explode_projects(X.projects(s, d))[1],
 }
@@ -170,6 +181,13 @@ ORACLE = {
     ),
     "a3_png_summary": _sums(_PNG, "png", "fcTL", "false", 5, "10 * (i + 1)"),
     "a3_gif_summary": _sums(_GIF, "gif", "image", "i % 2 = 1", 7, "10 * (i + 1)"),
+    "a3_track_summary": X.with_tables("media_samples", """
+        SELECT *, CASE WHEN duration > 0 THEN nb_samples / (duration / timescale::DOUBLE) END AS fps,
+               CASE WHEN track = 'view' THEN 'AVC1' ELSE 'MP4A' END AS codec_name
+        FROM (SELECT asset_id, track, count(*) AS nb_samples, max(cts) - min(cts) AS duration,
+                     max(timescale) AS timescale,
+                     CASE WHEN track = 'view' THEN 'avc1.64001f' ELSE 'mp4a.40.2' END AS codec
+              FROM media_samples GROUP BY asset_id, track)"""),
     "a5_project_settings": X.with_tables("assets", """
         SELECT asset_id, 'asset' || asset_id AS name, duration_us AS size, start_us AS mtime,
                asset_id % 30 + 1 AS fps, asset_id % 100 AS quality, 'speed' AS timing_mode,

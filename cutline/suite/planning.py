@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixtures as X
 from cutline.operators import planning as G
+from cutline.operators.sampling import retime
 from cutline.sources import projects
 
 JOB = ["job_id", "n", "w", "h"]
@@ -64,6 +65,15 @@ def _restored(s, d):
     return G.restore_settings(files, saved)
 
 
+def _retimed(s, d):
+    """Variants with the delay they play at, one and a half times as fast."""
+    variants = G.expand_variants(X.jobs(s, d)).select(
+        "job_id", "fmt", "tier", F.col("frames").alias("n"),
+        (F.lit(100.0) / F.col("eff_fps")).alias("base_delay_cs"),
+    )
+    return retime(variants, "speed", speed=1.5).drop("base_delay_cs")
+
+
 QUERIES = {
     "g1_cap_dims": lambda s, d: G.cap_dims(X.jobs(s, d).select(*JOB), 1200, 854, True),
     "g1_frame_budget": lambda s, d: G.frame_budget(X.jobs(s, d).select(*JOB)),
@@ -72,6 +82,7 @@ QUERIES = {
         "job_id", "mode", "video_bps", "est_bytes"
     ),
     "g3_expand_variants": lambda s, d: G.expand_variants(X.jobs(s, d)),
+    "g3_retimed_variants": _retimed,
     "g4_first_supported": lambda s, d: G.first_supported(_requests(s, d), _supports(s)),
     "g5_size_report": _report,
     "g6_evict_cold": lambda s, d: G.evict_cold(_seen(s, d)),
@@ -129,6 +140,13 @@ ORACLE = {
     "g3_expand_variants": X.with_tables("jobs", f"""
         WITH {_VARIANTS.strip()}
         SELECT job_id, fmt, tier, frames, quality, eff_fps, w, h FROM variants"""),
+    "g3_retimed_variants": X.with_tables("jobs", f"""
+        WITH {_VARIANTS.strip()},
+        timed AS (SELECT job_id, fmt, tier, frames AS n, greatest(1, CAST(floor(greatest(1.0::DOUBLE,
+                      100.0::DOUBLE / eff_fps / 1.5::DOUBLE) + 0.5::DOUBLE) AS BIGINT)) AS delay_cs
+                  FROM variants)
+        SELECT *, 100.0::DOUBLE / delay_cs AS shown_fps, n * delay_cs / 100.0::DOUBLE AS total_s
+        FROM timed"""),
     "g4_first_supported": X.with_tables("jobs", f"""
         WITH {_SUPPORT},
         best AS (SELECT job_id, s.codec, arg_min(struct_pack(o := option, a := accel_rank),
