@@ -9,7 +9,6 @@ file size lets the planner decide on a broadcast by itself.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +17,9 @@ _CONF = "spark.checkpoint.dir"
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder; a local session without one gets its own."""
+    """The shared folder; a session without one uses its warehouse, which is shared as well."""
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CONF} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="cutline-")
-    spark.conf.set(_CONF, root)
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
 def stage(df: DataFrame, name: str = "step") -> DataFrame:
