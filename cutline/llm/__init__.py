@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["bpe"]
+FAMILIES = ["bpe", "token_counts"]
 
 
 def _modules():
