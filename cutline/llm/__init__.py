@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["bpe", "token_counts", "divergence", "simhash"]
+FAMILIES = ["bpe", "token_counts", "divergence", "simhash", "substrings"]
 
 
 def _modules():
