@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["bpe", "token_counts", "divergence", "simhash", "substrings", "decontam", "ctw", "quality"]
+FAMILIES = ["bpe", "token_counts", "divergence", "simhash", "substrings", "decontam", "ctw", "quality", "pii"]
 
 
 def _modules():
