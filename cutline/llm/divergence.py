@@ -21,9 +21,7 @@ whatever their names are.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +88,13 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, base counts, classes, common) of every whole text."""
+             lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """(doc_id, lang, base counts, histograms and their totals) of every whole text.
+
+    With `carry` also the columns of `docs`, as c0, c1, ...
+    """
+    carried = [f"c{k}" for k in range(len(docs.columns))] if carry else []
+    types = [f"{c} {f.dataType.simpleString()}" for c, f in zip(carried, docs.schema.fields)]
 
     def run(batches):
         for batch in batches:
@@ -101,33 +104,34 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [part.column(0), part.column(2),
                      *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)),
                      pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                     pa.array([r[6] for r in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "lang", *BASE, "classes", "common"],
+                     pa.array([r[6] for r in rows], pa.list_(pa.int64())),
+                     pa.array([r[5].sum() for r in rows], pa.int64()),
+                     pa.array([r[6].sum() for r in rows], pa.int64()), *part.columns[3:]],
+                    names=["doc_id", "lang", *BASE, "classes", "common", "class_total", "common_total", *carried],
                 )
 
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.col(lang_col).cast("string").alias("lang"))
-    return plain.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE)
-                            + ", classes array<long>, common array<long>")
+        F.col(lang_col).cast("string").alias("lang"), *(F.col(c).alias(n) for c, n in zip(docs.columns, carried)))
+    counts = [*(f"{c} long" for c in BASE), "classes array<long>", "common array<long>", "class_total long",
+              "common_total long"]
+    return plain.mapInArrow(run, ", ".join(["doc_id long", "lang string", *counts, *types]))
 
 
-def js_distance(counts: Column, reference: Column, size: int) -> Column:
+def js_distance(counts: Column, total: Column, reference: Column, ref_total: Column) -> Column:
     """Square root of the Jensen-Shannon divergence (base 2) of two histograms; null if one is empty."""
 
-    def total(c):
-        return reduce(lambda a, b: a + b, [c[k] for k in range(size)]).cast("double")
+    def part(p, m):  # p log2(p/m), 0 at p = 0
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    def term(p, m):  # p log2(p/m), 0 at p = 0
-        return F.when(p > 0, p * F.log2(F.try_divide(p, m))).otherwise(F.lit(0.0))
+    def add(acc, x):
+        m = (x["p"] + x["q"]) / 2
+        return acc + (part(x["p"], m) + part(x["q"], m)) / 2
 
-    pair = F.transform(F.arrays_zip(counts.alias("p"), reference.alias("q")),
-                       lambda x: F.struct(F.try_divide(x["p"], total(counts)).alias("p"),
-                                          F.try_divide(x["q"], total(reference)).alias("q")))
-    div = F.aggregate(
-        pair, F.lit(0.0),
-        lambda acc, x: acc + (term(x["p"], (x["p"] + x["q"]) / 2) + term(x["q"], (x["p"] + x["q"]) / 2)) / 2)
-    return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
+    shares = F.zip_with(counts, reference, lambda p, q: F.struct(
+        F.try_divide(p, total).alias("p"), F.try_divide(q, ref_total).alias("q")))
+    div = F.aggregate(shares, F.lit(0.0), add)
+    return F.when((total > 0) & (ref_total > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
 
 
 def references(feats: DataFrame) -> DataFrame:
@@ -136,36 +140,45 @@ def references(feats: DataFrame) -> DataFrame:
         F.sum("n_words").alias("ref_words"),
         F.array(*(F.sum(F.col("classes")[k]) for k in range(len(CLASSES)))).alias("ref_classes"),
         F.array(*(F.sum(F.col("common")[k]) for k in range(len(COMMON_WORDS)))).alias("ref_common"),
+        F.sum("class_total").alias("ref_class_total"), F.sum("common_total").alias("ref_common_total"),
     )
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_class: float = 0.25, max_common: float = 0.75, slack: float = 0.6, min_words: int = 50,
-          min_common: int = 20, min_reference: int = 2000) -> DataFrame:
+          min_common: int = 20, min_reference: int = 2000, carry: bool = False) -> DataFrame:
     """Base counts, both distances, base_failed and kept for every row of `docs`.
 
     A histogram of few words strays from its reference by chance, hence both limits are
-    raised by slack / sqrt(n_words).
+    raised by slack / sqrt(n_words).  With `carry` the columns of `docs` follow as c0, c1, ...
     """
-    feats = features(docs, id_col, text_col, lang_col)
+    feats = features(docs, id_col, text_col, lang_col, carry)
     ref = references(features(docs, id_col, text_col, lang_col)).withColumnRenamed("lang", "ref_lang")
-    common_total = reduce(lambda a, b: a + b, [F.col("common")[k] for k in range(len(COMMON_WORDS))])
     fair = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference)
     room = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+
+    def near(name, limit):
+        return F.col(name).isNull() | (F.col(name) <= limit + room)
+
     return (
         feats.join(ref, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-        .withColumn("class_distance", F.when(fair, js_distance(F.col("classes"), F.col("ref_classes"), len(CLASSES))))
-        .withColumn("common_distance", F.when(
-            fair & (common_total >= min_common),
-            js_distance(F.col("common"), F.col("ref_common"), len(COMMON_WORDS))))
+        .withColumn("class_distance", F.when(fair, js_distance(
+            F.col("classes"), F.col("class_total"), F.col("ref_classes"), F.col("ref_class_total"))))
+        .withColumn("common_distance", F.when(fair & (F.col("common_total") >= min_common), js_distance(
+            F.col("common"), F.col("common_total"), F.col("ref_common"), F.col("ref_common_total"))))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed")
-                    & (F.col("class_distance").isNull() | (F.col("class_distance") <= max_class + room))
-                    & (F.col("common_distance").isNull() | (F.col("common_distance") <= max_common + room)))
-        .select("doc_id", *BASE, "base_failed", "kept", "class_distance", "common_distance")
+        .withColumn("kept", ~F.col("base_failed") & near("class_distance", max_class) & near("common_distance", max_common))
+        .select("doc_id", *BASE, "base_failed", "kept", "class_distance", "common_distance",
+                *(f"c{k}" for k in range(len(docs.columns)) if carry))
     )
 
 
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` the rules keep."""
+    return judge(docs, carry=True, **options).where("kept").select(
+        *(F.col(f"c{k}") for k in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all documents."""
     return judge(read(spark, sf_dir, "documents"))

@@ -66,6 +66,9 @@ def test_against_loops(spark):
         assert row.kept == (not row.base_failed and not far)
         rejected += far
     assert rejected
+    left = dv.keep(frame, min_reference=10)
+    assert left.columns == frame.columns
+    assert sorted((str(r.doc_id) for r in left.collect())) == sorted(str(i) for i, _, _ in rows if got[i].kept)
 
 
 def test_clean_documents_stay(spark):
