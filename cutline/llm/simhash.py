@@ -38,6 +38,7 @@ from cutline.plans.stage import stage
 RADIUS = 2
 SEED = 42
 SMALL = 64
+LAST = (1 << 63) - 1  # stands for a null id
 
 
 def fingerprints_of(rows: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
@@ -81,15 +82,18 @@ def fingerprints_of(rows: list[bytes], shingle: int, seed: int = SEED) -> np.nda
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed 64-bit integer."""
+    """(doc_id, fp, text_key): the fingerprint's bits and Spark's xxhash64 of the text, both signed."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fp = fingerprints_of(raw(part, "text"), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                rows = raw(part, "text")
+                fp = fingerprints_of(rows, shingle).view(np.int64)
+                key = np.array([xxhash.xxh64_intdigest(t, SEED) for t in rows], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fp), pa.array(key)], names=["doc_id", "fp", "text_key"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def segment_bounds(radius: int) -> list[tuple[int, int]]:
@@ -167,19 +171,38 @@ def links(prints: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFr
     return pairs.union(stars)
 
 
+def _named(prints: DataFrame, radius: int, small: int) -> DataFrame:
+    """(fp, first): for each distinct fingerprint the smallest (ord, text_key) of its component."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text_key"))
+    distinct = prints.groupBy("fp").agg(first.alias("low"))
+    roots = components(links(distinct.select("fp"), radius, small))
+    classes = stage(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "classes")
+    return classes.join(classes.groupBy("root").agg(F.min("low").alias("first")), "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, small: int = SMALL,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per document with its group's smallest id."""
     prints = stage(fingerprints(docs, shingle, id_col, text_col), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("fp"), radius, small))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    classes = stage(classes, "classes")
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    low = F.col("first.ord")
+    return prints.join(_named(prints, radius, small), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(low != LAST, low).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, small: int = SMALL,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` per group: that of the smallest id, of equal ids the smallest text hash, of equal texts any."""
+    prints = stage(fingerprints(docs, shingle, id_col, text_col), "prints")
+    kept = _named(prints, radius, small).select("first.*").distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own = {c: F.col(n) for c, n in zip(docs.columns, names)}
+    keyed = plain.withColumns({
+        "ord": F.coalesce(own[id_col].cast("long"), F.lit(LAST)),
+        "text_key": F.xxhash64(F.coalesce(own[text_col].cast("string"), F.lit("")))})
+    return keyed.join(kept, ["ord", "text_key"]).dropDuplicates(["ord", "text_key"]).select(*names).toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,12 @@ def test_documents(spark):
     for small in (64, 1):
         got = sorted((tuple(r) for r in sh.near_duplicates(frame, small=small).collect()), key=str)
         assert got == want
+    left = sh.keep_one(frame)
+    assert left.columns == frame.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert len(kept) == len(set(groups.values()))
+    assert len({groups[prints[r]] for r in kept}) == len(kept)
+    assert all(i == low.get(groups[prints[i, t]]) for i, t in kept)
 
 
 def test_links_of_dense_fingerprints(spark):
