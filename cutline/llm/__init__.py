@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["bpe", "token_counts", "divergence", "simhash", "substrings", "decontam", "ctw", "quality", "pii"]
+FAMILIES = [
+    "bpe", "pii", "licenses", "quality", "substrings", "token_counts", "divergence", "ctw", "decontam", "simhash",
+]
 
 
 def _modules():
@@ -12,7 +14,9 @@ def _modules():
 
 
 def queries():
-    return {k: fn for m in _modules() for k, fn in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: fn for m in _modules() for k, fn in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
