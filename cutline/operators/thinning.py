@@ -247,7 +247,7 @@ def thin_min_gap(
     )
     near = F.expr("exists(arrays_zip(spot_lo, spot_hi), s -> t_us between s.spot_lo and s.spot_hi)")
     steps = (
-        hot.join(F.broadcast(reach), parts)
+        hot.join(scan.bounded(reach), parts)
         .select(*parts, *order, near.alias("near"))
         .repartition(*parts)
         .sortWithinPartitions(*parts, *order)
@@ -260,7 +260,7 @@ def thin_min_gap(
         _entry_fn(parts, slack_us, _arrow_schema(hot, parts, __entry=_LONG)),
         T.StructType([*head, *longs("__entry")]),
     )
-    rows = scan.rows.join(F.broadcast(entry), parts, "left")
+    rows = scan.rows.join(scan.bounded(entry), parts, "left")
     return (
         rows.repartition(*parts)
         .sortWithinPartitions(*parts, *order)

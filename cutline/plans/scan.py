@@ -7,12 +7,17 @@ chunks of consecutive rows:
 1. *Split points.*  Rows whose hash of (key, order) is 0 modulo `rows_per_chunk`
    become split points, so chunks hold about that many rows whatever the shape of
    the data, bursts and equal timestamps included, and a recomputed task sees the
-   same points.  At most `MAX_SPLITS` of them are kept (smallest hashes first), so
-   the broadcast below has a fixed size bound; beyond it chunks grow instead.
+   same points.  One point in `_FANOUT` is of the second level, one in its square of
+   the third.  A row finds its chunk by three equi-joins, each with the short sorted
+   list of one segment (about `_FANOUT` points), so what rides on a row does not
+   grow with the key and the number of points has no limit.
 2. *Local scan.*  A window over (key, chunk).
 3. *Carry.*  One total per (key, chunk), only for keys that have split points, then
    a window over those few totals; the carry of the earlier chunks is joined back.
-   It has at most `2 * MAX_SPLITS` rows, so it is broadcast as well.
+
+Points and totals number one per `rows_per_chunk` rows.  They are broadcast while the
+size of the tables read bounds them by `BROADCAST_BYTES`, and joined by Spark's own
+choice (shuffle, with splitting of skewed keys) beyond that.
 
 Rows are shuffled once, by (key, chunk).  Keys without a split point take part in
 step 2 only.  Split points can come from another frame (`split_source`): any set of
@@ -28,10 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1 << 18
-MAX_SPLITS = 1 << 16
+BROADCAST_BYTES = 64 << 20
 CONF_ROWS = "spark.cutline.rowsPerChunk"
 CHUNK = "__chunk"
-_SPLITS = "__splits"
+_HOT = "__hot"
+_FANOUT = 128
+_POINT_BYTES = 64  # of one point or total, generously
 
 
 @dataclass(frozen=True)
@@ -75,88 +82,68 @@ def rows_per_chunk(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CONF_ROWS, str(ROWS_PER_CHUNK)))
 
 
-def split_points(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Sorted split points per key; at most MAX_SPLITS points over all keys."""
-    names = [*key, *order]
-    picked = (
-        df.selectExpr(*names, f"xxhash64({', '.join(names)}) as __h")
-        .where(f"pmod(__h, {rows_per_chunk(df)}) = 0")
-        .orderBy("__h", *names)
-        .limit(MAX_SPLITS)
-    )
-    return picked.groupBy(*key).agg(
-        F.expr(f"array_sort(collect_set(struct({', '.join(order)}))) as {_SPLITS}")
-    )
-
-
-def _count_where(before: str, lo: str, hi: str) -> str:
-    """Binary search in SQL: how many leading positions of [lo, hi) satisfy
-    `before`, a condition on position acc.mid that holds for a prefix."""
-    rounds = ", ".join(["0"] * (MAX_SPLITS.bit_length() + 1))
-    step = "(acc.lo + acc.hi) div 2"
-    hit = f"({before.replace('acc.mid', step)})"
-    return f"""aggregate(
-        slice(array({rounds}), 1, cast(ceil(log2({hi} - {lo} + 1)) as int)),
-        struct(cast({lo} as int) as lo, cast({hi} as int) as hi),
-        (acc, i) -> case when acc.lo >= acc.hi then acc
-            when {hit} then struct(cast({step} + 1 as int) as lo, acc.hi as hi)
-            else struct(acc.lo as lo, cast({step} as int) as hi) end,
-        acc -> acc.lo)"""
-
-
-_CELLS = 4
+def bounded(side: DataFrame, source: DataFrame) -> DataFrame:
+    """`side`, with one row per chunk of `source`, marked for broadcast if its bound is small.
 
+    The bound takes a row of `source` for every byte of the tables it is read from.
+    """
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    fits = size * _POINT_BYTES // rows_per_chunk(source) <= BROADCAST_BYTES
+    return F.broadcast(side) if fits else side
 
-def _indexed(points: DataFrame, key: Sequence[str], lead: str) -> DataFrame:
-    """Split points with an even grid over the leading order column.
 
-    `__base[c]` counts the split points before grid cell c.  Most cells hold none,
-    so most rows find their chunk with two array reads and no search.
-    """
-    at_split = _cell(f"get({_SPLITS}, acc.mid).{lead}")
-    return (
-        points.selectExpr(
-            *key, _SPLITS, f"{_CELLS} * size({_SPLITS}) as __cells",
-            f"try_cast({_SPLITS}[0].{lead} as double) as __lo",
-            f"try_cast(element_at({_SPLITS}, -1).{lead} as double) as __hi",
-        )
-        .selectExpr(*key, _SPLITS, "__cells", "__lo", "if(__hi > __lo, (__hi - __lo) / __cells, 1D) as __w")
-        .selectExpr(
-            "*",
-            f"""transform(sequence(0, __cells + 2), c ->
-                {_count_where(f'{at_split} < c', '0', f'size({_SPLITS})')}) as __base""",
-        )
+def split_points(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Split points with the segment they lie in: key, order, level, __c2, __c1."""
+    names = [*key, *order]
+    rows = rows_per_chunk(df)
+    level = "case " + " ".join(
+        f"when pmod(__h, {rows * _FANOUT ** k}) = 0 then {k}" for k in (2, 1)) + " else 0 end"
+    points = (
+        df.selectExpr(*names, f"xxhash64({', '.join(names)}) as __h")
+        .where(f"pmod(__h, {rows}) = 0").distinct()
+        .selectExpr(*names, f"{level} as __level")
     )
+    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, "__c2").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda n, w: F.sum(F.when(F.col("__level") >= n, 1).otherwise(0)).over(w)
+    return points.withColumn("__c2", count(2, so_far)).withColumn("__c1", count(1, inside))
 
 
-def _cell(value: str) -> str:
-    """Grid cell of a value: 0 before the first split point, then upwards."""
-    place = f"floor((try_cast({value} as double) - __lo) / __w) + 1"
-    return f"cast(least(greatest({place}, 0L), cast(__cells + 1 as bigint)) as int)"
+def _count_before(points: str, position: str) -> str:
+    """Binary search in SQL: how many of the sorted `points` are at or before `position`."""
+    middle = "(__acc.lo + __acc.hi) div 2"
+    return f"""case when {points} is null then 0L else aggregate(
+        sequence(1, greatest(1, cast(ceil(log2(size({points}) + 1)) as int))),
+        struct(0L as lo, cast(size({points}) as bigint) as hi),
+        (__acc, __round) -> case when __acc.lo >= __acc.hi then __acc
+            when get({points}, cast({middle} as int)) <= {position} then struct({middle} + 1 as lo, __acc.hi as hi)
+            else struct(__acc.lo as lo, {middle} as hi) end,
+        __acc -> __acc.lo) end"""
 
 
 def _joined(
     df: DataFrame, key: Sequence[str], order: Sequence[str], split_source: DataFrame | None
 ) -> DataFrame:
-    """Rows with their chunk: the number of split points at or before them."""
-    points = split_points(split_source if split_source is not None else df, key, order)
-    grid = _indexed(points, key, order[0])
+    """Rows with their chunk, a number that grows with the order, and whether their key was split."""
+    source = split_source if split_source is not None else df
+    points = split_points(source, key, order)
     position = f"struct({', '.join(order)})"
-    search = _count_where(f"get({_SPLITS}, acc.mid) <= {position}", "__from", "__to")
-    return (
-        df.join(F.broadcast(grid), list(key), "left")
-        .selectExpr("*", f"{_cell(order[0])} as __c")
-        .selectExpr(
-            "*",
-            "coalesce(get(__base, __c), 0) as __from",
-            f"coalesce(get(__base, __c + 1), size({_SPLITS})) as __to",
-        )
-        .selectExpr(
-            *df.columns, _SPLITS,
-            f"""case when {_SPLITS} is null then 0 when __from = __to then __from
-                else {search} end as {CHUNK}""",
+    out = df
+    for level, cell in ((2, "__c2"), (1, "__c1"), (0, "__c0")):
+        at = [*key, *[c for c in ("__c2", "__c1") if c > cell]]
+        own = f"array_sort(collect_list(case when __level >= {level} then {position} end)) as __points"
+        side = points.where(f"__level >= {level}") if level < 2 else points
+        side = side.groupBy(*at).agg(F.expr(own), *([F.lit(True).alias(_HOT)] if level == 2 else []))
+        out = (
+            out.join(bounded(side, source), at, "left")
+            .selectExpr(
+                *[c for c in out.columns if c != _HOT],
+                _HOT, f"{_count_before('__points', position)} as {cell}")
         )
-    )
+    return out.selectExpr(
+        *df.columns, f"coalesce({_HOT}, false) as {_HOT}",
+        f"shiftleft(__c2, 40) + shiftleft(__c1, 20) + __c0 as {CHUNK}")
 
 
 def with_chunks(
@@ -166,7 +153,7 @@ def with_chunks(
     split_source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the chunk number of each row; keys without split points have one chunk."""
-    return _joined(df, key, order, split_source).drop(_SPLITS)
+    return _joined(df, key, order, split_source).drop(_HOT)
 
 
 class Scan:
@@ -181,12 +168,14 @@ class Scan:
     ):
         self.key, self.order = list(key), list(order)
         rows = _joined(df, self.key, self.order, split_source)
-        self._all = rows.drop(_SPLITS)
-        self._hot = rows.where(f"{_SPLITS} is not null").drop(_SPLITS)
+        self._source = split_source if split_source is not None else df
+        self._all = rows.drop(_HOT)
+        self._hot = rows.where(_HOT).drop(_HOT)
 
     def _copy(self, all_rows: DataFrame, hot_rows: DataFrame) -> "Scan":
         out = object.__new__(Scan)
         out.key, out.order, out._all, out._hot = self.key, self.order, all_rows, hot_rows
+        out._source = self._source
         return out
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> "Scan":
@@ -203,6 +192,10 @@ class Scan:
         """Rows of the keys that were split, with their chunk number."""
         return self._hot
 
+    def bounded(self, side: DataFrame) -> DataFrame:
+        """`side`, with one row per chunk, for a join with the rows."""
+        return bounded(side, self._source)
+
     @property
     def df(self) -> DataFrame:
         return self._all.drop(CHUNK)
@@ -259,7 +252,7 @@ class Scan:
                 "sum": lambda: F.sum(op.col),
             }.get(op.kind, lambda: F.last(op.col, ignorenulls=True))()
             local[name] = fn.over(frame)
-        out = df.withColumns(local).join(F.broadcast(carry), [*self.key, CHUNK], "left")
+        out = df.withColumns(local).join(self.bounded(carry), [*self.key, CHUNK], "left")
         merged = {}
         for name, op in ops.items():
             here, before = F.col(name), F.col(f"__carry_{name}")

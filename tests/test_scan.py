@@ -46,3 +46,27 @@ def test_scan_matches_loop(spark, tiny_chunks):
             assert r.nx == next((x.v for x in rs[n + 1:] if x.v is not None), None)
             assert r.pv == (rs[n - 1].v if n else None)
             assert r.pv2 == (rs[n - 2].v if n > 1 else None)
+
+
+def test_chunks_follow_the_order(spark, tiny_chunks, monkeypatch):
+    """All three levels of split points, with ties on the leading column."""
+    monkeypatch.setattr(S, "_FANOUT", 4)
+    df = spark.range(3000).selectExpr("id % 2 as k", "id div 20 as t", "id as i")
+    rows = S.with_chunks(df, ["k"], ["t", "i"]).collect()
+    assert len(rows) == 3000
+    for key in (0, 1):
+        own = sorted((r.t, r.i, r[S.CHUNK]) for r in rows if r.k == key)
+        chunks = [c for _, _, c in own]
+        assert chunks == sorted(chunks) and 150 < len(set(chunks)) < 600
+        assert max(chunks) >> 40 > 1 and max(c >> 20 & 0xFFFFF for c in chunks) > 1
+
+
+def test_more_points_than_one_list_could_hold(spark):
+    """Over 65 536 split points of one key; chunks stay small."""
+    spark.conf.set(S.CONF_ROWS, "3")
+    try:
+        df = spark.range(260_000).selectExpr("1 as k", "id as t")
+        out = S.with_chunks(df, ["k"], ["t"]).groupBy(S.CHUNK).count().agg(F.count("*"), F.max("count")).first()
+        assert out[0] > 65_536 and out[1] < 80
+    finally:
+        spark.conf.unset(S.CONF_ROWS)
