@@ -7,9 +7,10 @@ microseconds since the epoch everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.functions.numeric import epoch_us
 from cutline.plans import scan as S
 
 SECOND = 1_000_000
@@ -24,18 +25,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # --- timelines -------------------------------------------------------------
 
 
-def epoch_us(spark: SparkSession, col: str) -> Column:
-    """Microseconds of a zone-less timestamp, whatever the session's time zone."""
-    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT"):
-        return F.unix_micros(F.col(col).cast("timestamp"))
-    since = f"({col} - timestamp_ntz'1970-01-01 00:00:00')"
-    return F.expr(
-        f"""extract(day from {since}) * 86400000000L + extract(hour from {since}) * 3600000000L
-            + extract(minute from {since}) * 60000000L
-            + cast(extract(second from {since}) * 1000000 as bigint)"""
-    )
-
-
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("asset_id"),
@@ -281,28 +270,18 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CUTS_PER_PROJECT = 1_000
-
-
 def projects(spark: SparkSession, sf: str) -> DataFrame:
-    """Saved-settings JSON per asset; assets divisible by 10 hold junk.
-
-    A project lists at most CUTS_PER_PROJECT cuts; assets with more get several.
-    """
-    numbered = S.Scan(cuts(spark, sf), ["asset_id"], ["st_us", "en_us"]).run(ix=S.row_index()).df
-    listed = numbered.groupBy(
-        "asset_id", F.expr(f"ix div {CUTS_PER_PROJECT}").alias("part")
-    ).agg(
+    """Saved-settings JSON per asset, which lists its cuts; assets divisible by 10 hold junk."""
+    listed = cuts(spark, sf).groupBy("asset_id").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("st_us").alias("start"), F.col("en_us").alias("end")))
         ).alias("cuts")
     )
-    part = F.when(F.col("part") > 0, F.concat(F.lit("-"), "part")).otherwise("")
     doc = F.to_json(
         F.struct(
             F.lit(1).alias("v"),
             F.struct(
-                F.concat(F.lit("asset"), F.col("asset_id"), part).alias("name"),
+                F.concat(F.lit("asset"), F.col("asset_id")).alias("name"),
                 F.col("duration_us").alias("size"),
                 F.col("start_us").alias("lastModified"),
             ).alias("file"),

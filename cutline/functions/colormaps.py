@@ -33,6 +33,9 @@ BREWER = {
     "Spectral": "9e0142 d53e4f f46d43 fdae61 fee08b ffffbf e6f598 abdda4 66c2a5 3288bd 5e4fa2",
 }
 
+# Names of maps that exist as tables only.
+TABULATED = ("viridis", "plasma", "inferno", "magma", "cividis", "turbo", "coolwarm")
+
 # Break points (position, level) per channel, both in 0..1.
 SEGMENTS = {
     "hot": (
@@ -83,11 +86,16 @@ def builtin_luts(spark: SparkSession) -> DataFrame:
     spans = spark.createDataFrame(rows, "map_key string, c int, x0 double, y0 double, x1 double, y1 double")
     inside = "idx / 255D >= x0 and (idx / 255D < x1 or (x1 = 1 and idx = 255))"
     along = "(idx - x0 * 255D) / (x1 * 255D - x0 * 255D)"
-    level = f"cast(floor(({along} * (y1 - y0) + y0) * 255D + 0.5D) as int)"
+    # the published tables round halves to even
+    level = f"cast(rint(({along} * (y1 - y0) + y0) * 255D) as int)"
     points = spans.selectExpr("*", "explode(sequence(0, 255)) as idx").where(inside)
-    return points.groupBy("map_key", "idx").agg(
+    lines = points.groupBy("map_key", "idx").agg(
         *[F.expr(f"max(case when c = {i} then {level} end) as {n}") for i, n in enumerate("rgb")]
     )
+    waves = {"r": "abs(2 * idx / 255D - 0.5D)", "g": "sin(pi() * idx / 255D)", "b": "cos(pi() * idx / 510D)"}
+    rainbow = spark.range(256).selectExpr("'rainbow' as map_key", "cast(id as int) as idx").selectExpr(
+        "*", *[f"cast(rint(least(1D, greatest(0D, {e})) * 255D) as int) as {c}" for c, e in waves.items()])
+    return lines.union(rainbow)
 
 
 def tone_curve(min_x: int, mid_y: float, max_x: int, invert: bool = False) -> list[int]:

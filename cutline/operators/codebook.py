@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-MAX_CODES = 256
+MAX_CODES = 256  # of a palette
+BLOCK_CODES = 4096
 
 
 def palette_stats(pixels: DataFrame, by: Sequence[str] = ("anim_id",)) -> DataFrame:
@@ -39,16 +44,33 @@ def _moments(dims: Sequence[str]) -> list[Column]:
 
 
 def moment_stats(points: DataFrame, dims: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per group and pair i <= j: n, sum of products and n * covariance."""
-    wide = points.groupBy(*by).agg(*_moments(dims))
-    pairs = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("s"),
-            (F.col(f"r{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}") / F.col("n")).alias("cov_n"),
-        )
-        for i in range(len(dims)) for j in range(i, len(dims))
-    ]
-    return wide.select(*by, "n", F.inline(F.array(*pairs)))
+    """One row per group and pair i <= j: n, sum of products and n * covariance.
+
+    d(d+1)/2 sums outgrow one generated aggregate, so each Arrow batch gives its partial
+    sums per group as matrix products, and Spark adds the partial rows up.
+    """
+    dims, by = list(dims), list(by)
+    head = T.StructType([points.schema[c] for c in by])
+    schema = T.StructType([
+        *head, *(T.StructField(n, T.IntegerType()) for n in "ij"), T.StructField("n", T.LongType()),
+        *(T.StructField(n, T.DoubleType()) for n in ("s", "mi", "mj"))])
+    i, j = np.triu_indices(len(dims))
+
+    def partial(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for group, rows in pdf.groupby(by, dropna=False):
+                x = rows[dims].to_numpy(np.float64)
+                total, prods = x.sum(axis=0), x.T @ x
+                out = {c: np.repeat(np.array([v]), len(i)) for c, v in zip(by, group)}
+                out |= {"i": i, "j": j, "n": len(x), "s": prods[i, j], "mi": total[i], "mj": total[j]}
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out), schema=arrow, preserve_index=False)
+
+    arrow = to_arrow_schema(schema)
+    merged = points.select(*by, *dims).mapInArrow(partial, schema).groupBy(*by, "i", "j").agg(
+        *(F.sum(c).alias(c) for c in ("n", "s", "mi", "mj")))
+    return merged.select(
+        *by, "i", "j", "n", "s", (F.col("s") - F.col("mi") * F.col("mj") / F.col("n")).alias("cov_n"))
 
 
 @dataclass
@@ -209,19 +231,56 @@ def pca_split_codebook(
 def assign_nearest(points: DataFrame, codes: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Adds `code`, the exact nearest of codes(code, dims...); ties take the lower code.
 
-    A codebook has at most 256 rows (checked), so it becomes part of the
-    expression and points are neither joined nor shuffled.
+    Distances are matrix operations on Arrow batches.  Codes are cut into blocks of
+    `BLOCK_CODES`.  One block (the usual codebook) is broadcast; with more, every point
+    meets every block by a join on the block number and the nearest of the blocks is kept.
     """
-    rows = codes.select("code", *dims).orderBy("code").limit(MAX_CODES + 1).collect()
-    if len(rows) > MAX_CODES:
-        raise ValueError(f"a codebook holds at most {MAX_CODES} codes")
-
-    def distance(row) -> str:
-        total = " + ".join(
-            f"({c} - ({float(row[c])!r}D)) * ({c} - ({float(row[c])!r}D))" for c in dims
-        )
-        return f"named_struct('d', {total}, 'code', {int(row['code'])})"
-
-    every = [distance(r) for r in rows]
-    best = every[0] if len(every) == 1 else f"least({', '.join(every)})"
-    return points.withColumn("code", F.expr(best).getField("code"))
+    dims = list(dims)
+    listed = codes.select("code", *dims)
+    count = listed.limit(BLOCK_CODES + 1).count()
+    names = [f"c{k}" for k in range(len(points.columns))]
+    plain = points.toDF(*names)
+    at = [points.columns.index(c) for c in dims]
+    schema = T.StructType([
+        *plain.schema, T.StructField("d", T.DoubleType()), T.StructField("code", codes.schema["code"].dataType)])
+
+    def nearest(x, code, centres):
+        best = np.full(len(x), np.inf)
+        pick = np.zeros(len(x), np.int64)
+        for row in range(0, len(x), 1024):
+            part = x[row:row + 1024]
+            d = np.zeros((len(part), len(centres)))
+            for k in range(len(dims)):
+                d += (part[:, k:k + 1] - centres[None, :, k]) ** 2
+            pick[row:row + 1024] = d.argmin(axis=1)
+            best[row:row + 1024] = d.min(axis=1)
+        return best, code[pick]
+
+    if count <= BLOCK_CODES:
+        held = sorted(tuple(r) for r in listed.collect())
+        if not held:
+            raise ValueError("a codebook holds at least one code")
+        code, centres = np.array([r[0] for r in held]), np.array([r[1:] for r in held], np.float64)
+
+        def run(batches):
+            for batch in batches:
+                x = np.stack([np.asarray(batch.column(k), np.float64) for k in at], axis=1)
+                d, found = nearest(x, code, centres)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(d), pa.array(found, arrow.field("code").type)], schema=arrow)
+
+        arrow = to_arrow_schema(schema)
+        return plain.mapInArrow(run, schema).drop("d").toDF(*points.columns, "code")
+
+    blocks = (codes.count() - 1) // BLOCK_CODES + 1
+    block = F.pmod(F.xxhash64("code"), F.lit(blocks))
+    books = listed.withColumn("block", block).groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("code", F.array(*dims).alias("v")))).alias("book"))
+    met = plain.withColumn("id", F.monotonically_increasing_id()).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(books, "block")
+    gap = lambda v: F.aggregate(F.zip_with(
+        F.array(*(F.col(names[k]).cast("double") for k in at)), v, lambda a, b: (a - b) * (a - b)),
+        F.lit(0.0), lambda x, y: x + y)
+    best = F.array_min(F.transform("book", lambda c: F.struct(gap(c["v"]).alias("d"), c["code"].alias("code"))))
+    return met.withColumn("best", best).groupBy("id", *names).agg(F.min("best").alias("best")).select(
+        *names, "best.code").toDF(*points.columns, "code")

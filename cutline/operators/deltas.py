@@ -42,7 +42,7 @@ def _box(changed: Column, tag: str) -> list[Column]:
 
 
 def _size(tag: str) -> dict[str, Column]:
-    """Box with the no-change case replaced box_y 1 x 1 at the origin."""
+    """Box with the no-change case replaced by 1 x 1 at the origin."""
     one, zero = F.lit(1), F.lit(0)
     return {
         f"box_x_{tag}": F.coalesce(f"x0_{tag}", zero),
@@ -148,7 +148,7 @@ def replay_kept(
 
     A delta holds until the cell's next one, or to the animation's last frame
     (`frames(anim_id, last_seq)`), so each row expands to its own frames and no
-    frame-box_y-cell grid is joined.
+    frame-by-cell grid is joined.
     """
     held = S.Scan(deltas, CELL, ["seq"]).run(until=S.next_value(F.col("seq"))).df
     stop = F.coalesce(F.col("until") - 1, F.col("last_seq"))

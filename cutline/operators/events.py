@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.operators import intervals as B
 from cutline.operators.thinning import thin_min_gap
 from cutline.plans import scan as S
 from cutline.plans.stage import stage
+from cutline.plans.topn import first_n
 
 ORDER = ["t_us", "sample_id"]
 
@@ -98,13 +99,8 @@ def drop_superseded(
 def keep_last_n(
     events: DataFrame, n: int = 60, key: Sequence[str] = ("asset_id",)
 ) -> DataFrame:
-    """The newest n events per key.
-
-    Spark limits each task to its own newest n before the shuffle, so a hot key
-    sends n rows per task, not all of them.
-    """
-    newest = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in ORDER])
-    return events.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= n)
+    """The newest n events per key, with their age 1..n."""
+    return first_n(events, key, [F.desc(c) for c in ORDER], n, "age")
 
 
 def kept_thinned(

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.numeric import clamp
 from cutline.plans import scan as S
+from cutline.plans.topn import first_n
 
 NAME = ["doc_id", "name"]
 VALUE = ["v_bool", "v_str", "v_arr"]
@@ -54,7 +55,7 @@ def field_values(fields: DataFrame) -> DataFrame:
 
 def _filled() -> Column:
     return F.coalesce(
-        F.col("v_bool"), F.size("v_arr") > 0, F.length("v_str") > 0, F.lit(False)
+        F.col("v_bool"), F.array_size("v_arr") > 0, F.length("v_str") > 0, F.lit(False)
     )
 
 
@@ -125,11 +126,8 @@ def write_report(results: DataFrame, show: int = 4) -> DataFrame:
         F.count_if("ok").alias("written"), F.count_if(~F.col("ok")).alias("failed"),
         F.coalesce(F.sum(F.when(F.col("ok"), F.col("subs"))), F.lit(0)).alias("substituted"),
     )
-    first = Window.partitionBy("doc_id").orderBy("ord")
     lost = (
-        results.where(~F.col("ok"))
-        .withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= show)
+        first_n(results.where(~F.col("ok")), ["doc_id"], [F.col("ord")], show, "rank")
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("lost"))
     )

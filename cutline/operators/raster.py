@@ -69,8 +69,11 @@ ASPECTS = {
 def fit_boxes(boxes: DataFrame, aspect: str = "free", rot: int = 0, flip: str = "none") -> DataFrame:
     """boxes(x, y, w, h in a frame fw x fh) carried through turn, flip and aspect.
 
-    The reshaped box keeps its centre and is rounded and moved inside the frame.
+    A quarter turn also turns the aspect (16:9 becomes 9:16).  The reshaped box keeps its
+    centre and is rounded and moved inside the frame.
     """
+    if rot in (90, 270) and ":" in aspect:
+        aspect = ":".join(reversed(aspect.split(":")))
     x, y, w, h, fw, fh = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "fw", "fh"))
     turned = {
         0: (x, y, w, h, fw, fh),

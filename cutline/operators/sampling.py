@@ -17,7 +17,8 @@ def _series(df: DataFrame, count: Column, name: str) -> DataFrame:
     """Rows 0..count-1 per input row.
 
     Expanded in two steps: few block rows first, which are spread over tasks, then
-    their contents.  So neither an array nor a task grows with the length of a range.
+    their contents.  So neither an array nor a task grows with the length of a range
+    or with the number of ranges of an asset.
     """
     blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 1) div {_BLOCK}"))
     inner = F.sequence(
@@ -27,7 +28,7 @@ def _series(df: DataFrame, count: Column, name: str) -> DataFrame:
         df.withColumn("__n", count.cast("bigint"))
         .where("__n > 0")
         .withColumn("__b", F.explode(blocks))
-        .repartition("asset_id", "__b")
+        .repartition(*df.columns, "__b")
         .withColumn(name, F.explode(inner))
         .drop("__n", "__b")
     )

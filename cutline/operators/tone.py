@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cutline.functions.colormaps import TABULATED
 from cutline.functions.numeric import half_up
 
 RGB = ["r", "g", "b"]
@@ -76,8 +77,11 @@ def colormap(
     """Channel, optional curve, then the map's row; alpha is left alone.
 
     One map has 256 rows, hence the broadcast.  A key the table does not hold
-    falls back to gray, which maps a value to itself.
+    falls back to gray, which maps a value to itself; a tabulated map the table
+    lacks is an error.
     """
+    if key in TABULATED and lut.where(F.col("map_key") == key).isEmpty():
+        raise ValueError(f"supply the table of the map {key!r}")
     v = channel_value(which)
     if curve is not None:
         v = _lut(curve, v)
@@ -250,20 +254,22 @@ def composite_over(bottom: DataFrame, top: DataFrame, opacity: float = 1.0) -> D
     key = ["frame_id", "x", "y"]
     under = bottom.select(*key, *[F.col(c).alias(f"b{c}") for c in [*RGB, "a"]])
     over = top.select(*key, *[F.col(c).alias(f"t{c}") for c in [*RGB, "a"]])
-    fa = F.coalesce("ta", F.lit(0)) * F.lit(1 / 255) * F.lit(opacity)
-    ba = F.coalesce("ba", F.lit(0)) * F.lit(1 / 255)
-    both = under.join(over, key, "full_outer").withColumns({"fa": fa, "ga": ba})
-    keep = F.lit(1.0) - F.col("fa")
-    both = both.withColumn("oa", F.col("fa") + F.col("ga") * keep)
-    both = both.withColumn("ioa", F.when(F.col("oa") == 0, 0.0).otherwise(F.lit(1.0) / F.col("oa")))
+    both = under.join(over, key, "full_outer").withColumns({
+        "top_alpha": F.coalesce("ta", F.lit(0)) * F.lit(1 / 255) * F.lit(opacity),
+        "low_alpha": F.coalesce("ba", F.lit(0)) * F.lit(1 / 255),
+    })
+    keep = F.lit(1.0) - F.col("top_alpha")
+    both = both.withColumn("out_alpha", F.col("top_alpha") + F.col("low_alpha") * keep)
+    both = both.withColumn(
+        "per_alpha", F.when(F.col("out_alpha") == 0, 0.0).otherwise(F.lit(1.0) / F.col("out_alpha")))
 
     def mixed(c: str) -> Column:
-        f = F.coalesce(f"t{c}", F.lit(0)) * F.col("fa")
-        b = F.coalesce(f"b{c}", F.lit(0)) * F.col("ga")
-        blended = F.floor((f + b * keep) * F.col("ioa")).cast("int")
+        above = F.coalesce(f"t{c}", F.lit(0)) * F.col("top_alpha")
+        below = F.coalesce(f"b{c}", F.lit(0)) * F.col("low_alpha")
+        blended = F.floor((above + below * keep) * F.col("per_alpha")).cast("int")
         return F.when(F.col("ta").isNull(), F.col(f"b{c}")).otherwise(blended).alias(c)
 
-    alpha = F.floor(F.lit(255) * F.col("oa")).cast("int")
+    alpha = F.floor(F.lit(255) * F.col("out_alpha")).cast("int")
     return both.select(
         *key, *[mixed(c) for c in RGB],
         F.when(F.col("ta").isNull(), F.col("ba")).otherwise(alpha).alias("a"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cutline.fixtures import epoch_us
+from cutline.functions.numeric import epoch_us
 from cutline.operators.intervals import accumulate
 from cutline.plans.stage import stage, stage_root
 from cutline.session import SETTINGS

@@ -10,7 +10,7 @@ from cutline.operators import deltas as N
 from cutline.operators import tone as D
 from cutline.plans.stage import stage
 
-DIMS = ["v0", "v1", "v2", "v3"]
+DIMS = [f"v{i}" for i in range(64)]
 RGBA = ["r", "g", "b", "a"]
 CODES = 16
 
@@ -118,15 +118,21 @@ _TILES = """
                      CASE WHEN a < 100 THEN 0 ELSE b // 64 END AS b,
                      CASE WHEN a < 100 THEN 0 ELSE 255 END AS a FROM pixels)"""
 
-_MOMENTS = " UNION ALL ".join(
-    f"SELECT label, {i} AS i, {j} AS j, count(*) AS n, round(sum(v{i} * v{j}), 6) AS s,"
-    f" round(sum(v{i} * v{j}) - sum(v{i}) * sum(v{j}) / count(*), 6) AS cov_n FROM v GROUP BY label"
-    for i in range(4) for j in range(i, 4)
-)
+_MOMENTS = """
+    , cells AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS e FROM vectors),
+    one AS (SELECT label, i, count(*) AS n, sum(e) AS m FROM cells GROUP BY label, i),
+    two AS (SELECT a.label, a.i, b.i AS j, sum(a.e * b.e) AS s
+            FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i)
+    SELECT two.label, CAST(two.i AS INTEGER) AS i, CAST(two.j AS INTEGER) AS j, p.n, round(s, 6) AS s,
+           round(s - p.m * q.m / p.n, 6) AS cov_n
+    FROM two JOIN one p ON p.label = two.label AND p.i = two.i JOIN one q ON q.label = two.label AND q.i = two.j"""
 _VEC = "v AS (SELECT vec_id, label, " + ", ".join(
-    f"embedding[{i + 1}] AS v{i}" for i in range(4)
+    f"embedding[{i + 1}] AS v{i}" for i in range(len(DIMS))
 ) + " FROM vectors)"
 
+_CENTRES = ", ".join(f"round(avg(v{i}), 6) AS c{i}" for i in range(len(DIMS)))
+_DISTANCE = " + ".join(f"(v{i} - c{i}) * (v{i} - c{i})" for i in range(len(DIMS)))
+
 ORACLE = {
     "f1_change_bbox": X.with_tables("levels", f"""
         SELECT c.anim_id, c.seq, {_BOX.format(c='c.q <> p.q', t='').replace('(x)', '(c.x)').replace('(y)', '(c.y)')}
@@ -181,11 +187,8 @@ ORACLE = {
               FROM pixels GROUP BY frame_id)"""),
     "f6_assign_nearest": X.with_tables("vectors", f"""
         WITH {_VEC},
-        codes AS (SELECT label AS code, round(avg(v0), 6) AS c0, round(avg(v1), 6) AS c1,
-                         round(avg(v2), 6) AS c2, round(avg(v3), 6) AS c3 FROM v GROUP BY label)
-        SELECT vec_id, arg_min(code, struct_pack(
-                   d := (v0 - c0) * (v0 - c0) + (v1 - c1) * (v1 - c1) + (v2 - c2) * (v2 - c2)
-                        + (v3 - c3) * (v3 - c3), c := code)) AS code
+        codes AS (SELECT label AS code, {_CENTRES} FROM v GROUP BY label)
+        SELECT vec_id, arg_min(code, struct_pack(d := {_DISTANCE}, c := code)) AS code
         FROM v, codes GROUP BY vec_id"""),
     "f7_replay_kept": X.with_tables("levels", "SELECT anim_id, seq, x, y, q FROM levels"),
     "f7_replay_disposed": X.with_tables("pixels", f"""

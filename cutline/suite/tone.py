@@ -133,7 +133,10 @@ def _heights_sql(f: str) -> str:
         FROM ({_hist_sql(1)}) WINDOW w AS (PARTITION BY frame_id)""")
 
 
-_OVER = "CAST(floor((coalesce(t.{c}, 0) * fa + coalesce(p.{c}, 0) * ba * (1 - fa)) * ioa) AS INTEGER)"
+_OVER = (
+    "CAST(floor((coalesce(top_{c}, 0) * top_alpha + coalesce(low_{c}, 0) * low_alpha * (1 - top_alpha))"
+    " * per_alpha) AS INTEGER)"
+)
 
 
 def _fit(x, y, w, h, fw, fh, ratio) -> str:
@@ -209,22 +212,23 @@ ORACLE = {
         SELECT frame_id, bool_or(a < 250) AS has_alpha, bit_and(a) <> 255 AS not_opaque
         FROM pixels GROUP BY frame_id"""),
     "d12_composite_over": X.with_tables("pixels", f"""
-        WITH over_ AS (SELECT frame_id + 1 AS frame_id, x, y, r, g, b, a FROM pixels),
-        al AS (
-            SELECT coalesce(p.frame_id, t.frame_id) AS fid, coalesce(p.x, t.x) AS cx,
-                   coalesce(p.y, t.y) AS cy, p, t,
-                   coalesce(t.a, 0) * (1.0::DOUBLE / 255) * 0.6::DOUBLE AS fa,
-                   coalesce(p.a, 0) * (1.0::DOUBLE / 255) AS ba
-            FROM pixels p FULL JOIN over_ t
-              ON p.frame_id = t.frame_id AND p.x = t.x AND p.y = t.y),
-        oa AS (SELECT *, fa + ba * (1 - fa) AS oa FROM al),
-        io AS (SELECT *, CASE WHEN oa = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / oa END AS ioa FROM oa)
+        WITH base AS MATERIALIZED (SELECT frame_id, x, y, r, g, b, a FROM pixels),
+        paired AS MATERIALIZED (
+            SELECT coalesce(p.frame_id, t.frame_id + 1) AS fid, coalesce(p.x, t.x) AS cx, coalesce(p.y, t.y) AS cy,
+                   p.r AS low_r, p.g AS low_g, p.b AS low_b, p.a AS low_a,
+                   t.r AS top_r, t.g AS top_g, t.b AS top_b, t.a AS top_a,
+                   coalesce(t.a, 0) * (1.0::DOUBLE / 255) * 0.6::DOUBLE AS top_alpha,
+                   coalesce(p.a, 0) * (1.0::DOUBLE / 255) AS low_alpha
+            FROM base p FULL JOIN base t ON p.frame_id = t.frame_id + 1 AND p.x = t.x AND p.y = t.y),
+        mixed AS (SELECT *, top_alpha + low_alpha * (1 - top_alpha) AS out_alpha FROM paired),
+        scaled AS (SELECT *, CASE WHEN out_alpha = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / out_alpha END AS per_alpha
+                   FROM mixed)
         SELECT fid AS frame_id, cx AS x, cy AS y,
-               CASE WHEN t.a IS NULL THEN p.r ELSE {_OVER.format(c='r')} END AS r,
-               CASE WHEN t.a IS NULL THEN p.g ELSE {_OVER.format(c='g')} END AS g,
-               CASE WHEN t.a IS NULL THEN p.b ELSE {_OVER.format(c='b')} END AS b,
-               CASE WHEN t.a IS NULL THEN p.a ELSE CAST(floor(255 * oa) AS INTEGER) END AS a
-        FROM io"""),
+               CASE WHEN top_a IS NULL THEN low_r ELSE {_OVER.format(c='r')} END AS r,
+               CASE WHEN top_a IS NULL THEN low_g ELSE {_OVER.format(c='g')} END AS g,
+               CASE WHEN top_a IS NULL THEN low_b ELSE {_OVER.format(c='b')} END AS b,
+               CASE WHEN top_a IS NULL THEN low_a ELSE CAST(floor(255 * out_alpha) AS INTEGER) END AS a
+        FROM scaled"""),
     "d13_premultiply": X.with_tables("pixels", """
         SELECT frame_id, x, y, CAST(floor(r * (a * (1.0::DOUBLE / 255))) AS INTEGER) AS r,
                CAST(floor(g * (a * (1.0::DOUBLE / 255))) AS INTEGER) AS g,
@@ -257,7 +261,7 @@ ORACLE = {
                CAST(floor(sum(v * ox * oy) * 15 + 0.5::DOUBLE + 1e-9::DOUBLE) AS INTEGER) AS v
         FROM parts WHERE ox > 1e-12 AND oy > 1e-12 GROUP BY frame_id, tx, ty"""),
     "e4_fit_boxes": _fit(
-        "fh - (fh - (y + h) + h)", "x", "h", "w", "fh", "fw", "16::DOUBLE / 9"
+        "fh - (fh - (y + h) + h)", "x", "h", "w", "fh", "fw", "9::DOUBLE / 16"
     ),
     "e4_fit_boxes_orig": _fit(
         "fw - (x + w)", "fh - (fh - (y + h) + h)", "w", "h", "fw", "fh", "fw / fh"
