@@ -33,6 +33,33 @@ def classify_fields(widgets: DataFrame) -> DataFrame:
     return widgets.where(shown).withColumn("kind", kind).where("kind is not null")
 
 
+def typed_values(fields: DataFrame) -> DataFrame:
+    """The raw value of a field as a tagged union by its kind: v_bool, v_str, v_arr.
+
+    Raw values are `raw_str` or, for several choices, `raw_arr`; `export_value` is the
+    widget's own name for "on".  A checkbox is true when it has a value other than Off
+    that equals its export value (any, if it has none); Off clears a radio button; a
+    single choice becomes a list of one; other kinds default to the empty string.
+    """
+    value, own = F.col("raw_str"), F.col("export_value")
+    on = value.isNotNull() & (value != "Off") & (own.isNull() | (value == own))
+    choice = F.col("kind").isin("combo", "list")
+    many = F.coalesce(F.col("raw_arr"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<string>"))
+    radio = F.when(value != "Off", value)
+    plain = ~F.col("kind").isin("checkbox", "radio", "combo", "list")
+    return fields.withColumns({
+        "v_bool": F.when(F.col("kind") == "checkbox", F.coalesce(on, F.lit(False))),
+        "v_str": F.when(F.col("kind") == "radio", radio).when(plain, F.coalesce(value, F.lit(""))),
+        "v_arr": F.when(choice, many),
+    }).drop("raw_str", "raw_arr", "export_value")
+
+
+def option_pairs(options: Column) -> Column:
+    """array<struct<value, label>> in which each of the two stands in for the other if missing."""
+    return F.transform(options, lambda o: F.struct(
+        F.coalesce(o["value"], o["label"]).alias("value"), F.coalesce(o["label"], o["value"]).alias("label")))
+
+
 def field_values(fields: DataFrame) -> DataFrame:
     """One row per name: the first widget's value, the last writable one's metadata.
 

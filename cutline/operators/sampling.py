@@ -56,10 +56,19 @@ def even_grid(keep: DataFrame, n: int) -> DataFrame:
     """Exactly n source times per asset, centred in n equal slices of kept time."""
     if n < 2:
         raise ValueError("a grid needs at least 2 points")
+    return _even(keep, F.lit(n))
+
+
+def even_grid_at_rate(keep: DataFrame, fps: float) -> DataFrame:
+    """As `even_grid`, with max(2, round(fps * kept seconds)) times for each asset."""
+    return _even(keep, F.greatest(F.lit(2).cast("bigint"), half_up(F.col("total") * F.lit(fps / 1e6))))
+
+
+def _even(keep: DataFrame, n: Column) -> DataFrame:
     total = keep.groupBy(*KEY).agg(F.sum(F.col("en_us") - F.col("st_us")).alias("total"))
-    points = _series(total, F.lit(n), "i").select(
+    points = _series(total.withColumn("n", n.cast("bigint")), F.col("n"), "i").select(
         "asset_id", F.col("i").alias("sample_id"),
-        F.expr(f"total * (2 * i + 1) div (2 * {n})").alias("o_us"),
+        F.expr("total * (2 * i + 1) div (2 * n)").alias("o_us"),
     )
     return B.from_output_time(points, keep).withColumnRenamed("sample_id", "i")
 

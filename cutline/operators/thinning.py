@@ -276,6 +276,18 @@ def thin_to_rate(samples: DataFrame, out_fps: float, src_fps: float) -> DataFram
     return thin_min_gap(samples, round(1e6 / out_fps))
 
 
+def thin_tracks(samples: DataFrame, rates: DataFrame, out_fps: float) -> DataFrame:
+    """Reduce every track to out_fps; tracks that are no faster are left alone.
+
+    `rates` holds (asset_id, track, fps), a row per track.
+    """
+    key = ["asset_id", "track"]
+    fast = F.coalesce(F.lit(out_fps) < F.col("fps") - 0.01, F.lit(False))
+    rated = samples.join(rates.select(*key, "fps"), key, "left").withColumn("fast", fast).drop("fps")
+    thinned = thin_min_gap(rated.where("fast").drop("fast"), round(1e6 / out_fps), key=key)
+    return thinned.unionByName(rated.where("not fast").drop("fast"))
+
+
 def throttle(events: DataFrame, gap_us: int = 33_000, key: Sequence[str] = ("asset_id",)):
     """Emit at most one event per gap: the same rule without slack."""
     return thin_min_gap(events, gap_us, slack_us=0, key=key)

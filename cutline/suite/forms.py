@@ -14,6 +14,15 @@ def _values(s, d):
     return H.field_values(X.fields(s, d))
 
 
+def _raw(s, d):
+    """Fields with values as a document stores them."""
+    return X.fields(s, d).selectExpr(
+        "doc_id", "page", "ord", "name", "kind",
+        "case k % 6 when 0 then null when 1 then 'Off' when 2 then 'Yes' when 3 then '' else cast(k as string) end as raw_str",
+        "case when kind = 'list' and k % 4 = 0 then array(cast(k as string), 'b') end as raw_arr",
+        "case when k % 7 > 3 then 'Yes' end as export_value")
+
+
 def _shown(values):
     """Arrays as text, so both engines hash the same bytes."""
     return values.withColumn("v_arr", F.array_join("v_arr", ","))
@@ -95,6 +104,7 @@ def _h12(s, d):
 
 
 QUERIES = {
+    "h2_typed_values": lambda s, d: _shown(H.typed_values(_raw(s, d))),
     "h1_classify_fields": lambda s, d: H.classify_fields(X.widgets(s, d)).select(
         "doc_id", "page", "ord", "name", "kind", "read_only"
     ),
@@ -157,6 +167,21 @@ ORACLE = {
                            WHEN multi_line THEN 'multiline' WHEN field_type = 'Tx' THEN 'text' END AS kind
             FROM widgets WHERE subtype = 'Widget' AND NOT hidden AND NOT push_button)
         WHERE kind IS NOT NULL"""),
+    "h2_typed_values": X.with_tables("fields", """
+        WITH raw AS (
+            SELECT doc_id, page, ord, name, kind,
+                   CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Off' WHEN 2 THEN 'Yes' WHEN 3 THEN ''
+                        ELSE CAST(k AS VARCHAR) END AS v,
+                   CASE WHEN kind = 'list' AND k % 4 = 0 THEN CAST(k AS VARCHAR) || ',b' END AS many,
+                   CASE WHEN k % 7 > 3 THEN 'Yes' END AS own
+            FROM fields)
+        SELECT doc_id, page, ord, name, kind,
+               CASE WHEN kind = 'checkbox'
+                    THEN coalesce(v <> 'Off', false) AND (own IS NULL OR coalesce(v = own, false)) END AS v_bool,
+               CASE WHEN kind = 'radio' THEN nullif(v, 'Off')
+                    WHEN kind NOT IN ('checkbox', 'combo', 'list') THEN coalesce(v, '') END AS v_str,
+               CASE WHEN kind IN ('combo', 'list') THEN coalesce(many, v, '') END AS v_arr
+        FROM raw"""),
     "h2_field_values": X.with_tables("fields", f"""
         WITH {_FIRST.strip()}
         SELECT * REPLACE (CASE WHEN v_arr IS NULL THEN NULL WHEN len(v_arr) = 0 THEN ''

@@ -13,6 +13,9 @@ from cutline.plans.stage import stage
 HOUR = 3600 * X.SECOND
 POINTS = 45
 FRAME_US = 66_667
+GRID_RATE = 1 / (36 * 3600)
+CLOCK = 1_000_000
+TRACK_FPS = 6.0
 
 
 def _slim(spark, sf):
@@ -28,6 +31,13 @@ def _asof(spark, sf):
     return C.asof_sample(grid, _slim(spark, sf), X.assets(spark, sf))
 
 
+def _tracks(spark, sf):
+    """Tracks on a compressed clock, of which about half are faster than the target."""
+    timed = C.ticks_to_us(X.media_samples(spark, sf)).selectExpr(
+        "asset_id", "sample_id", "track", f"t_us div {CLOCK} as t_us", "dur_us")
+    return thinning.thin_tracks(timed, C.estimate_fps(timed), TRACK_FPS).drop("dur_us")
+
+
 def _variants(spark, sf):
     return X.jobs(spark, sf).select(
         "job_id", "n", (F.lit(100.0) / F.col("fps")).alias("base_delay_cs")
@@ -44,8 +54,10 @@ QUERIES = {
     "c1_uniform_grid": lambda s, d: C.uniform_grid(_keep(s, d), HOUR),
     "c1_grid_count": lambda s, d: C.grid_count(_keep(s, d), HOUR),
     "c2_even_grid": lambda s, d: C.even_grid(_keep(s, d), POINTS),
+    "c2_even_grid_at_rate": lambda s, d: C.even_grid_at_rate(_keep(s, d), GRID_RATE),
     "c3_asof_sample": _asof,
     "c4_thin_min_gap": lambda s, d: thinning.thin_min_gap(_slim(s, d), X.GAP_36000S),
+    "c4_thin_tracks": _tracks,
     "c5_take_every": lambda s, d: C.take_every(_slim(s, d), 3),
     "c6_mark_keyframes": lambda s, d: C.mark_keyframes(_slim(s, d), 2.5),
     "c7_retime_speed": lambda s, d: C.retime(_variants(s, d), "speed", speed=1.5),
@@ -99,6 +111,16 @@ ORACLE = {
         FROM pts p JOIN kept_acc k ON p.asset_id = k.asset_id
          AND o_us <= acc + en_us - st_us AND (o_us > acc OR acc = 0)
         GROUP BY ALL"""),
+    "c2_even_grid_at_rate": X.with_tables("kept_acc", f"""
+        WITH totals AS (SELECT asset_id, CAST(sum(en_us - st_us) AS BIGINT) AS total
+                        FROM keep GROUP BY asset_id),
+        sized AS (SELECT *, greatest(2, CAST(floor(total * ({GRID_RATE!r}::DOUBLE / 1e6::DOUBLE) + 0.5) AS BIGINT)) AS n FROM totals),
+        pts AS (SELECT asset_id, i, total * (2 * i + 1) // (2 * n) AS o_us
+                FROM (SELECT *, unnest(range(n)) AS i FROM sized))
+        SELECT p.asset_id, i, o_us, min(st_us + o_us - acc) AS t_us
+        FROM pts p JOIN kept_acc k ON p.asset_id = k.asset_id
+         AND o_us <= acc + en_us - st_us AND (o_us > acc OR acc = 0)
+        GROUP BY ALL"""),
     "c3_asof_sample": X.with_tables("keep assets samples", f"""
         WITH grid AS (SELECT asset_id, unnest(range(st_us, en_us - 100, {HOUR})) AS t_us FROM keep),
         capped AS (SELECT g.asset_id, t_us, least(t_us, end_us - 1000) AS at_us
@@ -107,6 +129,27 @@ ORACLE = {
         FROM capped c ASOF LEFT JOIN samples s
           ON c.asset_id = s.asset_id AND c.at_us >= s.t_us"""),
     "c4_thin_min_gap": greedy_sql(1),
+    "c4_thin_tracks": X.with_tables("media_samples", f"""
+        WITH timed AS (SELECT asset_id, sample_id, track, t_us // {CLOCK} AS t_us, dur_us FROM ({_MICROS})),
+        rates AS (SELECT asset_id, track, count(*) AS n,
+                         max(t_us) - min(t_us) + coalesce(
+                             arg_max_null(dur_us, struct_pack(t := t_us, s := sample_id)), 0) AS span
+                  FROM timed GROUP BY asset_id, track),
+        gated AS (SELECT t.*, coalesce({TRACK_FPS}::DOUBLE < CASE WHEN span > 0 THEN n * 1e6::DOUBLE / span END - 0.01::DOUBLE,
+                                       false) AS fast
+                  FROM timed t JOIN rates USING (asset_id, track)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY asset_id, track ORDER BY t_us, sample_id) AS rn
+                   FROM gated WHERE fast),
+        picks AS (
+            SELECT asset_id, track, min(t_us) AS t_us FROM ranked GROUP BY asset_id, track
+            UNION ALL
+            SELECT s.asset_id, s.track, min(s.t_us) FROM picks p JOIN ranked s
+              ON s.asset_id = p.asset_id AND s.track = p.track AND s.t_us + 1 >= p.t_us + {round(1e6 / TRACK_FPS)}
+            GROUP BY s.asset_id, s.track, p.t_us)
+        SELECT s.asset_id, min(s.sample_id) AS sample_id, s.track, s.t_us
+        FROM picks p JOIN ranked s ON s.asset_id = p.asset_id AND s.track = p.track AND s.t_us = p.t_us
+        GROUP BY s.asset_id, s.track, s.t_us
+        UNION ALL SELECT asset_id, sample_id, track, t_us FROM gated WHERE NOT fast""", recursive=True),
     "c5_take_every": X.with_tables("samples", """
         SELECT asset_id, sample_id, t_us, i FROM (
             SELECT asset_id, sample_id, t_us, row_number() OVER w - 1 AS i,
