@@ -73,10 +73,12 @@ def best_predecessor(cells: DataFrame, cols: Sequence[str] = ("q",)) -> DataFram
     within a run of frames where it would win every other frame takes it.
     `dispose` is 2 where the next frame looks two back.
     """
-    value = _value(cols)
+    return _choose(with_previous(cells, cols, depth=2), _value(cols))
+
+
+def _choose(past: DataFrame, value: Column) -> DataFrame:
     boxes = (
-        with_previous(cells, cols, depth=2)
-        .where("seq > 0")
+        past.where("seq > 0")
         .groupBy(*FRAME)
         .agg(*_box(~value.eqNullSafe(F.col("p1")), "p"), *_box(~value.eqNullSafe(F.col("p2")), "q"))
         .withColumns({**_size("p"), **_size("q")})
@@ -102,35 +104,33 @@ def best_predecessor(cells: DataFrame, cols: Sequence[str] = ("q",)) -> DataFram
 
 
 def delta_encode(pixels: DataFrame) -> DataFrame:
-    """Delta rows inside each frame's change box; frame 0 is kept whole.
+    """Delta rows inside each frame's change box, taken against the predecessor that
+    `best_predecessor` chooses; frame 0 is kept whole.
 
     A frame is blendable unless a changed pixel has new alpha < 220 over old alpha
     > 20.  Blendable frames (blend = 1) blank unchanged pixels, others copy the box.
+    `dispose` is 2 where the next frame builds on the one before this one.
     """
-    changed = ~_value(RGBA).eqNullSafe(F.col("p1"))
-    blocks = changed & (F.col("a") < 220) & (F.col("p1.a") > 20)
-    rows = stage(
-        with_previous(pixels, RGBA).withColumns({"changed": changed, "blocks": blocks}), "changes"
-    )
-    boxes = (
-        rows.where("seq > 0")
-        .groupBy(*FRAME)
-        .agg(*_box(F.col("changed"), "p"), F.bool_or("blocks").alias("copied"))
-        .withColumns(_size("p"))
-        .select(*FRAME, "box_x_p", "box_y_p", "box_w_p", "box_h_p", "copied")
-    )
+    past = stage(with_previous(pixels, RGBA, depth=2), "past")
+    choice = stage(_choose(past, _value(RGBA)).drop("area"), "choice")
+    base = F.when(F.col("lag") == 2, F.col("p2")).otherwise(F.col("p1"))
+    rows = past.join(choice, FRAME, "left").withColumn("base", base)
+    changed = ~_value(RGBA).eqNullSafe(F.col("base"))
+    blocks = changed & (F.col("a") < 220) & (F.col("base.a") > 20)
+    copied = rows.where("seq > 0").groupBy(*FRAME).agg(F.bool_or(blocks).alias("copied"))
     inside = (
-        (F.col("x") >= F.col("box_x_p")) & (F.col("x") < F.col("box_x_p") + F.col("box_w_p"))
-        & (F.col("y") >= F.col("box_y_p")) & (F.col("y") < F.col("box_y_p") + F.col("box_h_p"))
+        (F.col("x") >= F.col("box_x")) & (F.col("x") < F.col("box_x") + F.col("box_w"))
+        & (F.col("y") >= F.col("box_y")) & (F.col("y") < F.col("box_y") + F.col("box_h"))
     )
-    blank = ~F.coalesce("copied", F.lit(True)) & ~F.col("changed")
+    blank = ~F.coalesce("copied", F.lit(True)) & ~changed
     return (
-        rows.join(boxes, FRAME, "left")
-        .where((F.col("seq") == 0) | inside)
+        rows.where((F.col("seq") == 0) | inside)
+        .join(copied, FRAME, "left")
         .select(
             *FRAME, "x", "y",
             *[F.when(blank, 0).otherwise(F.col(c)).alias(c) for c in RGBA],
             F.when(F.coalesce("copied", F.lit(True)), 0).otherwise(1).alias("blend"),
+            F.coalesce("dispose", F.lit(0)).alias("dispose"),
         )
     )
 

@@ -43,13 +43,13 @@ def _f7(s, d):
 
 
 def _f7_disposed(s, d):
-    """Encode, then replay with the blend mode the encoder chose."""
+    """Encode, then replay with the blend mode and disposal the encoder chose."""
     tiles = stage(_tiles(s, d), "tiles")
     deltas = stage(N.delta_encode(tiles), "deltas")
     frames = deltas.groupBy("anim_id", "seq").agg(
         F.min("x").alias("box_x"), F.min("y").alias("box_y"),
         (F.max("x") - F.min("x") + 1).alias("box_w"), (F.max("y") - F.min("y") + 1).alias("box_h"),
-        F.max("blend").alias("blend"), F.lit(0).alias("dispose"),
+        F.max("blend").alias("blend"), F.max("dispose").alias("dispose"),
     )
     return N.replay_disposed(deltas, frames, 4, 4)
 
@@ -160,20 +160,37 @@ ORACLE = {
         FROM sized s JOIN walk w USING (anim_id, seq)""", recursive=True),
     "f3_delta_encode": X.with_tables("pixels", f"""
         WITH {_TILES.strip()},
-        past AS (
-            SELECT c.*, (c.r, c.g, c.b, c.a) IS DISTINCT FROM (p.r, p.g, p.b, p.a) AS changed, p.a AS pa
-            FROM tiles c LEFT JOIN tiles p
-              ON p.anim_id = c.anim_id AND p.x = c.x AND p.y = c.y AND p.seq = c.seq - 1),
-        boxes AS (SELECT anim_id, seq, {_BOX.format(c='changed', t='')},
-                         bool_or(changed AND a < 220 AND pa > 20) AS copied
-                  FROM past WHERE seq > 0 GROUP BY anim_id, seq)
+        past AS MATERIALIZED (
+            SELECT anim_id, seq, x, y, r, g, b, a, v, lag(v) OVER w AS p1, lag(v, 2) OVER w AS p2
+            FROM (SELECT *, struct_pack(r := r, g := g, b := b, a := a) AS v FROM tiles)
+            WINDOW w AS (PARTITION BY anim_id, x, y ORDER BY seq)),
+        boxes AS (SELECT anim_id, seq, {_BOX.format(c='v IS DISTINCT FROM p1', t='1')},
+                         {_BOX.format(c='v IS DISTINCT FROM p2', t='2')}
+                  FROM past WHERE seq > 0 GROUP BY anim_id, seq),
+        sized AS (SELECT *, seq >= 2 AND box_w2 * box_h2 < box_w1 * box_h1 AS better FROM boxes),
+        walk AS (
+            SELECT anim_id, seq, CASE WHEN better THEN 2 ELSE 1 END AS lag FROM sized WHERE seq = 1
+            UNION ALL
+            SELECT s.anim_id, s.seq, CASE WHEN s.better AND w.lag = 1 THEN 2 ELSE 1 END
+            FROM walk w JOIN sized s ON s.anim_id = w.anim_id AND s.seq = w.seq + 1),
+        chosen AS MATERIALIZED (
+            SELECT s.anim_id, s.seq, w.lag,
+                   CASE WHEN w.lag = 2 THEN box_x2 ELSE box_x1 END AS box_x, CASE WHEN w.lag = 2 THEN box_y2 ELSE box_y1 END AS box_y,
+                   CASE WHEN w.lag = 2 THEN box_w2 ELSE box_w1 END AS box_w, CASE WHEN w.lag = 2 THEN box_h2 ELSE box_h1 END AS box_h,
+                   CASE WHEN lead(w.lag) OVER (PARTITION BY s.anim_id ORDER BY s.seq) = 2 THEN 2 ELSE 0 END AS dispose
+            FROM sized s JOIN walk w USING (anim_id, seq)),
+        based AS (SELECT p.*, box_x, box_y, box_w, box_h, dispose, CASE WHEN c.lag = 2 THEN p2 ELSE p1 END AS base
+                  FROM past p LEFT JOIN chosen c ON c.anim_id = p.anim_id AND c.seq = p.seq),
+        mode AS (SELECT anim_id, seq, bool_or(v IS DISTINCT FROM base AND a < 220 AND base.a > 20) AS copied
+                 FROM based WHERE seq > 0 GROUP BY anim_id, seq)
         SELECT anim_id, seq, x, y, CASE WHEN k THEN r ELSE 0 END AS r, CASE WHEN k THEN g ELSE 0 END AS g,
                CASE WHEN k THEN b ELSE 0 END AS b, CASE WHEN k THEN a ELSE 0 END AS a,
-               CASE WHEN copied THEN 0 ELSE 1 END AS blend
-        FROM (SELECT p.anim_id, p.seq, x, y, r, g, b, a, p.seq = 0 OR copied AS copied,
-                     p.seq = 0 OR copied OR changed AS k
-              FROM past p LEFT JOIN boxes q ON q.anim_id = p.anim_id AND q.seq = p.seq
-              WHERE p.seq = 0 OR (x >= box_x AND x < box_x + box_w AND y >= box_y AND y < box_y + box_h))"""),
+               CASE WHEN copied THEN 0 ELSE 1 END AS blend, coalesce(dispose, 0) AS dispose
+        FROM (SELECT p.anim_id, p.seq, x, y, r, g, b, a, dispose, p.seq = 0 OR copied AS copied,
+                     p.seq = 0 OR copied OR v IS DISTINCT FROM base AS k
+              FROM based p LEFT JOIN mode q ON q.anim_id = p.anim_id AND q.seq = p.seq
+              WHERE p.seq = 0 OR (x >= box_x AND x < box_x + box_w AND y >= box_y AND y < box_y + box_h))""",
+        recursive=True),
     "f4_palette_stats": X.with_tables("pixels", """
         SELECT anim_id, slots, CASE WHEN slots <= 2 THEN 1 WHEN slots <= 4 THEN 2
                    WHEN slots <= 16 THEN 4 ELSE 8 END AS depth, slots <= 256 AS indexed
