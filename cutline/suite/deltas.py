@@ -28,8 +28,15 @@ def _tiles(s, d):
     )
 
 
-def _f3(s, d):
-    return N.delta_encode(stage(_tiles(s, d), "tiles"))
+def _flicker(s, d):
+    """Tiles of which all but the first column return every other frame."""
+    still = [F.when(F.col("x") == 0, F.col(c)).otherwise(F.when(F.col("seq") % 2 == 0, 0).otherwise(3)).cast("int").alias(c)
+             for c in "rgb"]
+    return _tiles(s, d).select("anim_id", "seq", "x", "y", *still, F.lit(255).alias("a"))
+
+
+def _f3(s, d, tiles=_tiles):
+    return N.delta_encode(stage(tiles(s, d), "tiles"))
 
 
 def _last(levels):
@@ -42,10 +49,9 @@ def _f7(s, d):
     return N.replay_kept(deltas, _last(levels))
 
 
-def _f7_disposed(s, d):
+def _f7_disposed(s, d, tiles=_tiles):
     """Encode, then replay with the blend mode and disposal the encoder chose."""
-    tiles = stage(_tiles(s, d), "tiles")
-    deltas = stage(N.delta_encode(tiles), "deltas")
+    deltas = stage(_f3(s, d, tiles), "deltas")
     frames = deltas.groupBy("anim_id", "seq").agg(
         F.min("x").alias("box_x"), F.min("y").alias("box_y"),
         (F.max("x") - F.min("x") + 1).alias("box_w"), (F.max("y") - F.min("y") + 1).alias("box_h"),
@@ -91,6 +97,7 @@ QUERIES = {
     "f1_change_bbox": lambda s, d: N.change_bbox(_levels(s, d)),
     "f2_best_predecessor": lambda s, d: N.best_predecessor(_levels(s, d)),
     "f3_delta_encode": _f3,
+    "f3_delta_flicker": lambda s, d: _f3(s, d, _flicker),
     "f4_palette_stats": lambda s, d: K.palette_stats(X.pixels(s, d)),
     "f4_palette_coarse": lambda s, d: K.palette_stats(
         X.pixels(s, d).selectExpr(
@@ -104,6 +111,7 @@ QUERIES = {
     ).select("vec_id", "code"),
     "f7_replay_kept": _f7,
     "f7_replay_disposed": _f7_disposed,
+    "f7_replay_restored": lambda s, d: _f7_disposed(s, d, _flicker),
     "f8_moment_stats": _f8,
 }
 
@@ -118,6 +126,48 @@ _TILES = """
                      CASE WHEN a < 100 THEN 0 ELSE b // 64 END AS b,
                      CASE WHEN a < 100 THEN 0 ELSE 255 END AS a FROM pixels)"""
 
+_FLICKER = _TILES.replace("tiles AS", "coarse AS") + """,
+    tiles AS (SELECT anim_id, seq, x, y, CASE WHEN x = 0 THEN r WHEN seq % 2 = 0 THEN 0 ELSE 3 END AS r,
+                     CASE WHEN x = 0 THEN g WHEN seq % 2 = 0 THEN 0 ELSE 3 END AS g,
+                     CASE WHEN x = 0 THEN b WHEN seq % 2 = 0 THEN 0 ELSE 3 END AS b, 255 AS a FROM coarse)"""
+
+
+def _delta_sql(tiles: str) -> str:
+    return X.with_tables("pixels", f"""
+        WITH {tiles.strip()},
+        past AS MATERIALIZED (
+            SELECT anim_id, seq, x, y, r, g, b, a, v, lag(v) OVER w AS p1, lag(v, 2) OVER w AS p2
+            FROM (SELECT *, struct_pack(r := r, g := g, b := b, a := a) AS v FROM tiles)
+            WINDOW w AS (PARTITION BY anim_id, x, y ORDER BY seq)),
+        boxes AS (SELECT anim_id, seq, {_BOX.format(c='v IS DISTINCT FROM p1', t='1')},
+                         {_BOX.format(c='v IS DISTINCT FROM p2', t='2')}
+                  FROM past WHERE seq > 0 GROUP BY anim_id, seq),
+        sized AS (SELECT *, seq >= 2 AND box_w2 * box_h2 < box_w1 * box_h1 AS better FROM boxes),
+        walk AS (
+            SELECT anim_id, seq, CASE WHEN better THEN 2 ELSE 1 END AS lag FROM sized WHERE seq = 1
+            UNION ALL
+            SELECT s.anim_id, s.seq, CASE WHEN s.better AND w.lag = 1 THEN 2 ELSE 1 END
+            FROM walk w JOIN sized s ON s.anim_id = w.anim_id AND s.seq = w.seq + 1),
+        chosen AS MATERIALIZED (
+            SELECT s.anim_id, s.seq, w.lag,
+                   CASE WHEN w.lag = 2 THEN box_x2 ELSE box_x1 END AS box_x, CASE WHEN w.lag = 2 THEN box_y2 ELSE box_y1 END AS box_y,
+                   CASE WHEN w.lag = 2 THEN box_w2 ELSE box_w1 END AS box_w, CASE WHEN w.lag = 2 THEN box_h2 ELSE box_h1 END AS box_h,
+                   CASE WHEN lead(w.lag) OVER (PARTITION BY s.anim_id ORDER BY s.seq) = 2 THEN 2 ELSE 0 END AS dispose
+            FROM sized s JOIN walk w USING (anim_id, seq)),
+        based AS (SELECT p.*, box_x, box_y, box_w, box_h, dispose, CASE WHEN c.lag = 2 THEN p2 ELSE p1 END AS base
+                  FROM past p LEFT JOIN chosen c ON c.anim_id = p.anim_id AND c.seq = p.seq),
+        mode AS (SELECT anim_id, seq, bool_or(v IS DISTINCT FROM base AND a < 220 AND base.a > 20) AS copied
+                 FROM based WHERE seq > 0 GROUP BY anim_id, seq)
+        SELECT anim_id, seq, x, y, CASE WHEN k THEN r ELSE 0 END AS r, CASE WHEN k THEN g ELSE 0 END AS g,
+               CASE WHEN k THEN b ELSE 0 END AS b, CASE WHEN k THEN a ELSE 0 END AS a,
+               CASE WHEN copied THEN 0 ELSE 1 END AS blend, coalesce(dispose, 0) AS dispose
+        FROM (SELECT p.anim_id, p.seq, x, y, r, g, b, a, dispose, p.seq = 0 OR copied AS copied,
+                     p.seq = 0 OR copied OR v IS DISTINCT FROM base AS k
+              FROM based p LEFT JOIN mode q ON q.anim_id = p.anim_id AND q.seq = p.seq
+              WHERE p.seq = 0 OR (x >= box_x AND x < box_x + box_w AND y >= box_y AND y < box_y + box_h))""",
+        recursive=True)
+
+
 _MOMENTS = """
     , cells AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS e FROM vectors),
     one AS (SELECT label, i, count(*) AS n, sum(e) AS m FROM cells GROUP BY label, i),
@@ -158,39 +208,8 @@ ORACLE = {
                CASE WHEN w.lag = 2 THEN box_w2 * box_h2 ELSE box_w1 * box_h1 END AS area,
                CASE WHEN lead(w.lag) OVER (PARTITION BY s.anim_id ORDER BY s.seq) = 2 THEN 2 ELSE 0 END AS dispose
         FROM sized s JOIN walk w USING (anim_id, seq)""", recursive=True),
-    "f3_delta_encode": X.with_tables("pixels", f"""
-        WITH {_TILES.strip()},
-        past AS MATERIALIZED (
-            SELECT anim_id, seq, x, y, r, g, b, a, v, lag(v) OVER w AS p1, lag(v, 2) OVER w AS p2
-            FROM (SELECT *, struct_pack(r := r, g := g, b := b, a := a) AS v FROM tiles)
-            WINDOW w AS (PARTITION BY anim_id, x, y ORDER BY seq)),
-        boxes AS (SELECT anim_id, seq, {_BOX.format(c='v IS DISTINCT FROM p1', t='1')},
-                         {_BOX.format(c='v IS DISTINCT FROM p2', t='2')}
-                  FROM past WHERE seq > 0 GROUP BY anim_id, seq),
-        sized AS (SELECT *, seq >= 2 AND box_w2 * box_h2 < box_w1 * box_h1 AS better FROM boxes),
-        walk AS (
-            SELECT anim_id, seq, CASE WHEN better THEN 2 ELSE 1 END AS lag FROM sized WHERE seq = 1
-            UNION ALL
-            SELECT s.anim_id, s.seq, CASE WHEN s.better AND w.lag = 1 THEN 2 ELSE 1 END
-            FROM walk w JOIN sized s ON s.anim_id = w.anim_id AND s.seq = w.seq + 1),
-        chosen AS MATERIALIZED (
-            SELECT s.anim_id, s.seq, w.lag,
-                   CASE WHEN w.lag = 2 THEN box_x2 ELSE box_x1 END AS box_x, CASE WHEN w.lag = 2 THEN box_y2 ELSE box_y1 END AS box_y,
-                   CASE WHEN w.lag = 2 THEN box_w2 ELSE box_w1 END AS box_w, CASE WHEN w.lag = 2 THEN box_h2 ELSE box_h1 END AS box_h,
-                   CASE WHEN lead(w.lag) OVER (PARTITION BY s.anim_id ORDER BY s.seq) = 2 THEN 2 ELSE 0 END AS dispose
-            FROM sized s JOIN walk w USING (anim_id, seq)),
-        based AS (SELECT p.*, box_x, box_y, box_w, box_h, dispose, CASE WHEN c.lag = 2 THEN p2 ELSE p1 END AS base
-                  FROM past p LEFT JOIN chosen c ON c.anim_id = p.anim_id AND c.seq = p.seq),
-        mode AS (SELECT anim_id, seq, bool_or(v IS DISTINCT FROM base AND a < 220 AND base.a > 20) AS copied
-                 FROM based WHERE seq > 0 GROUP BY anim_id, seq)
-        SELECT anim_id, seq, x, y, CASE WHEN k THEN r ELSE 0 END AS r, CASE WHEN k THEN g ELSE 0 END AS g,
-               CASE WHEN k THEN b ELSE 0 END AS b, CASE WHEN k THEN a ELSE 0 END AS a,
-               CASE WHEN copied THEN 0 ELSE 1 END AS blend, coalesce(dispose, 0) AS dispose
-        FROM (SELECT p.anim_id, p.seq, x, y, r, g, b, a, dispose, p.seq = 0 OR copied AS copied,
-                     p.seq = 0 OR copied OR v IS DISTINCT FROM base AS k
-              FROM based p LEFT JOIN mode q ON q.anim_id = p.anim_id AND q.seq = p.seq
-              WHERE p.seq = 0 OR (x >= box_x AND x < box_x + box_w AND y >= box_y AND y < box_y + box_h))""",
-        recursive=True),
+    "f3_delta_encode": _delta_sql(_TILES),
+    "f3_delta_flicker": _delta_sql(_FLICKER),
     "f4_palette_stats": X.with_tables("pixels", """
         SELECT anim_id, slots, CASE WHEN slots <= 2 THEN 1 WHEN slots <= 4 THEN 2
                    WHEN slots <= 16 THEN 4 ELSE 8 END AS depth, slots <= 256 AS indexed
@@ -210,5 +229,7 @@ ORACLE = {
     "f7_replay_kept": X.with_tables("levels", "SELECT anim_id, seq, x, y, q FROM levels"),
     "f7_replay_disposed": X.with_tables("pixels", f"""
         WITH {_TILES.strip()} SELECT * FROM tiles"""),
+    "f7_replay_restored": X.with_tables("pixels", f"""
+        WITH {_FLICKER.strip()} SELECT * FROM tiles"""),
     "f8_moment_stats": X.with_tables("vectors", f"WITH {_VEC} {_MOMENTS}"),
 }
