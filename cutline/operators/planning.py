@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.numeric import even, half_up
@@ -121,6 +121,7 @@ LADDER = {
             " hvc1.1.6.L123.B0 hvc1.1.6.L120.B0 hvc1.1.6.L93.B0 hev1.1.6.L153.B0"
             " hev1.1.6.L123.B0",
 }
+MAX_OPTIONS = 1024
 ACCELS = ["prefer-hardware", "no-preference"]
 
 
@@ -128,9 +129,14 @@ def first_supported(requests: DataFrame, supports: DataFrame) -> DataFrame:
     """The first option of each request's codec that takes its size.
 
     supports(codec, accel_rank, rank, option, max_w, max_h); acceleration counts
-    before rank.  With none, `advice` says whether the other codec would do.  The
-    option table is one short list per codec, so requests are only looked up.
+    before rank.  With none, `advice` says whether the other codec would do.
+
+    While there are at most MAX_OPTIONS options, requests look them up in one short
+    broadcast list per codec.  Beyond that they are joined with the options that take
+    them and keep the first.
     """
+    if supports.limit(MAX_OPTIONS + 1).count() > MAX_OPTIONS:
+        return _first_by_join(requests, supports)
     lists = supports.groupBy("codec").agg(
         F.array_sort(
             F.collect_list(F.struct("accel_rank", "rank", "option", "max_w", "max_h"))
@@ -140,26 +146,49 @@ def first_supported(requests: DataFrame, supports: DataFrame) -> DataFrame:
     def first(col: str) -> str:
         return f"get(filter({col}, o -> o.max_w >= w and o.max_h >= h), 0)"
 
-    other = F.when(F.col("codec") == "hevc", "avc").otherwise("hevc")
     own = lists.withColumnRenamed("options", "own_options")
     alt = lists.select(F.col("codec").alias("alt_codec"), F.col("options").alias("alt_options"))
     return (
-        requests.withColumn("alt_codec", other)
+        requests.withColumn("alt_codec", _other_codec())
         .join(F.broadcast(own), "codec", "left")
         .join(F.broadcast(alt), "alt_codec", "left")
         .withColumns(
             {"hit": F.expr(first("own_options")), "alt_hit": F.expr(first("alt_options"))}
         )
-        .select(
-            *requests.columns,
-            F.col("hit.option").alias("option"),
-            F.when(F.col("hit.accel_rank") == 0, ACCELS[0])
-            .when(F.col("hit.accel_rank") == 1, ACCELS[1]).alias("accel"),
-            F.when(F.col("hit").isNotNull(), "ok")
-            .when(F.col("alt_hit").isNotNull(), F.concat(F.lit("switch to "), "alt_codec"))
-            .otherwise("pick a smaller size").alias("advice"),
-        )
+        .select(*requests.columns, *_advice())
+    )
+
+
+def _other_codec() -> Column:
+    return F.when(F.col("codec") == "hevc", "avc").otherwise("hevc")
+
+
+def _advice() -> list[Column]:
+    return [
+        F.col("hit.option").alias("option"),
+        F.when(F.col("hit.accel_rank") == 0, ACCELS[0])
+        .when(F.col("hit.accel_rank") == 1, ACCELS[1]).alias("accel"),
+        F.when(F.col("hit").isNotNull(), "ok")
+        .when(F.col("alt_hit").isNotNull(), F.concat(F.lit("switch to "), "alt_codec"))
+        .otherwise("pick a smaller size").alias("advice"),
+    ]
+
+
+def _first_by_join(requests: DataFrame, supports: DataFrame) -> DataFrame:
+    """The same per distinct (codec, w, h), of which there are far fewer than requests."""
+    sizes = requests.select("codec", "w", "h").distinct().withColumn("alt_codec", _other_codec())
+
+    def first(codec: str, name: str) -> DataFrame:
+        options = supports.withColumnRenamed("codec", codec)
+        fits = sizes.join(options, codec).where((F.col("max_w") >= F.col("w")) & (F.col("max_h") >= F.col("h")))
+        return fits.groupBy("codec", "w", "h").agg(
+            F.min(F.struct("accel_rank", "rank", "option", "max_w", "max_h")).alias(name))
+
+    found = (
+        sizes.join(first("codec", "hit"), ["codec", "w", "h"], "left")
+        .join(first("alt_codec", "alt_hit"), ["codec", "w", "h"], "left")
     )
+    return requests.join(found, ["codec", "w", "h"], "left").select(*requests.columns, *_advice())
 
 
 def size_report(runs: DataFrame) -> DataFrame:

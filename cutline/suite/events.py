@@ -53,7 +53,37 @@ def _live_kept(s, d):
     return live.run_to_table(out, "kept").select(*SLIM, "out_us")
 
 
+def _stream(s, d):
+    """The events as a stream, with the columns the live forms need."""
+    rows = live.sample_stream(s, d)
+    key = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    return rows.withColumns({"edit_key": key, "done": F.col("event_type") == "purchase"})
+
+
+def _live_coalesce(s, d):
+    return live.run_to_table(live.stream_coalesce(_stream(s, d).select(*SLIM, "edit_key"), X.GAP_6H), "coalesce")
+
+
+def _live_throttle(s, d):
+    return live.run_to_table(live.stream_thin(_stream(s, d).select(*SLIM), X.GAP_36000S, 0), "throttle")
+
+
+def _live_pending(s, d):
+    asked = F.col("event_type").isin("click", "view", "purchase")
+    return live.run_to_table(
+        live.stream_latest_pending(_stream(s, d).where(asked).select(*SLIM, "done")), "pending")
+
+
+def _live_debounce(s, d):
+    """Bursts that the final watermark has passed."""
+    return live.run_to_table(live.stream_debounce(_stream(s, d), "6 hours", "1 hour"), "debounce")
+
+
 QUERIES = {
+    "j1_stream_debounce": _live_debounce,
+    "j2_stream_coalesce": _live_coalesce,
+    "j3_stream_throttle": _live_throttle,
+    "j4_stream_pending": _live_pending,
     "j1_debounce": lambda s, d: J.debounce(_slim(s, d), X.GAP_6H),
     "j2_coalesce_edits": lambda s, d: J.coalesce_edits(_edits(s, d), X.GAP_6H),
     "j3_throttle": lambda s, d: thinning.throttle(_slim(s, d), X.GAP_36000S),
@@ -136,3 +166,12 @@ ORACLE = {
                    row_number() OVER (PARTITION BY asset_id ORDER BY t_us DESC, sample_id DESC) AS age FROM samples)
         WHERE age <= 60"""),
 }
+
+ORACLE |= {
+    "j1_stream_debounce": f"""
+        SELECT asset_id, sample_id, t_us, emit_us FROM ({ORACLE['j1_debounce']})
+        WHERE emit_us <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""",
+    "j2_stream_coalesce": ORACLE["j2_coalesce_edits"],
+    "j3_stream_throttle": ORACLE["j3_throttle"],
+    "j4_stream_pending": ORACLE["j4_latest_pending"],
+}
