@@ -58,6 +58,30 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in col.to_pylist()]
 
 
+def bitmap(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
+    """Bytes in which bit k (little bit first) says whether k is in the int column `cell`.
+
+    Packed in blocks on the executors; the driver receives and holds 2^log_bits bits.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for row in batch.column(1):
+                bits = np.zeros(1 << block, np.uint8)
+                bits[row.values.to_numpy(zero_copy_only=False)] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "bits"])
+
+    blocks = cells.groupBy(F.shiftright("cell", block).alias("block")).agg(
+        F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << block) - 1))).alias("cells"))
+    table = np.zeros(max(1 << log_bits, 1 << block) >> 3, np.uint8)
+    step = 1 << (block - 3)
+    for row in blocks.mapInArrow(pack, "block int, bits binary").toLocalIterator():
+        table[row.block * step:(row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return table
+
+
 class Ids(dict):
     """Consecutive numbers for keys; `keys_new` lists them in order of first sight."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import Ids, raw, read, slices, texts
+from cutline.llm.common import Ids, bitmap, raw, read, slices, texts
 from cutline.llm.windows import Roller, inside, mix
 
 # Words read as numbers and as units.
@@ -195,11 +195,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 8, min_words: int = 5
     """(doc_id, text_key, item_id, cover): items found in documents, with the share of their windows."""
     bench = item_windows(items, window, min_words, item_id_col, item_text_col)
     shift = 64 - log_bits
-    spots = bench.select(F.shiftrightunsigned("h", shift).cast("int").alias("spot"), "size").distinct().collect()
-    bits = np.zeros(1 << log_bits, bool)
-    bits[[r.spot for r in spots]] = True
-    sizes = sorted({r["size"] for r in spots})
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most `window` numbers
+    table = docs.sparkSession.sparkContext.broadcast(
+        bitmap(bench.select(F.shiftrightunsigned("h", shift).cast("int").alias("cell")), log_bits))
 
     def run(batches):
         packed, reader = table.value, Canonical()
