@@ -168,6 +168,54 @@ def _delta_sql(tiles: str) -> str:
         recursive=True)
 
 
+def _split_sql(step: int) -> str:
+    """Moments and principal axis of all leaves, then the split of the strongest one."""
+    d = range(4)
+    sums = ", ".join([f"sum({c}) / 255.0::DOUBLE AS m{i}" for i, c in enumerate(RGBA)] + [
+        f"sum({RGBA[i]} * {RGBA[j]}) / 65025.0::DOUBLE AS r{i}{j}" for i in d for j in d if i <= j])
+    spread = ", ".join(f"r{i}{j} - m{i} * m{j} / n AS s{i}{j}" for i in d for j in d if i <= j)
+    turned = ", ".join(" + ".join(f"s{min(i, j)}{max(i, j)} * a{j}" for j in d) + f" AS b{i}" for i in d)
+    unit = ", ".join(f"CASE WHEN norm = 0 THEN 0 ELSE b{i} / norm END" for i in d)
+    last = ", ".join(f"arg_max(a{i}, it) AS a{i}" for i in d)
+    cut = " + ".join(f"a{i} * m{i} / n" for i in d)
+    side = " + ".join(f"a{i} * {c} / 255.0::DOUBLE" for i, c in enumerate(RGBA))
+    split = f""",
+        pick{step} AS MATERIALIZED (SELECT * FROM axis{step} ORDER BY w DESC, leaf LIMIT 1),
+        pts{step + 1} AS MATERIALIZED (
+            SELECT p.* REPLACE (CASE WHEN p.leaf = k.leaf AND w >= 1e-3 AND NOT ({side} <= cut)
+                                THEN {step + 1} ELSE p.leaf END AS leaf)
+            FROM pts{step} p, pick{step} k)"""
+    return f""",
+        mom{step} AS MATERIALIZED (
+            SELECT leaf, n, m0, m1, m2, m3, {spread}
+            FROM (SELECT leaf, count(*) AS n, {sums} FROM pts{step} GROUP BY leaf)),
+        turn{step} AS (
+            SELECT leaf, 0 AS it, 0.5::DOUBLE AS a0, 0.5::DOUBLE AS a1, 0.5::DOUBLE AS a2, 0.5::DOUBLE AS a3,
+                   0.0::DOUBLE AS w, false AS done FROM mom{step}
+            UNION ALL
+            SELECT leaf, it + 1, {unit}, CASE WHEN norm = 0 OR abs(norm - w) < 1e-9 THEN w ELSE norm END,
+                   norm = 0 OR abs(norm - w) < 1e-9
+            FROM (SELECT *, sqrt(b0 * b0 + b1 * b1 + b2 * b2 + b3 * b3) AS norm
+                  FROM (SELECT leaf, it, w, {turned} FROM turn{step} JOIN mom{step} USING (leaf)
+                        WHERE it < 10 AND NOT done))),
+        axis{step} AS MATERIALIZED (
+            SELECT *, {cut} AS cut
+            FROM (SELECT leaf, {last}, arg_max(w, it) AS w FROM turn{step} GROUP BY leaf) JOIN mom{step} USING (leaf))""" + split
+
+
+_BOOK = """
+    WITH pts0 AS MATERIALIZED (
+        SELECT frame_id, x, y, CAST(floor(r * (a * (1.0::DOUBLE / 255))) AS INTEGER) AS r,
+               CAST(floor(g * (a * (1.0::DOUBLE / 255))) AS INTEGER) AS g,
+               CAST(floor(b * (a * (1.0::DOUBLE / 255))) AS INTEGER) AS b, a, 0 AS leaf FROM pixels)""" + "".join(
+    _split_sql(k) for k in range(CODES - 1)) + f""",
+        codes AS MATERIALIZED (
+            SELECT leaf, CAST(row_number() OVER (ORDER BY n DESC, leaf) - 1 AS INTEGER) AS code, n, mr, mg, mb, ma
+            FROM (SELECT leaf, count(*) AS n, sum(r) / 255.0::DOUBLE / count(*) AS mr, sum(g) / 255.0::DOUBLE / count(*) AS mg,
+                         sum(b) / 255.0::DOUBLE / count(*) AS mb, sum(a) / 255.0::DOUBLE / count(*) AS ma
+                  FROM pts{CODES - 1} GROUP BY leaf))"""
+
+
 _MOMENTS = """
     , cells AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS e FROM vectors),
     one AS (SELECT label, i, count(*) AS n, sum(e) AS m FROM cells GROUP BY label, i),
@@ -221,6 +269,14 @@ ORACLE = {
         FROM (SELECT frame_id, count(DISTINCT (r // 64, g // 64, b // 64, a // 64))
                      FILTER (WHERE r // 64 + g // 64 + b // 64 + a // 64 > 0) + 1 AS slots
               FROM pixels GROUP BY frame_id)"""),
+    "f5_pca_split_codebook": X.with_tables("pixels", _BOOK + """
+        SELECT code, n, least(255, CAST(floor(255 * (mr * per) + 0.5::DOUBLE) AS INTEGER)) AS r,
+               least(255, CAST(floor(255 * (mg * per) + 0.5::DOUBLE) AS INTEGER)) AS g,
+               least(255, CAST(floor(255 * (mb * per) + 0.5::DOUBLE) AS INTEGER)) AS b,
+               least(255, CAST(floor(255 * ma + 0.5::DOUBLE) AS INTEGER)) AS a
+        FROM (SELECT *, CASE WHEN ma < 0.001 THEN 0 ELSE 1 / ma END AS per FROM codes)""", recursive=True),
+    "f6_assign_tree": X.with_tables("pixels", _BOOK + f"""
+        SELECT frame_id, x, y, code FROM pts{CODES - 1} JOIN codes USING (leaf)""", recursive=True),
     "f6_assign_nearest": X.with_tables("vectors", f"""
         WITH {_VEC},
         codes AS (SELECT label AS code, {_CENTRES} FROM v GROUP BY label)
