@@ -180,9 +180,66 @@ def keep(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules over all documents."""
-    return judge(read(spark, sf_dir, "documents"))
+    """The rules over all documents; distances to six places."""
+    return judge(read(spark, sf_dir, "documents")).withColumns(
+        {c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CLASS_SQL = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x09-\x0D\x1C-\x20]", r"[^.,;:''\x22-]", r"[^#*$%&|<>]"]
+_SIZES = ", ".join(f"length(regexp_replace(t, '{c}', '', 'g')) AS k{k}" for k, c in enumerate(_CLASS_SQL))
+_WORD_LIST = ", ".join(f"({k}, '{w}')" for k, w in enumerate(COMMON_WORDS))
+
+ORACLE = {"op7_quality_rules": rf"""
+    WITH docs AS MATERIALIZED (
+        SELECT doc_id, lang, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    words AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
+    threes AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS again
+               FROM (SELECT doc_id, p, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM words
+                     WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE c IS NOT NULL),
+    covered AS (SELECT doc_id, count(*) AS n_repeat_words
+                FROM (SELECT DISTINCT doc_id, p + unnest([0, 1, 2]) AS p FROM threes WHERE again) GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+              FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    sizes AS (SELECT doc_id, lang, strlen(t) AS bytes, length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS plain,
+                     len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {_SIZES}
+              FROM docs),
+    class_counts AS (
+        SELECT doc_id, lang, unnest(range(8)) AS k,
+               unnest([k0, k1, k2, k3, k4, k5, plain - k0 - k1 - k2 - k3 - k4 - k5, bytes - plain]) AS c FROM sizes),
+    listed(k, word) AS (VALUES {_WORD_LIST}),
+    met AS (SELECT doc_id, k, count(*) AS c
+            FROM words JOIN listed ON word = trim(translate(w, '{_UPPER}', '{_LOWER}'), '.,;:!?') GROUP BY doc_id, k),
+    common_counts AS (SELECT d.doc_id, d.lang, l.k, coalesce(m.c, 0) AS c
+                      FROM docs d CROSS JOIN listed l LEFT JOIN met m ON m.doc_id = d.doc_id AND m.k = l.k),
+    counts AS MATERIALIZED (SELECT 'class' AS kind, * FROM class_counts UNION ALL SELECT 'common', * FROM common_counts),
+    refs AS MATERIALIZED (SELECT kind, lang, k, sum(c) AS rc FROM counts GROUP BY kind, lang, k),
+    shares AS (
+        SELECT doc_id, kind, c::DOUBLE / nullif(sum(c) OVER (PARTITION BY doc_id, kind), 0) AS p,
+               rc::DOUBLE / nullif(sum(rc) OVER (PARTITION BY doc_id, kind), 0) AS q,
+               sum(c) OVER (PARTITION BY doc_id, kind) AS total
+        FROM counts JOIN refs USING (kind, k) WHERE counts.lang IS NOT DISTINCT FROM refs.lang),
+    far AS (
+        SELECT doc_id, kind, min(total) AS total, sqrt(greatest(0, sum(
+                   CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+                   + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d
+        FROM shares WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY doc_id, kind),
+    ref_words AS (SELECT lang, sum(n_words) AS n FROM sizes GROUP BY lang),
+    judged AS (
+        SELECT s.doc_id, s.n_words, CAST(s.word_chars AS BIGINT) AS word_chars, s.k5 AS n_symbols,
+               coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words,
+               s.n_words < 50 OR 100 * coalesce(c.n_repeat_words, 0) > 50 * s.n_words AS base_failed,
+               CASE WHEN s.n_words >= 50 AND r.n >= 2000 THEN a.d END AS class_distance,
+               CASE WHEN s.n_words >= 50 AND r.n >= 2000 AND b.total >= 20 THEN b.d END AS common_distance
+        FROM sizes s JOIN ref_words r ON r.lang IS NOT DISTINCT FROM s.lang
+             LEFT JOIN lines l ON l.doc_id = s.doc_id LEFT JOIN covered c ON c.doc_id = s.doc_id
+             LEFT JOIN far a ON a.doc_id = s.doc_id AND a.kind = 'class'
+             LEFT JOIN far b ON b.doc_id = s.doc_id AND b.kind = 'common')
+    SELECT * REPLACE (round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance),
+           NOT base_failed AND coalesce(class_distance, 0) <= 0.25 + 0.6 / sqrt(n_words)
+           AND coalesce(common_distance, 0) <= 0.75 + 0.6 / sqrt(n_words) AS kept
+    FROM judged"""}
