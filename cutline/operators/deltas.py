@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.plans import scan as S
+from cutline.plans.expand import series
 from cutline.plans.stage import stage
 
 CELL = ["anim_id", "x", "y"]
@@ -153,8 +154,8 @@ def replay_kept(
     held = S.Scan(deltas, CELL, ["seq"]).run(until=S.next_value(F.col("seq"))).df
     stop = F.coalesce(F.col("until") - 1, F.col("last_seq"))
     return (
-        held.join(frames, ["anim_id"])
-        .withColumn("seq", F.explode(F.sequence(F.col("seq"), stop)))
+        series(held.join(frames, ["anim_id"]), stop - F.col("seq") + 1, "step")
+        .withColumn("seq", F.col("seq") + F.col("step"))
         .select(*FRAME, "x", "y", *cols)
     )
 

@@ -8,39 +8,16 @@ from pyspark.sql import functions as F
 from cutline.functions.numeric import half_up
 from cutline.operators import intervals as B
 from cutline.plans import scan as S
+from cutline.plans.expand import series
 
 KEY = ["asset_id"]
-_BLOCK = 1 << 16
-
-
-def _series(df: DataFrame, count: Column, name: str) -> DataFrame:
-    """Rows 0..count-1 per input row.
-
-    Expanded in two steps: few block rows first, which are spread over tasks, then
-    their contents.  So neither an array nor a task grows with the length of a range
-    or with the number of ranges of an asset.
-    """
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 1) div {_BLOCK}"))
-    inner = F.sequence(
-        F.col("__b") * _BLOCK, F.least(F.col("__n"), (F.col("__b") + 1) * _BLOCK) - 1
-    )
-    return (
-        df.withColumn("__n", count.cast("bigint"))
-        .where("__n > 0")
-        .withColumn("__b", F.explode(blocks))
-        .repartition(*df.columns, "__b")
-        .withColumn(name, F.explode(inner))
-        .drop("__n", "__b")
-    )
-
-
 def uniform_grid(keep: DataFrame, step_us: int, end_slack_us: int = 100) -> DataFrame:
     """Times st, st + step, ... in each kept range, below en - end_slack."""
     if step_us <= 0:
         raise ValueError("step_us must be positive")
     span = F.col("en_us") - end_slack_us - F.col("st_us")
     count = F.when(span > 0, F.floor((span + step_us - 1) / step_us)).otherwise(0)
-    return _series(keep, count, "i").select(
+    return series(keep, count, "i").select(
         "asset_id", (F.col("st_us") + F.col("i") * step_us).alias("t_us")
     )
 
@@ -66,7 +43,7 @@ def even_grid_at_rate(keep: DataFrame, fps: float) -> DataFrame:
 
 def _even(keep: DataFrame, n: Column) -> DataFrame:
     total = keep.groupBy(*KEY).agg(F.sum(F.col("en_us") - F.col("st_us")).alias("total"))
-    points = _series(total.withColumn("n", n.cast("bigint")), F.col("n"), "i").select(
+    points = series(total.withColumn("n", n.cast("bigint")), F.col("n"), "i").select(
         "asset_id", F.col("i").alias("sample_id"),
         F.expr("total * (2 * i + 1) div (2 * n)").alias("o_us"),
     )
