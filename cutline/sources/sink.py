@@ -5,21 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_partitioned(
     df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists",
-    salt: int = 1, rows_per_file: int = 5_000_000,
+    rows_per_file: int = 5_000_000,
 ) -> None:
     """Parquet partitioned by `by`.
 
-    Rows meet by partition value before writing, so tasks do not each open a file
-    in every folder; `salt` spreads the rows of a large value over that many tasks.
+    Rows meet by partition value before writing, so tasks do not each open a file in
+    every folder; a value with many rows is split over tasks by its size (a rebalance,
+    which adaptive execution cuts at its advisory partition size).
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salt))
     (
-        df.repartition(*by, spread)
+        df.hint("rebalance", *by)
         .write.mode(mode).option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*by).parquet(path)
     )
