@@ -136,7 +136,7 @@ class Matcher:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, start, end, dice): matching segments, positions in code points, end exclusive."""
+    """(doc_id, license, start_at, end_at, dice): matching segments, positions in code points, end exclusive."""
     templates = TEMPLATES if templates is None else templates
 
     def run(batches):
@@ -149,10 +149,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
                      pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
                      pa.array([r[4] for r in rows], pa.float64())],
-                    names=["doc_id", "license", "start", "end", "dice"])
+                    names=["doc_id", "license", "start_at", "end_at", "dice"])
 
     return texts(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, license string, start long, end long, dice double")
+        run, "doc_id long, license string, start_at long, end_at long, dice double")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +161,40 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_license_scan": op3_license_scan}
-ORACLE: dict[str, str] = {}
+_VALUES = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(TEMPLATES))
+
+ORACLE = {"op3_license_scan": rf"""
+    WITH templates(k, name, body) AS (VALUES {_VALUES}),
+    split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    raw AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM split),
+    lines AS MATERIALIZED (
+        SELECT *, coalesce(sum(length(line) + 1) OVER (
+                   PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+               NOT regexp_matches(line, '\S') AS blank,
+               regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+') AS ws
+        FROM raw),
+    runs AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM lines),
+    segments AS (
+        SELECT doc_id, 1 AS size, s, s + length(line) AS e, ws FROM lines
+        UNION ALL
+        SELECT doc_id, 2, min(s), max(s + length(line)), flatten(list(ws ORDER BY ln)) FROM runs WHERE NOT blank
+        GROUP BY doc_id, run HAVING count(*) > 1
+        UNION ALL
+        SELECT doc_id, 3, min(s), max(s + length(line)), flatten(list(ws ORDER BY ln)) FROM runs WHERE NOT blank
+        GROUP BY doc_id HAVING count(*) > 1),
+    fit AS MATERIALIZED (SELECT row_number() OVER () AS seg, * FROM segments WHERE len(ws) BETWEEN 2 AND 400),
+    grams AS (SELECT seg, a || ' ' || b AS gram, count(*) AS n
+              FROM (SELECT seg, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM fit) GROUP BY ALL),
+    own AS (SELECT k, name, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS ws FROM templates),
+    own_grams AS (SELECT k, name, size, a || ' ' || b AS gram, count(*) AS n
+                  FROM (SELECT k, name, len(ws) - 1 AS size, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM own) GROUP BY ALL),
+    scored AS (
+        SELECT g.seg, o.name, 2 * sum(least(g.n, o.n))::DOUBLE / (len(any_value(f.ws)) - 1 + o.size) AS dice
+        FROM grams g JOIN own_grams o USING (gram) JOIN fit f ON f.seg = g.seg GROUP BY g.seg, o.k, o.name, o.size),
+    best AS MATERIALIZED (
+        SELECT f.doc_id, f.size, f.s, f.e, name, dice
+        FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY dice DESC, name) AS rn FROM scored WHERE dice >= 0.8) b
+        JOIN fit f USING (seg) WHERE rn = 1)
+    SELECT doc_id, name AS license, CAST(s AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at, dice
+    FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM best x WHERE x.doc_id = b.doc_id AND x.name = b.name AND x.size < b.size AND x.s >= b.s AND x.e <= b.e)"""}
