@@ -3,6 +3,11 @@
 A window is `width` consecutive words.  A word goes if it lies in a window whose words also
 start a window of a document with a smaller id.
 
+0. Exact copies.  A document with the text of one of a smaller id loses everything if it
+   has a window at all, so it takes no part in what follows.  Copies are found by a
+   128-bit text hash: the smallest id of each text that occurs twice is joined to the
+   documents, by broadcast while there are at most `COPY_TEXTS` such texts, else by a
+   shuffle.
 1. Sketch.  Every partition counts into a count-min sketch, stored sparsely as (cell,
    count) rows, and Spark adds the partition sketches up.  What is counted is not each
    window but its minimiser, the smallest hash among its inner `inner`-word shingles: equal
@@ -10,7 +15,7 @@ start a window of a document with a smaller id.
    windows with one minimiser is counted once.  The estimate of a window's minimiser is
    never below the number of its runs, hence every window that repeats across documents is
    estimated at two or more: none is lost.
-2. Exact pass.  Only windows estimated repeated are given a 128-bit fingerprint and
+2. Exact pass.  Only windows estimated repeated are given a 96-bit fingerprint and
    grouped: the smallest id per fingerprint (a minimum, combined on the map side) is joined
    back, and windows of larger ids are marked.  Neither step needs a group in one place.
 3. Every document drops the words its marked windows cover.
@@ -33,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import raw, read, slices, texts
+from cutline.llm.common import bitmap, raw, read, slices, texts
 from cutline.llm.windows import Roller, WordHashes, inside, mix, sliding_min
 from cutline.plans.stage import stage
 
 WIDTH = 50
 LAST = (1 << 63) - 1  # stands for a null id
-BLOCK = 16
+COPY_TEXTS = 1 << 21
 
 
 class _Windows:
@@ -64,10 +69,10 @@ class _Windows:
 
     def prints(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
-            return at.astype(np.int64), at.astype(np.int64)
+            return at.astype(np.int64), at.astype(np.int32)
         one = self.a.windows(values, self.width)[at]
         two = self.b.windows(mix(values), self.width)[at]
-        return one.view(np.int64), two.view(np.int64)
+        return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _cells(minimiser: np.ndarray, row: int, log_width: int) -> np.ndarray:
@@ -97,33 +102,26 @@ def repeated_cells(docs: DataFrame, width: int, inner: int, depth: int, log_widt
     if depth << log_width > 1 << 31:
         raise ValueError("a sketch has at most 2^31 cells")
     merged = docs.select("text").mapInArrow(sketch, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    blocks = (
-        merged.where("n > 1")
-        .groupBy(F.shiftright("cell", BLOCK).alias("block"))
-        .agg(F.collect_list(F.col("cell").bitwiseAND(F.lit((1 << BLOCK) - 1))).alias("cells"))
-    )
+    return bitmap(merged.where("n > 1"), (depth << log_width).bit_length() - 1 + ((depth & (depth - 1)) > 0))
 
-    def pack(batches):
-        for batch in batches:
-            out = []
-            for cells in batch.column(1):
-                bits = np.zeros(1 << BLOCK, np.uint8)
-                bits[cells.values.to_numpy(zero_copy_only=False)] = 1
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "bits"])
-
-    size = max(depth << log_width, 1 << BLOCK) >> 3
-    table = np.zeros(size, np.uint8)
-    step = 1 << (BLOCK - 3)
-    for row in blocks.mapInArrow(pack, "block int, bits binary").toLocalIterator():
-        table[row.block * step:(row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return table
-
-
-def drop_repeats(docs: DataFrame, width: int = WIDTH, inner: int = 20, depth: int = 2,
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, ord, copy): is the text that of a document with a smaller id?"""
+    keyed = rows.withColumns({
+        "ord": F.coalesce("doc_id", F.lit(LAST)), "k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    first = stage(
+        keyed.groupBy("k1", "k2").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+        .where("low < high").drop("high"), "copies")
+    few = first.limit(COPY_TEXTS + 1).count() <= COPY_TEXTS
+    return keyed.join(F.broadcast(first) if few else first, ["k1", "k2"], "left").select(
+        "doc_id", "text", "ord", F.coalesce(F.col("low") < F.col("ord"), F.lit(False)).alias("copy"))
+
+
+def drop_repeats(docs: DataFrame, width: int = WIDTH, inner: int = 30, depth: int = 2,
                  log_width: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed): the words kept, joined by one space."""
-    rows = texts(docs, id_col, text_col)
+    keyed = with_copies(texts(docs, id_col, text_col))
+    rows = keyed.where(~F.col("copy"))
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(repeated_cells(rows, width, inner, depth, log_width))
 
@@ -140,34 +138,35 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, inner: int = 20, depth: in
                     hit &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                 doc, at = doc[hit], at[hit]
                 h1, h2 = windows.prints(values, at)
-                ids = part.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1), pa.array(h2), pa.array(ids[doc], pa.int64())], names=["h1", "h2", "ord"])
 
-    found = stage(rows.mapInArrow(candidates, "h1 long, h2 long, ord long"), "windows")
-    first = (
-        found.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
-        .where("low < high").drop("high")
-    )
+    found = stage(rows.select("ord", "text").mapInArrow(candidates, "h1 long, h2 int, ord long"), "windows")
+    first = found.groupBy("h1", "h2").agg(F.min("ord").alias("low"))
     marks = (
         found.join(first, ["h1", "h2"]).where("ord > low")
         .groupBy("ord").agg(F.collect_set("h1").alias("marks"))
     )
-    keyed = rows.withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
-    both = keyed.join(marks, "ord", "left").select("doc_id", "text", "marks")
+    both = keyed.join(marks, "ord", "left").select("doc_id", "text", "marks", "copy")
 
     def strip(batches):
         windows = _Windows(width, inner)
         for batch in batches:
             for part in slices(batch, "text"):
                 data = raw(part, "text")
-                marked = part.column(2)
+                marked, copies = part.column(2), part.column(3).to_pylist()
                 words = np.zeros(len(data), np.int64)
                 gone = np.zeros(len(data), np.int64)
                 out = []
                 for k, text in enumerate(data):
                     hits = marked[k].values
-                    if hits is None:
+                    if copies[k]:
+                        split = text.split()
+                        words[k] = len(split)
+                        if len(split) >= width:
+                            gone[k], split = len(split), []
+                    elif hits is None:
                         split = text.split()
                     else:
                         (split,), _, _, at, values = windows.read([text])
@@ -195,4 +194,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_substring_dedup": r"""
+    WITH docs AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    wins AS MATERIALIZED (
+        SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)),
+    first AS (SELECT win, min(doc_id) AS low FROM wins GROUP BY win),
+    hits AS MATERIALIZED (SELECT doc_id, i FROM wins JOIN first USING (win) WHERE low < doc_id),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM docs),
+    marked AS (
+        SELECT w.doc_id, word, p, p - max(i) OVER (PARTITION BY w.doc_id ORDER BY p) < 50 AS gone
+        FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.i = w.p),
+    kept AS (
+        SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+               string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT coalesce(gone, false)) AS body
+        FROM marked GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(body, '')) AS kept_sha256
+    FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""}
