@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of byte words; the table of seen words is bounded."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
         self.clear()
 
