@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cutline.llm.common import ragged_take, read, slices, strings, texts
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 300_000
 
 
 def default_ranks() -> str:
@@ -75,7 +75,7 @@ class Encoder:
         key = left << 32 | right
         found = self.pair_rank.get(key)
         if found is None:
-            if len(self.pair_rank) > 2_000_000:
+            if len(self.pair_rank) > 200_000:
                 self.pair_rank.clear()
             found = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
             self.pair_rank[key] = found

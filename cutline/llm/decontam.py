@@ -74,7 +74,7 @@ _SLOTS = {xxhash.xxh3_64_intdigest(t.encode()) for t in ("<num>", "<name>", "<un
 class Canonical:
     """Canonical hash sequences of texts, with a bounded table of raw words."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.clear()
 
