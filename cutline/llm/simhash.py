@@ -171,11 +171,15 @@ def links(prints: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFr
     return pairs.union(stars)
 
 
-def _named(prints: DataFrame, radius: int, small: int) -> DataFrame:
-    """(fp, first): for each distinct fingerprint the smallest (ord, text_key) of its component."""
+def _named(prints: DataFrame, radius: int, small: int, join=None) -> DataFrame:
+    """(fp, first): for each distinct fingerprint the smallest (ord, text_key) of its component.
+
+    `join` makes components of `prints` and the links, if there are further links.
+    """
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text_key"))
     distinct = prints.groupBy("fp").agg(first.alias("low"))
-    roots = components(links(distinct.select("fp"), radius, small))
+    near = links(distinct.select("fp"), radius, small)
+    roots = join(prints, near) if join else components(near)
     classes = stage(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")), "classes")
     return classes.join(classes.groupBy("root").agg(F.min("low").alias("first")), "root").select("fp", "first")
@@ -192,10 +196,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sma
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, small: int = SMALL,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", join=None) -> DataFrame:
     """One row of `docs` per group: that of the smallest id, of equal ids the smallest text hash, of equal texts any."""
     prints = stage(fingerprints(docs, shingle, id_col, text_col), "prints")
-    kept = _named(prints, radius, small).select("first.*").distinct()
+    kept = _named(prints, radius, small, join).select("first.*").distinct()
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
     own = {c: F.col(n) for c, n in zip(docs.columns, names)}
