@@ -6,7 +6,7 @@ from importlib import import_module
 
 FAMILIES = [
     "bpe", "pii", "licenses", "quality", "substrings", "token_counts", "divergence", "ctw", "decontam", "simhash",
-    "secrets", "periods",
+    "secrets", "periods", "variants",
 ]
 
 

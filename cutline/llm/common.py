@@ -83,6 +83,20 @@ def bitmap(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
     return table
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table.append(c)
+    digits = f"hex(encode({text}))"
+    value = f"CAST(('0x' || substr({digits}, CAST(2 * k + 1 AS INTEGER), 2)) AS BIGINT)"
+    given = f"list_transform(range(length({digits}) // 2), lambda k: {value})"
+    step = f"xor(c >> 8, CAST({table} AS BIGINT[])[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {given}), lambda c, b: {step}))"
+
+
 class Ids(dict):
     """Consecutive numbers for keys; `keys_new` lists them in order of first sight."""
 

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cutline.llm.common import raw, read, slices, texts
+from cutline.llm.common import crc32_sql, raw, read, slices, texts
 from cutline.llm.windows import mix
 
 LEAST = 12
@@ -351,4 +351,31 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_period_runs": op13_period_runs}
-ORACLE: dict[str, str] = {}
+#: A run matches itself q words on in six places or more: equal 6-word shingles of one text and
+#: one distance, at consecutive places, are its matches.
+ORACLE = {"op13_period_runs": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS given,
+    {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+shifted AS (SELECT *, len(given) AS n, (h // 10) % greatest(len(given), 1) AS a, (h // 10) % 8 AS r FROM docs),
+texts AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: given[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + r)) END])
+    ELSE given END AS words FROM shifted),
+shingles AS (SELECT rid, i, array_to_string(words[i + 1:i + 6], ' ') AS w FROM texts, LATERAL unnest(range(n - 5)) AS t(i)),
+matches AS (SELECT x.rid, x.i, y.i - x.i AS q FROM shingles x JOIN shingles y ON x.rid = y.rid AND x.w = y.w AND x.i < y.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM matches),
+stretches AS (SELECT rid, q, min(i) AS s, max(i) + 6 + q AS e FROM islands GROUP BY rid, q, island),
+runs AS (SELECT rid, s, e, min(q) AS q FROM stretches WHERE e - s >= greatest({LEAST}, 2 * q) GROUP BY rid, s, e),
+listed AS (
+  SELECT rid, count(*) AS n_runs, arg_min({{'s': s, 'e': e, 'q': q}}, (s - e, s, q)) AS top,
+    string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS listing
+  FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, e)) AS i FROM runs),
+stay AS (
+  SELECT t.rid, string_agg(words[k.i + 1], ' ' ORDER BY k.i) AS kept
+  FROM texts t, LATERAL unnest(range(n)) AS k(i) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.rid = t.rid AND g.i = k.i)
+  GROUP BY t.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.e - top.s AS length, top.q AS period,
+  1000 * (top.e - top.s) // top.q AS exponent_milli,
+  sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (rid) LEFT JOIN stay USING (rid)"""}
