@@ -22,15 +22,18 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from cutline.llm.common import ragged_take, read, slices, strings, texts
 
 TABLE_WORDS = 300_000
+SHIFT = 32
 
 
 def default_ranks() -> str:
@@ -50,18 +53,22 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
-        single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        single = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
         self.byte_id = np.array(single, np.int64)
-        # rank of the token two neighbouring bytes make, or -1
+        # rank of the token that two neighbouring tokens make
+        self.pairs = {
+            ranks[t[:k]] << SHIFT | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        # ... that two neighbouring bytes make, or -1
         self.byte_pair = np.array(
-            [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64
-        )
-        self.pair_rank: dict[int, int] = {}
+            [[self.pairs.get(a << SHIFT | b, -1) for b in single] for a in single], np.int64)
+        self.token_len = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.token_len[list(ranks.values())] = [len(t) for t in ranks]
+        self.token_at = np.cumsum(self.token_len) - self.token_len
+        self.token_bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         self.clear()
 
     def clear(self) -> None:
@@ -71,16 +78,6 @@ class Encoder:
         self.starts: list[int] = []
         self.lens: list[int] = []
 
-    def _rank(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        found = self.pair_rank.get(key)
-        if found is None:
-            if len(self.pair_rank) > 200_000:
-                self.pair_rank.clear()
-            found = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            self.pair_rank[key] = found
-        return found
-
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words joined, ids per word) after every merge in rank order."""
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -91,8 +88,8 @@ class Encoder:
         end = np.cumsum(size)
         last = np.zeros(n, bool)
         last[end[size > 0] - 1] = True
-        pair = self.byte_pair[data[:-1], data[1:]]
-        pair[last[:-1]] = -1
+        pair = np.concatenate([self.byte_pair[data[:-1], data[1:]], [-1]])
+        pair[last] = -1
         at = np.flatnonzero(pair >= 0)
         at = at[np.argsort(pair[at], kind="stable")]
         heap, cuts = np.unique(pair[at], return_index=True)
@@ -102,7 +99,8 @@ class Encoder:
         step = np.arange(1, n + 1)
         step[last] = -1
         nxt, prv = step.tolist(), np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(n) - 1).tolist()
-        rank_of, push, pop = self._rank, heapq.heappush, heapq.heappop
+        makes = pair.tolist()  # rank of the pair that starts here now
+        rank_of, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
         while heap:
             rank = pop(heap)
             places = index.pop(rank, None)
@@ -110,27 +108,30 @@ class Encoder:
                 continue
             places.sort()
             for k, p in enumerate(places):
-                q = nxt[p] if sym[p] >= 0 else -1
-                if q < 0 or rank_of(sym[p], sym[q]) != rank:
+                if makes[p] != rank:
                     continue  # a neighbour was merged since
-                after = nxt[q]
-                sym[p], sym[q], nxt[p] = rank, -1, after
+                q = nxt[p]
+                after, before = nxt[q], prv[p]
+                sym[p], sym[q], makes[q], nxt[p] = rank, -1, -1, after
                 lowest = rank
                 if after >= 0:
                     prv[after] = p
-                    r = rank_of(rank, sym[after])
+                    makes[p] = r = rank_of(rank << SHIFT | sym[after], -1)
                     if r >= 0:
-                        lowest = min(lowest, r)
+                        if r < lowest:
+                            lowest = r
                         if r in index:
                             index[r].append(p)
                         else:
                             index[r] = [p]
                             push(heap, r)
-                before = prv[p]
+                else:
+                    makes[p] = -1
                 if before >= 0:
-                    r = rank_of(sym[before], rank)
+                    makes[before] = r = rank_of(sym[before] << SHIFT | rank, -1)
                     if r >= 0:
-                        lowest = min(lowest, r)
+                        if r < lowest:
+                            lowest = r
                         if r in index:
                             index[r].append(before)
                         else:
@@ -163,11 +164,11 @@ class Encoder:
         if len(self.word_id) > TABLE_WORDS:
             self.clear()
         split = [self.split(t) for t in docs]
-        new = list({w for ws in split for w in ws if w not in self.word_id})
+        known = self.word_id
+        new = list({w for ws in split for w in ws}.difference(known))
         if new:
             self._learn(new)
-        known = self.word_id
-        words = np.fromiter((known[w] for ws in split for w in ws), np.int64)
+        words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         starts, lens = np.array(self.starts, np.int64), np.array(self.lens, np.int64)
         ids = ragged_take(self.flat, starts[words], lens[words])
         per_word = np.concatenate([[0], np.cumsum(lens[words])])
@@ -175,6 +176,13 @@ class Encoder:
         stop = per_word[end]
         return ids, np.diff(stop, prepend=0)
 
+    def decode(self, ids: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """The bytes of every list of ids; `ids` holds them joined."""
+        size = self.token_len[ids]
+        data = ragged_take(self.token_bytes, self.token_at[ids], size).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(lens)].tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
 
 @lru_cache(maxsize=2)
 def _encoder(ranks_path: str, pattern: str) -> Encoder:
@@ -201,53 +209,52 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id",
-           ids_col: str = "ids", digests: bool = False) -> DataFrame:
-    """(doc_id, text) of id lists; bytes that are no UTF-8 become U+FFFD.
-
-    With `digests` instead: (doc_id, n_tokens, ids_sha256, decoded_sha256), over the ids as
-    little-endian 32-bit integers and over the decoded bytes.
-    """
+           ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) of id lists; a null list is empty, bytes that are no UTF-8 become U+FFFD."""
     ranks_path = ranks_path or default_ranks()
     pattern = default_pattern()
 
     def run(batches):
-        table = _encoder(ranks_path, pattern).bytes_of
+        coder = _encoder(ranks_path, pattern)
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                lists = pc.fill_null(part.column(1), pa.scalar([], part.column(1).type))
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                found = coder.decode(ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([d.decode("utf-8", "replace") for d in found], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(id_col, ids_col).mapInArrow(run, "doc_id long, text string")
+
+
+def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and its ids decoded again.
+
+    The digests are of the ids as little-endian 32-bit integers and of the decoded bytes.
+    """
+    ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+
+    def run(batches):
+        coder = _encoder(ranks_path, pattern)
         for batch in batches:
-            column = batch.column(1)
-            for row in range(len(batch)):
-                ids = column[row].values
-                ids = np.empty(0, "<u4") if ids is None else ids.to_numpy(zero_copy_only=False)
-                data = b"".join(map(table.__getitem__, ids.tolist()))
-                out.append((ids, data))
-                if len(out) == 256:
-                    yield emit(batch.column(0).slice(row + 1 - len(out), len(out)), out)
-            if out:
-                yield emit(batch.column(0).slice(len(batch) - len(out), len(out)), out)
-
-    out: list = []
-
-    def emit(keys, rows):
-        if digests:
-            cols = [
-                pa.array([len(i) for i, _ in rows], pa.int64()),
-                pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i, _ in rows]),
-                pa.array([hashlib.sha256(d).hexdigest() for _, d in rows]),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        else:
-            cols = [pa.array([d.decode("utf-8", "replace") for _, d in rows], pa.string())]
-            names = ["doc_id", "text"]
-        rows.clear()
-        return pa.RecordBatch.from_arrays([keys, *cols], names=names)
-
-    schema = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
-              else "doc_id long, text string")
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+            for part in slices(batch, "text"):
+                ids, lens = coder.encode(strings(part, "text"))
+                lists = np.split(ids.astype("<u4"), np.cumsum(lens)[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(lens, pa.int64()),
+                     pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in lists]),
+                     pa.array([hashlib.sha256(d).hexdigest() for d in coder.decode(ids, lens)])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, decode the ids, and give the digests of both."""
-    return decode(encode(read(spark, sf_dir, "documents")), digests=True)
+    return round_trip(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe}

@@ -3,23 +3,29 @@
 A text is the set of its lower-cased 5-word shingles.  Two texts are near copies if the
 intersection of their sets is at least SHARE (4/5) of the union.
 
+0. Sets.  Every text is split and hashed once; its sorted shingle hashes are stored under the
+   hash of the text, and all that follows reads them.
 1. Prefixes.  With the shingles of every text in one common order, two such texts share one
    of the first n - ceil(4n/5) + 1 shingles of each, so only these are joined.  The order is
    that of a sample's counts, then of the hashes: shingles of many texts come last.  Any
    order gives the same pairs; the sample and the `heavy` counts only decide how many
    candidates there are.
-2. Stars.  Texts that share a prefix shingle are compared with the smallest of them.
+2. Stars.  Texts that share a prefix shingle are compared with the one where it stands first,
+   that is with the text that has fewest rare shingles of its own: the least changed copy.
 3. Rest.  Of all other pairs that share one, those not yet in one component are compared.
-   Pairs within a component need no comparison, so a crowd of copies costs its stars.
+   Pairs within a component are not even formed, so a crowd of copies costs its stars.
 
 Candidates are cut by the sizes of the sets and by the places of the shared shingle, then by
 counts of hashes in 256 bins, all bounds of the intersection; then the sets themselves decide.
-Sets and counts are made again from the texts, for candidates only (a bitmap of fixed size
-tells most others apart).
 
 Texts are named by Spark's xxhash64 and their SimHash fingerprint; equal fingerprints are one
 node of the components, so exact copies are merged before any comparison.  Texts of fewer
 than five words are one shingle, texts without words none.
+
+Edge cases: a null or empty text has no shingle and no link but that of its fingerprint; ids
+play no part, so null and repeated ids do no harm; repeated rows are one text; ties in the
+order of shingles and of centres go to the smaller hash; an empty table gives no components;
+only id and text are read.  A very long text is one set, 8 bytes a distinct shingle.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.llm.common import bitmap, raw, slices, texts
@@ -40,14 +46,15 @@ SHARE = (4, 5)
 SEED = 42
 SAMPLE = 16
 HEAVY = 1 << 18
-SEEN = 1 << 18
+SEEN = 1 << 16
+VALUES = 1 << 18
 
 
 class _Sets:
     """Sorted distinct shingle hashes of the texts of a slice."""
 
     def __init__(self, shingle: int):
-        self.shingle, self.words, self.roll = shingle, WordHashes(), Roller(0x9FB21C651E98DF25)
+        self.shingle, self.words, self.roll = shingle, WordHashes(50_000), Roller(0x9FB21C651E98DF25)
 
     def of(self, rows: list[bytes]) -> list[np.ndarray]:
         split = [t.lower().split() for t in rows]
@@ -62,80 +69,90 @@ class _Sets:
         ]
 
 
-class _New:
-    """Which texts a task meets for the first time; the table is bounded, repeats do no harm."""
-
-    def __init__(self):
-        self.seen: set[int] = set()
-
-    def of(self, keys: list[int]) -> list[int]:
-        if len(self.seen) > SEEN:
-            self.seen.clear()
-        out = []
-        for k, key in enumerate(keys):
-            if key not in self.seen:
-                self.seen.add(key)
-                out.append(k)
-        return out
-
-
-def _keys(rows: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t, SEED) for t in rows], np.uint64).view(np.int64)
+def _new(keys: list[int], seen: set[int]) -> list[int]:
+    """Places of keys a task meets for the first time; `seen` is bounded, repeats do no harm."""
+    if len(seen) > SEEN:
+        seen.clear()
+    out = []
+    for k, key in enumerate(keys):
+        if key not in seen:
+            seen.add(key)
+            out.append(k)
+    return out
 
 
-def heavy_shingles(rows: DataFrame, shingle: int, sample: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that occur twice or more in a sample of the texts."""
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(key, hashes): the shingle set of every text with words; a text may come from several tasks."""
 
     def run(batches):
-        sets, new = _Sets(shingle), _New()
+        sets, seen = _Sets(shingle), set()
         for batch in batches:
             for part in slices(batch, "text"):
                 data = raw(part, "text")
-                keys = _keys(data).view(np.uint64)
-                data = [data[k] for k in new.of(keys.tolist()) if keys[k] % np.uint64(sample) == 0]
-                found = sets.of(data)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
-
-    counts = rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(heavy).toArrow()
+                keys = np.array([xxhash.xxh64_intdigest(t, SEED) for t in data], np.uint64).view(np.int64)
+                fresh = _new(keys.tolist(), seen)
+                found = sets.of([data[k] for k in fresh])
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                if size.any():
+                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    held = pa.ListArray.from_arrays(ends, np.concatenate(found).view(np.int64))
+                    out = pa.RecordBatch.from_arrays([pa.array(keys[fresh]), held], names=["key", "hashes"])
+                    yield out.filter(pa.array(size > 0))
+
+    return rows.select("text").mapInArrow(run, "key long, hashes array<long>")
+
+
+def _lists(batch: pa.RecordBatch):
+    """(keys, values joined, values per row) of a batch of sets, some `VALUES` at a time."""
+    keys, lists = batch.column(0).to_numpy(), batch.column(1)
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy().view(np.uint64)
+    start = 0
+    while start < len(keys):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + VALUES, side="right")) - 1)
+        yield keys[start:stop], flat[ends[start]:ends[stop]], np.diff(ends[start:stop + 1]).astype(np.int64)
+        start = stop
+
+
+def heavy_shingles(sets: DataFrame, sample: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of at most `heavy` shingles, the most frequent in a sample of the texts."""
+    picked = sets.where(F.pmod("key", F.lit(sample)) == 0).select(F.explode("hashes").alias("h"))
+    counts = stage(picked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "heavy")
+    least, total = 1 << 62, 0
+    # distinct counts: their number grows with the root of the sample at most
+    for n, times in sorted(((r.n, r.times) for r in counts.groupBy("n").agg(F.count("*").alias("times")).toLocalIterator()), reverse=True):
+        total += times
+        if total > heavy:
+            break
+        least = n
+    top = counts.where(F.col("n") >= least).toArrow()
     h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], top.column("n").to_numpy().astype(np.int64)[order]
 
 
-def prefixes(rows: DataFrame, shingle: int, share: tuple[int, int], sample: int, heavy: int) -> DataFrame:
+def prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -> DataFrame:
     """(h, key, n, pos): the prefix shingles of every text, its set's size and their places."""
-    table = rows.sparkSession.sparkContext.broadcast(heavy_shingles(rows, shingle, sample, heavy))
+    table = sets.sparkSession.sparkContext.broadcast(heavy_shingles(sets, sample, heavy))
 
     def run(batches):
         known, count = table.value
-        sets, new = _Sets(shingle), _New()
         for batch in batches:
-            for part in slices(batch, "text"):
-                data = raw(part, "text")
-                keys = _keys(data)
-                fresh = new.of(keys.tolist())
-                out = []
-                for k, s in zip(fresh, sets.of([data[k] for k in fresh])):
-                    n = len(s)
-                    if not n:
-                        continue
-                    p = n + (-share[0] * n) // share[1] + 1
-                    if len(known):
-                        spot = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        s = s[np.argsort(np.where(known[spot] == s, count[spot], 0), kind="stable")]
-                    out.append((s[:p], keys[k], n, p))
-                if out:
-                    p = np.array([o[3] for o in out])
-                    pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                         pa.array(np.repeat(np.array([o[1] for o in out], np.int64), p)),
-                         pa.array(np.repeat(np.array([o[2] for o in out], np.int32), p)),
-                         pa.array(pos.astype(np.int32))], names=["h", "key", "n", "pos"])
-
-    return rows.select("text").mapInArrow(run, "h long, key long, n int, pos int")
+            for keys, flat, n in _lists(batch):
+                row = np.repeat(np.arange(len(n)), n)
+                if len(known):
+                    spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    weight = np.where(known[spot] == flat, count[spot], 0)
+                    flat = flat[np.lexsort((weight, row))]  # stable: equal counts stay in the order of the hashes
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                first = n + (-share[0] * n) // share[1] + 1
+                use = pos < first[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[use].view(np.int64)), pa.array(keys[row[use]]),
+                     pa.array(n[row[use]].astype(np.int32)), pa.array(pos[use].astype(np.int32))],
+                    names=["h", "key", "n", "pos"])
+
+    return sets.select("key", "hashes").mapInArrow(run, "h long, key long, n int, pos int")
 
 
 def _may_fit(share: tuple[int, int]) -> Column:
@@ -145,44 +162,53 @@ def _may_fit(share: tuple[int, int]) -> Column:
     return most.cast("long") * sum(share) >= (F.col("a.n").cast("long") + F.col("b.n")) * share[0]
 
 
-def _held(rows: DataFrame, keys: DataFrame, shingle: int, pack, log_bits: int = 23) -> DataFrame:
+def _bins(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of the hashes of every row in 256 bins, at most 255 each."""
+    cell = np.repeat(np.arange(len(n)), n) * 256 + (flat & np.uint64(255)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=256 * len(n)), 255).astype(np.uint8).reshape(len(n), 256)
+    return [c.tobytes() for c in counts]
+
+
+def _whole(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+    return [p.tobytes() for p in np.split(flat, np.cumsum(n)[:-1])]
+
+
+def _held(sets: DataFrame, keys: DataFrame, pack, log_bits: int = 23) -> DataFrame:
     """(key, held): `pack` of the sets of the texts in `keys`, once for each text."""
     keys, shift = keys.distinct(), 64 - log_bits
-    bits = rows.sparkSession.sparkContext.broadcast(
+    bits = sets.sparkSession.sparkContext.broadcast(
         bitmap(keys.select(F.shiftrightunsigned("key", shift).cast("int").alias("cell")), log_bits))
 
     def run(batches):
-        packed, sets, new = bits.value, _Sets(shingle), _New()
+        packed = bits.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                data = raw(part, "text")
-                found = _keys(data)
+            for found, flat, n in _lists(batch):
                 spot = (found.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-                hit = np.flatnonzero(packed[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
-                hit = hit[new.of(found[hit].tolist())]
-                if len(hit):
-                    held = [pack(s) for s in sets.of([data[k] for k in hit])]
+                hit = (packed[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+                if hit.any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found[hit]), pa.array(held, pa.binary())], names=["key", "held"])
+                        [pa.array(found[hit]), pa.array(pack(flat[np.repeat(hit, n)], n[hit]), pa.binary())], names=["key", "held"])
 
-    held = rows.select("text").mapInArrow(run, "key long, held binary").join(keys, "key", "left_semi")
+    held = sets.select("key", "hashes").mapInArrow(run, "key long, held binary").join(keys, "key", "left_semi")
     return stage(held.dropDuplicates(["key"]), "held")
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
-
+def _most(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of the intersections, sums of the sizes) from bins; a bin at its limit bounds nothing."""
+    x = np.frombuffer(b"".join(xs.to_pylist()), np.uint8).reshape(-1, 256)
+    y = np.frombuffer(b"".join(ys.to_pylist()), np.uint8).reshape(-1, 256)
+    most, both = np.minimum(x, y).sum(axis=1, dtype=np.int64), x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    full = (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
+    return np.where(full, both, most), both
 
-def _most(x: bytes, y: bytes) -> tuple[int, int] | None:
-    """(bound of the intersection, sum of the sizes) from two sketches; None if a count is at its limit."""
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if max(x.max(), y.max()) < 255:
-        return int(np.minimum(x, y).sum()), int(x.sum()) + int(y.sum())
 
-
-def _shared(x: bytes, y: bytes) -> tuple[int, int]:
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    return len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+def _shared(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    most, both = np.zeros(len(xs), np.int64), np.zeros(len(xs), np.int64)
+    for k, (x, y) in enumerate(zip(xs, ys)):
+        x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        most[k], both[k] = np.count_nonzero(y[spot] == x), len(x) + len(y)
+    return most, both
 
 
 def _fitting(pairs: DataFrame, held: DataFrame, count, share: tuple[int, int]) -> DataFrame:
@@ -190,11 +216,11 @@ def _fitting(pairs: DataFrame, held: DataFrame, count, share: tuple[int, int]) -
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                got = count(x.as_py(), y.as_py())
-                keep.append(got is None or got[0] * sum(share) >= got[1] * share[0])
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, len(batch), 2048):
+                part = batch.slice(k, 2048)
+                most, both = count(part.column(4), part.column(5))
+                yield pa.RecordBatch.from_arrays(part.columns[:4], names=["a", "b", "u", "v"]).filter(
+                    pa.array(most * sum(share) >= both * share[0]))
 
     both = (
         pairs.join(held.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
@@ -203,11 +229,11 @@ def _fitting(pairs: DataFrame, held: DataFrame, count, share: tuple[int, int]) -
     return both.select("a", "b", "u", "v", "x", "y").mapInArrow(run, "a long, b long, u long, v long")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, bins: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(u, v) of the pairs (a, b, u, v) of texts whose sets are near copies."""
-    pairs = stage(_fitting(pairs, sketches, _most, share), "candidates")
+    pairs = stage(_fitting(pairs, bins, _most, share), "candidates")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    return _fitting(pairs, _held(rows, keys, shingle, np.ndarray.tobytes), _shared, share).select("u", "v")
+    return _fitting(pairs, _held(sets, keys, _whole), _shared, share).select("u", "v")
 
 
 def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int = SHINGLE,
@@ -217,32 +243,36 @@ def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int =
 
     `prints` holds (fp, text_key) of every row of `docs`.
     """
-    rows = texts(docs, id_col, text_col)
-    group = Window.partitionBy("h")
-    crowds = (
-        prefixes(rows, shingle, share, sample, heavy)
-        .withColumns({"low": F.min("key").over(group), "high": F.max("key").over(group)})
-        .where("low < high").select("h", "key", "n", "pos").distinct()
+    sets = stage(shingle_sets(texts(docs, id_col, text_col), shingle), "sets")
+    rows = stage(prefixes(sets, share, sample, heavy), "prefixes")
+    met = (
+        rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("pos", "key", "n")).alias("b"))
+        .where("low < high").select("h", "b")
     )
     names = prints.select(F.col("text_key").alias("key"), "fp").distinct()
-    crowds = stage(crowds.join(names, "key").select("h", "key", "fp", "n", "pos"), "crowds")
-    sketches = _held(rows, crowds.select("key"), shingle, _sketch)
+    crowds = stage(
+        rows.join(met, "h").join(names, "key").select("h", "key", "fp", "n", "pos", "b").dropDuplicates(["h", "key"]), "crowds")
+    bins = _held(sets, crowds.select("key"), _bins)
 
-    first = F.min(F.struct("key", "fp", "n", "pos"))
-    b = crowds.groupBy("h").agg(first.alias("b")).select("h", "b.*").alias("b")
     ends = [F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")]
+    centre = names.select(F.col("key").alias("centre"), F.col("fp").alias("own"))
     stars = (
-        crowds.alias("a").join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") != F.col("b.fp")) & _may_fit(share))
-        .select(*ends).distinct()
+        crowds.select("key", "fp", "n", "pos", F.col("b.key").alias("centre"), F.col("b.n").alias("m"), F.col("b.pos").alias("at"))
+        .join(centre, "centre")
+        .select(F.struct("key", "fp", "n", "pos").alias("a"),
+                F.struct(F.col("centre").alias("key"), F.col("own").alias("fp"), F.col("m").alias("n"), F.col("at").alias("pos")).alias("b"))
+        .where((F.col("a.fp") != F.col("b.fp")) & _may_fit(share)).select(*ends).distinct()
     )
-    roots = stage(components(links.unionByName(verified(stars, sketches, rows, shingle, share))), "roots")
+    roots = stage(components(links.unionByName(verified(stars, bins, sets, share))), "roots")
 
     placed = stage(
         crowds.join(roots, F.col("fp") == F.col("node"), "left")
         .select("h", "key", "n", "pos", F.coalesce("root", "fp").alias("fp")), "placed")
+    present = placed.groupBy("h", F.col("fp").alias("other")).agg(F.lit(1).alias("one")).drop("one")
     rest = (
-        placed.alias("a").join(placed.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & _may_fit(share))
+        placed.join(present, "h").where("fp < other").alias("a")
+        .join(placed.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.other") == F.col("b.fp")) & _may_fit(share))
         .select(*ends).distinct()
     )
-    more = verified(rest, sketches, rows, shingle, share)
+    more = verified(rest, bins, sets, share)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))

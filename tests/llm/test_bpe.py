@@ -33,7 +33,9 @@ def test_documents_and_edge_cases(spark, library):
     assert got == want
     back = sorted(((r.doc_id, r.text) for r in bpe.decode(encoded).collect()), key=str)
     assert back == sorted(((i, t or "") for i, t in rows), key=str)
-    for r in bpe.decode(encoded, digests=True).where("doc_id = -3").collect():
+    lists = spark.createDataFrame([(1, None), (2, []), (None, [0, 1])], "doc_id long, ids array<int>")
+    assert {r.doc_id: len(r.text) for r in bpe.decode(lists).collect()} == {1: 0, 2: 0, None: 2}
+    for r in bpe.round_trip(frame).where("doc_id = -3").collect():
         ids = np.array(library.encode_ordinary(LONG), "<u4")
         assert r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()

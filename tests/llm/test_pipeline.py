@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline as cp
 from cutline.llm import pii
-from tests_llm_plain import decontam_plain, divergence_plain, simhash_plain
+from tests_llm_plain import decontam_plain, divergence_plain, near_plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def test_stages(spark):
         if name == "quality_rules":
             want = [r for r in before if divergence_plain(r, before)]
         elif name == "near_dedup":
-            want = simhash_plain(before)
+            want = near_plain(before)
         elif name == "decontaminate":
             leaked = decontam_plain([(r[0], r[1]) for r in before], items)
             want = [r for r in before if r[0] not in leaked]

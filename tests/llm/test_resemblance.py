@@ -69,3 +69,18 @@ def test_documents(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     got = sorted((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect())
     assert got == plain_keep(rows)
+
+
+def test_edge_cases(spark):
+    """Null ids and texts, repeated rows, a very long text and its near copy, clashing names."""
+    long = " ".join(f"v{k}" for k in range(40_000))
+    rows = [(1, None), (2, ""), (None, "one two three four five six"), (None, "one two three four five six"), (3, long),
+            (4, long.replace("v77 ", "other ")), (5, "four words are few"), (6, "Four words ARE few"), (7, "x"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "key", 1.0) for i, t in rows], "doc_id long, text string, key string, hashes double")
+    left = cp.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in left.collect()) == [(0, 27), (1, 0), (3, len(long)), (5, 18), (7, 1)]
+
+
+def test_no_rows(spark):
+    assert cp.near_dedup(spark, spark.createDataFrame([], "doc_id long, text string"), "").collect() == []

@@ -5,6 +5,7 @@ import math
 from test_decontam import plain as leaks_plain
 from test_divergence import distance
 from test_divergence import plain as counts_plain
+from test_resemblance import shingles
 from test_simhash import plain_groups, plain_print
 
 from cutline.llm import divergence as dv
@@ -27,13 +28,27 @@ def divergence_plain(row, rows):
     return own[6].sum() < 20 or distance(own[6].tolist(), common) <= 0.75 + room
 
 
-def simhash_plain(rows):
-    prints = [plain_print(r[1] or "") for r in rows]
-    groups = plain_groups(set(prints))
+def near_plain(rows):
+    """One row a group: texts whose fingerprints link, or whose 5-word shingles are 0.8 similar."""
+    texts = sorted({r[1] or "" for r in rows})
+    prints = {t: plain_print(t) for t in texts}
+    groups = plain_groups(set(prints.values()))
+    sets = {t: shingles(t) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for k, a in enumerate(texts):
+        for b in texts[k + 1:]:
+            x, y = sets[a], sets[b]
+            if groups[prints[a]] == groups[prints[b]] or x and y and 5 * len(x & y) >= 4 * len(x | y):
+                root[find(a)] = find(b)
     best = {}
-    for r, p in zip(rows, prints):
-        g = groups[p]
-        key = (r[0] is None, r[0] or 0)
+    for r in rows:
+        g, key = find(r[1] or ""), (r[0] is None, r[0] or 0)
         if g not in best or key < best[g][0]:
             best[g] = (key, r)
     return [r for _, r in best.values()]
