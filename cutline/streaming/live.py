@@ -1,9 +1,15 @@
 """Live forms of the event operators on Structured Streaming.
 
-Order inside a key follows event time within each micro-batch; state carries over
-between batches.  `with_lateness` sets the watermark: events later than that are
-dropped (an addition, the rules themselves know no late data).  Micro-batches are
-bounded by the source's own limits (maxFilesPerTrigger, maxBytesPerTrigger).
+Order inside a key is that of event time, whatever the order of arrival: rows wait in list
+state until the watermark has passed them (`lateness` after the newest event seen), an
+event-time timer then hands them on in order.  Events that come later than that are dropped
+(an addition, the rules themselves know no late data).  A key's own state (threshold, last
+edit, request in flight) is cleared as soon as it can make no difference any more, so idle
+keys leave nothing behind.
+
+A key holds the rows of its lateness and of one micro-batch, as packed Arrow chunks;
+micro-batches are bounded by the source's own limits (maxFilesPerTrigger,
+maxBytesPerTrigger).
 """
 
 from __future__ import annotations
@@ -12,29 +18,34 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutline.functions.numeric import epoch_us
-from cutline.operators.intervals import accumulate
+from cutline.operators.events import drop_superseded
+from cutline.plans import scan as S
 from cutline.plans.stage import stage, stage_root
 from cutline.session import SETTINGS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-DAY_US = 86_400_000_000
 SLIM = "asset_id long, sample_id long, t_us long"
+LATENESS = "1 hour"
+PER_NODE = 512
 
 
 def sample_stream(spark: SparkSession, sf: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream of samples."""
+    """The events table, one file or a folder of part files, as a stream of samples."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a pattern matches the file itself as well as the folder, whose files are listed then
     raw = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", str(files_per_trigger))
-        .parquet(sf)
+        .parquet(f"{sf}/events.parque[t]")
     )
     return raw.select(
         F.col("user_id").alias("asset_id"), F.col("event_id").alias("sample_id"),
@@ -60,73 +71,131 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["t_us", "sample_id"], kind="stable")
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
-class _Keeper(StatefulProcessor):
-    """Value state with one fixed schema."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key in event-time order, each once the watermark has passed it.
+
+    `fold(key, state, rows)` takes rows sorted by (t_us, sample_id) and returns the next state
+    and the rows to emit; `needless(state)` tells from which time on a state acts like none.
+    """
 
     schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")
         self.state = handle.getValueState("state", self.schema)
 
-    def load(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
+    def fold(self, key: Any, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        raise NotImplementedError
+
+    def needless(self, state: tuple) -> int | None:
+        raise NotImplementedError
+
+    def _wake(self, t_us: int) -> None:
+        """A timer fires when the watermark is above it."""
+        self.handle.registerTimer(int(t_us) // 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
+        first = None
+        for part in rows:
+            if len(part):
+                low = int(part["t_us"].min())
+                first = low if first is None else min(first, low)
+                self.held.appendValue((_packed(pa.Table.from_pandas(part, preserve_index=False)),))
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = None
+        if self.held.exists():
+            parts = [pa.ipc.open_stream(r[0]).read_all().replace_schema_metadata() for r in self.held.get()]
+            rows = pa.concat_tables(parts, promote_options="permissive")
+            early = pc.less(rows.column("t_us"), passed)
+            due, late = rows.filter(early), rows.filter(pc.invert(early))
+            if late.num_rows == 0:
+                self.held.clear()
+            elif due.num_rows:
+                self.held.put([(_packed(late),)])
+            if late.num_rows:
+                self._wake(pc.min(late.column("t_us")).as_py())
+        state = tuple(self.state.get()) if self.state.exists() else None
+        out = None
+        if due is not None and due.num_rows:
+            due = due.sort_by([("t_us", "ascending"), ("sample_id", "ascending")])
+            state, out = self.fold(key, state, due.to_pandas())
+            if state is not None:
+                self.state.update(state)
+        if state is not None:
+            until = self.needless(state)
+            if until is not None and until <= passed:
+                self.state.clear()
+            elif until is not None:
+                self._wake(until)
+        if out is not None and len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
-class _Thin(_Keeper):
+class _Thin(_InOrder):
     schema = "due long"
 
     def __init__(self, interval_us: int, slack_us: int):
         self.interval_us, self.slack_us = interval_us, slack_us
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        batch = _ordered(rows)
-        held = self.load()
-        due = held[0] if held else None
+    def fold(self, key, state, rows):
+        t = rows["t_us"].to_numpy()
+        due = state[0] if state else int(t[0])
         keep = []
-        for t in batch["t_us"].tolist():
-            hit = due is None or t + self.slack_us >= due
-            if hit:
-                due = t + self.interval_us
-            keep.append(hit)
-        self.state.update((int(due),))
-        yield batch[keep]
+        at = int(np.searchsorted(t, due - self.slack_us))
+        while at < len(t):
+            keep.append(at)
+            due = int(t[at]) + self.interval_us
+            at = max(at + 1, int(np.searchsorted(t, due - self.slack_us)))
+        return (due,), rows.iloc[keep]
 
+    def needless(self, state):
+        return state[0] - self.slack_us
 
-class _Coalesce(_Keeper):
+
+class _Coalesce(_InOrder):
     schema = "edit string, at long"
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        batch = _ordered(rows)
-        last = self.load()
-        fresh = []
-        for edit, t in zip(batch["edit_key"].tolist(), batch["t_us"].tolist()):
-            edit = None if pd.isna(edit) else edit
-            fresh.append(
-                last is None or edit is None or edit != last[0] or t - last[1] > self.gap_us
-            )
-            last = (edit, int(t))
-        self.state.update(last)
-        yield batch.assign(new_step=fresh)[["asset_id", "sample_id", "t_us", "edit_key", "new_step"]]
-
-
-class _Pending(_Keeper):
+    def fold(self, key, state, rows):
+        edit, t = rows["edit_key"], rows["t_us"]
+        edit = edit.where(edit.notna(), None).astype(object)
+        before, at = edit.shift(1), t.shift(1)
+        if state:
+            before.iloc[0], at.iloc[0] = state[0], state[1]
+        same = edit.notna() & before.notna() & (edit == before) & (t - at <= self.gap_us)
+        out = rows.assign(new_step=~same)[["asset_id", "sample_id", "t_us", "edit_key", "new_step"]]
+        return (edit.iloc[-1], int(t.iloc[-1])), out
+
+    def needless(self, state):
+        # an edit without key joins nothing
+        return state[1] if state[0] is None else state[1] + self.gap_us + 1
+
+
+class _Pending(_InOrder):
     schema = "busy boolean, wait_id long, wait_t long"
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        batch = _ordered(rows)
-        busy, wait_id, wait_t = self.load() or (False, None, None)
+    def fold(self, key, state, rows):
+        busy, wait_id, wait_t = state or (False, None, None)
         out = []
-        for sid, t, done in zip(batch["sample_id"].tolist(), batch["t_us"].tolist(), batch["done"].tolist()):
+        for sid, t, done in zip(rows["sample_id"].tolist(), rows["t_us"].tolist(), rows["done"].tolist()):
             if not done and not busy:
                 busy = True
                 out.append((key[0], sid, t, t))
@@ -137,32 +206,35 @@ class _Pending(_Keeper):
                 wait_id = wait_t = None
             else:
                 busy = False
-        self.state.update((busy, wait_id, wait_t))
-        yield pd.DataFrame(out, columns=["asset_id", "sample_id", "t_us", "issued_us"])
+        frame = pd.DataFrame(out, columns=["asset_id", "sample_id", "t_us", "issued_us"])
+        return (busy, wait_id, wait_t), frame
 
+    def needless(self, state):
+        return None if state[0] else 0
 
-def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+
+def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, lateness: str) -> DataFrame:
+    return with_lateness(stream, lateness).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
-def stream_thin(stream: DataFrame, interval_us: int, slack_us: int = 1) -> DataFrame:
-    """Greedy rate reduction per asset; slack 0 makes it the throttle."""
+def stream_thin(stream: DataFrame, interval_us: int, slack_us: int = 1, lateness: str = LATENESS) -> DataFrame:
+    """Greedy rate reduction per asset, in event time; slack 0 makes it the throttle."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return _stateful(stream, "asset_id", _Thin(interval_us, slack_us), kinds)
+    return _stateful(stream, "asset_id", _Thin(interval_us, slack_us), kinds, lateness)
 
 
-def stream_coalesce(stream: DataFrame, gap_us: int) -> DataFrame:
-    """(asset_id, sample_id, t_us, edit_key) with new_step."""
+def stream_coalesce(stream: DataFrame, gap_us: int, lateness: str = LATENESS) -> DataFrame:
+    """(asset_id, sample_id, t_us, edit_key, ts) with new_step, in event time."""
     return _stateful(
-        stream, "asset_id", _Coalesce(gap_us), SLIM + ", edit_key string, new_step boolean"
+        stream, "asset_id", _Coalesce(gap_us), SLIM + ", edit_key string, new_step boolean", lateness
     )
 
 
-def stream_latest_pending(stream: DataFrame) -> DataFrame:
-    """(asset_id, sample_id, t_us, done) to issued requests."""
-    return _stateful(stream, "asset_id", _Pending(), SLIM + ", issued_us long")
+def stream_latest_pending(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(asset_id, sample_id, t_us, done, ts) to issued requests, in event time."""
+    return _stateful(stream, "asset_id", _Pending(), SLIM + ", issued_us long", lateness)
 
 
 def stream_debounce(stream: DataFrame, gap: str, lateness: str) -> DataFrame:
@@ -181,32 +253,124 @@ def stream_superseded(stream: DataFrame, key: list[str], token: str) -> DataFram
     return stream.groupBy(*key).agg(F.max_by(F.struct(*rest), token).alias("r")).select(*key, "r.*")
 
 
+class MergeTable:
+    """A table with one row per key, kept as versions of hash buckets on shared storage.
+
+    A batch is merged into the buckets it touches and into no others: their rows are read from the
+    version in force, superseded ones dropped, and the result is written as files of a new
+    version.  The version's list of (bucket, version in force) is written last and makes it
+    valid, so a reader sees whole versions and a repeated batch, after a failure, starts
+    from the same version as before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], token: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.token, self.buckets = spark, path, key, token, buckets
+
+    def _versions(self, before: int | None = None) -> DataFrame | None:
+        """(bucket, version) in force; None if there is no version yet (before `before`)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lists")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return None
+        known = [int(f.getPath().getName().split("-")[1]) for f in files.listStatus(path)
+                 if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        known = [v for v in known if before is None or v < before]
+        return self.spark.read.schema("bucket int, version long").parquet(f"{path}/v-{max(known)}") if known else None
+
+    def _rows(self, current: DataFrame, schema) -> DataFrame:
+        """Rows of the buckets in `current`, of the versions given there: at most `buckets` folders."""
+        paths = [f"{self.path}/rows/v-{r.version}/bucket={r.bucket}" for r in current.collect()]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def merge(self, batch: DataFrame, version: int) -> None:
+        own = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        news = stage(drop_superseded(batch, self.key, self.token), "news")
+        touched = [r.bucket for r in news.select(own.alias("bucket")).distinct().collect()]
+        if not touched:
+            return
+        current = self._versions(version)
+        merged = news
+        if current is not None:
+            old = self._rows(current.where(F.col("bucket").isin(touched)), news.schema)
+            merged = drop_superseded(old.unionByName(news), self.key, self.token)
+        merged.withColumn("bucket", own).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.path}/rows/v-{version}")
+        lists = self.spark.createDataFrame([(b, version) for b in touched], "bucket int, version long")
+        if current is not None:
+            lists = lists.unionByName(current.where(~F.col("bucket").isin(touched)))
+        lists.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/v-{version}")
+
+    def read(self, schema) -> DataFrame:
+        """The newest valid version."""
+        current = self._versions()
+        return self.spark.createDataFrame([], schema) if current is None else self._rows(current, schema)
+
+
+def superseded_to_table(stream: DataFrame, table: MergeTable, checkpoint: str):
+    """Keep the best row per key in `table` while the stream runs; returns the started query.
+
+    The table is the state: the query itself holds none, and a restart with the same checkpoint
+    goes on where the last one ended.  Rows are read back in the order of the batch's columns.
+    """
+    return (
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, version: table.merge(batch, version))
+        .trigger(availableNow=True).start()
+    )
+
+
 def stream_kept_samples(
-    stream: DataFrame, assets: DataFrame, keep: DataFrame, interval_us: int, slack_us: int = 1
+    stream: DataFrame, assets: DataFrame, keep: DataFrame, interval_us: int, slack_us: int = 1, lateness: str = LATENESS
 ) -> DataFrame:
     """Live trim, cut filter, thinning and restamping of samples.
 
-    Kept ranges are a static table, stored once before the stream starts.  They are listed under every day they touch, so
-    a sample is matched on (asset, day) and not against all ranges of its asset.
-    The first range reaches `slack` back, as the trim test does.
+    Kept ranges are a static table, indexed once before the stream starts (`range_index`).  A
+    sample meets one row per level of its asset's tree and goes down by binary search: as many
+    rows as samples are joined, however many cuts an asset has.  The first range reaches
+    `slack` back, as the trim test does.
     """
-    starts = assets.select("asset_id", "in_us")
-    ranges = accumulate(keep).join(starts, "asset_id").select(
-        "asset_id", "st_us", "en_us", "acc_us",
-        F.when(F.col("st_us") == F.col("in_us"), F.col("st_us") - slack_us)
-        .otherwise(F.col("st_us")).alias("from_us"),
-    )
-    listed = stage(
-        ranges.withColumn(
-            "day", F.explode(F.expr(f"sequence(from_us div {DAY_US}, en_us div {DAY_US})"))
-        ),
-        "listed",
-    )
     t = F.col("t_us")
-    placed = (
-        stream.withColumn("day", F.expr(f"t_us div {DAY_US}"))
-        .join(listed, ["asset_id", "day"])
-        .where((t >= F.col("from_us")) & (t < F.col("en_us")))
-        .select("asset_id", "sample_id", "t_us", (F.col("acc_us") + t - F.col("st_us")).alias("out_us"))
+    *upper, leaves = range_index(assets, keep, slack_us)
+    placed = stream.withColumn("node", F.lit(0).cast("long"))
+    for level in upper:
+        placed = placed.join(level, ["asset_id", "node"])
+        below = F.col("node") * PER_NODE + _position(F.col("starts"), t) - 1
+        placed = placed.where(F.get("starts", F.lit(0)) <= t).withColumn("node", below).drop("starts")
+    placed = placed.join(leaves, ["asset_id", "node"])
+    placed = placed.withColumn("r", F.get("ranges", _position(F.col("ranges.from_us"), t) - 1)).where(t < F.col("r.en_us"))
+    placed = placed.select("asset_id", "sample_id", "t_us", (F.col("r.acc_us") + t - F.col("r.st_us")).alias("out_us"), "ts")
+    return stream_thin(placed, interval_us, slack_us, lateness)
+
+
+def _position(sorted_values, t):
+    """How many of at most `PER_NODE` ascending values are <= t, by halving steps."""
+    steps = [PER_NODE >> k for k in range(PER_NODE.bit_length())]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, step: F.when(F.get(sorted_values, at + step - 1) <= t, at + step).otherwise(at))
+
+
+def range_index(assets: DataFrame, keep: DataFrame, slack_us: int) -> list[DataFrame]:
+    """Kept ranges as a tree of stored tables, root first: (asset_id, node, starts) and at last (.., ranges).
+
+    A node holds `PER_NODE` neighbours of the level below, named by node * PER_NODE + place, so
+    (asset_id, node) is unique in each table and a lookup joins one row per level.
+    """
+    ranges = (
+        S.Scan(keep.select("asset_id", "st_us", "en_us"), ["asset_id"], ["st_us", "en_us"])
+        .run(acc_us=S.running_sum(F.col("en_us") - F.col("st_us")), rank=S.running_sum(F.lit(1).cast("long")))
+        .df.join(assets.select("asset_id", "in_us"), "asset_id")
     )
-    return stream_thin(placed, interval_us, slack_us)
+    early = F.when(F.col("st_us") == F.col("in_us"), F.col("st_us") - slack_us).otherwise(F.col("st_us"))
+    node = F.floor(F.col("rank") / PER_NODE).alias("node")
+    held = F.struct(early.alias("from_us"), "st_us", "en_us", "acc_us")
+    levels = [stage(ranges.groupBy("asset_id", node).agg(F.array_sort(F.collect_list(held)).alias("ranges")), "ranges")]
+    first = F.col("ranges.from_us")[0]
+    while (levels[0].agg(F.max("node")).first()[0] or 0) > 0:
+        below = levels[0].select("asset_id", F.col("node").alias("rank"), first.alias("start"))
+        levels.insert(0, stage(
+            below.groupBy("asset_id", node).agg(F.array_sort(F.collect_list("start")).alias("starts")), "starts"))
+        first = F.col("starts")[0]
+    return levels

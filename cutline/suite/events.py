@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cutline import fixtures as X
 from cutline.operators import events as J
 from cutline.operators import intervals as B
 from cutline.operators import thinning
-from cutline.plans.stage import stage
+from cutline.plans.stage import stage, stage_root
 from cutline.streaming import live
 from cutline.suite.sampling import greedy_sql
 
@@ -48,8 +50,7 @@ def _live_kept(s, d):
     """The streaming form over the same events, run to the end and read back."""
     a = X.assets(s, d)
     keep = stage(B.keep_ranges(a, B.clip_intervals(a, X.cuts(s, d))), "keep")
-    stream = live.sample_stream(s, d)
-    out = live.stream_kept_samples(stream, a, keep, X.GAP_36000S)
+    out = live.stream_kept_samples(live.sample_stream(s, d), a, keep, X.GAP_36000S)
     return live.run_to_table(out, "kept").select(*SLIM, "out_us")
 
 
@@ -61,17 +62,18 @@ def _stream(s, d):
 
 
 def _live_coalesce(s, d):
-    return live.run_to_table(live.stream_coalesce(_stream(s, d).select(*SLIM, "edit_key"), X.GAP_6H), "coalesce")
+    return live.run_to_table(live.stream_coalesce(_stream(s, d).select(*SLIM, "edit_key", "ts"), X.GAP_6H), "coalesce")
 
 
 def _live_throttle(s, d):
-    return live.run_to_table(live.stream_thin(_stream(s, d).select(*SLIM), X.GAP_36000S, 0), "throttle")
+    rows = live.stream_thin(_stream(s, d).select(*SLIM, "ts"), X.GAP_36000S, 0)
+    return live.run_to_table(rows, "throttle").select(*SLIM)
 
 
 def _live_pending(s, d):
     asked = F.col("event_type").isin("click", "view", "purchase")
     return live.run_to_table(
-        live.stream_latest_pending(_stream(s, d).where(asked).select(*SLIM, "done")), "pending")
+        live.stream_latest_pending(_stream(s, d).where(asked).select(*SLIM, "done", "ts")), "pending")
 
 
 def _live_debounce(s, d):
@@ -79,7 +81,21 @@ def _live_debounce(s, d):
     return live.run_to_table(live.stream_debounce(_stream(s, d), "6 hours", "1 hour"), "debounce")
 
 
+def _live_superseded(s, d):
+    """The best result per key in a merge table, after two runs of one stream over growing files."""
+    base = f"{stage_root(s)}/cutline/superseded-{uuid.uuid4().hex}"
+    rows = _results(s, d)
+    table = live.MergeTable(s, f"{base}/table", ["asset_id", "event_type"], "token", buckets=8)
+    for late in (False, True):
+        part = rows.where(F.pmod(F.xxhash64("token"), F.lit(4)).isin([0, 2] if late else [1, 3]))
+        part.repartition(2).write.mode("append").parquet(f"{base}/arrived")
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/arrived")
+        live.superseded_to_table(stream, table, f"{base}/state").awaitTermination()
+    return table.read(rows.select("asset_id", "event_type", "token", "t_us", "value").schema)
+
+
 QUERIES = {
+    "j5_stream_superseded": _live_superseded,
     "j1_stream_debounce": _live_debounce,
     "j2_stream_coalesce": _live_coalesce,
     "j3_stream_throttle": _live_throttle,
@@ -159,7 +175,6 @@ ORACLE = {
         SELECT user_id AS asset_id, event_type, event_id AS token, epoch_us(ts) AS t_us, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
     "j6_kept_samples": _J6,
-    "j6_stream_kept_samples": _J6,
     "j7_keep_last_n": X.with_tables("samples", """
         SELECT asset_id, sample_id, t_us, CAST(age AS INTEGER) AS age FROM (
             SELECT asset_id, sample_id, t_us,
@@ -167,11 +182,23 @@ ORACLE = {
         WHERE age <= 60"""),
 }
 
+
+
+def _passed(sql: str, column: str, rows: str = "events") -> str:
+    """Rows of `sql` that the last watermark, an hour before the newest of `rows`, has passed."""
+    return f"""
+        SELECT * FROM ({sql}) WHERE {column} < 1000 * (SELECT max(epoch_ms(ts)) - 3600000 FROM {rows})"""
+
+
+_PLACED = "1000 * ((SELECT max(t_us) FROM placed) // 1000 - 3600000)"
 ORACLE |= {
     "j1_stream_debounce": f"""
         SELECT asset_id, sample_id, t_us, emit_us FROM ({ORACLE['j1_debounce']})
         WHERE emit_us <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""",
-    "j2_stream_coalesce": ORACLE["j2_coalesce_edits"],
-    "j3_stream_throttle": ORACLE["j3_throttle"],
-    "j4_stream_pending": ORACLE["j4_latest_pending"],
+    "j2_stream_coalesce": _passed(ORACLE["j2_coalesce_edits"], "t_us"),
+    "j3_stream_throttle": _passed(ORACLE["j3_throttle"], "t_us"),
+    "j4_stream_pending": _passed(
+        ORACLE["j4_latest_pending"], "issued_us", "events WHERE event_type IN ('click', 'view', 'purchase')"),
+    "j5_stream_superseded": ORACLE["j5_drop_superseded"],
+    "j6_stream_kept_samples": f"{_J6} WHERE t_us < {_PLACED}",
 }
