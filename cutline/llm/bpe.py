@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding by merge replay (operator 1).
 
-The distinct pre-tokens of a slice of the corpus are laid out as one linked array of
-symbols.  An inverted index maps every mergeable pair, named by the rank of the token it
+The distinct pre-tokens of a slice of the corpus are laid out, some thousands at a time, as
+one linked array of symbols.  An inverted index maps every mergeable pair, named by the rank of the token it
 makes, to the positions where it stands.  Ranks are replayed in order over the whole
 slice at once; a merge rewrites its position and re-indexes only the two touched
 neighbours.  Words are independent of each other, so the lowest rank of the slice is also
 the lowest of its word, and the result is that of encoding every word alone.  Encoded
-words are kept in a bounded per-process table, hence a word is replayed about once.
+words are kept in a bounded table while a task runs, hence a task replays a word about once.
 
 Nothing is shuffled: every task needs the rank file only, whose path is a parameter.
 
@@ -30,9 +30,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from cutline.llm.common import ragged_take, read, slices, strings, texts
+from cutline.llm.common import give_back, ragged_take, read, slices, strings, texts
 
 TABLE_WORDS = 300_000
+REPLAY_WORDS = 8192
 SHIFT = 32
 
 
@@ -75,8 +76,8 @@ class Encoder:
         self.word_id: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.lens: list[int] = []
+        self.starts = np.empty(0, np.int64)
+        self.lens = np.empty(0, np.int64)
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words joined, ids per word) after every merge in rank order."""
@@ -155,8 +156,8 @@ class Encoder:
         self.flat[self.used:self.used + len(ids)] = ids
         first = len(self.starts)
         self.word_id.update(zip(words, range(first, first + len(words))))
-        self.starts.extend((self.used + np.cumsum(lens) - lens).tolist())
-        self.lens.extend(lens.tolist())
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
         self.used += len(ids)
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +166,11 @@ class Encoder:
             self.clear()
         split = [self.split(t) for t in docs]
         known = self.word_id
-        new = list({w for ws in split for w in ws}.difference(known))
-        if new:
-            self._learn(new)
+        new = list(set(chain.from_iterable(split)).difference(known))
+        for k in range(0, len(new), REPLAY_WORDS):
+            self._learn(new[k:k + REPLAY_WORDS])
         words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        starts, lens = np.array(self.starts, np.int64), np.array(self.lens, np.int64)
+        starts, lens = self.starts, self.lens
         ids = ragged_take(self.flat, starts[words], lens[words])
         per_word = np.concatenate([[0], np.cumsum(lens[words])])
         end = np.cumsum([len(ws) for ws in split])
@@ -204,6 +205,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                     [part.column(0), pa.ListArray.from_arrays(offsets, ids.astype(np.int32))],
                     names=["doc_id", "ids"],
                 )
+        coder.clear()
+        give_back()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -247,6 +250,8 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                      pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in lists]),
                      pa.array([hashlib.sha256(d).hexdigest() for d in coder.decode(ids, lens)])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.clear()
+        give_back()
 
     return texts(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
