@@ -20,7 +20,8 @@ size of the tables read bounds them by `BROADCAST_BYTES`, and joined by Spark's
 choice (shuffle, with splitting of skewed keys) beyond that.
 
 Rows are shuffled once, by (key, chunk).  Keys without a split point take part in
-step 2 only.  Split points can come from another frame (`split_source`): any set of
+step 2 only; if there is none at all, the points' small table is empty and the plan is
+that of a plain window, without joins.  Split points can come from another frame (`split_source`): any set of
 points cuts the order into valid chunks, so a cheap base table will do.
 """
 
@@ -32,6 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutline.plans.stage import stage
+
 ROWS_PER_CHUNK = 1 << 18
 BROADCAST_BYTES = 64 << 20
 CONF_ROWS = "spark.cutline.rowsPerChunk"
@@ -124,10 +127,12 @@ def _count_before(points: str, position: str) -> str:
 
 def _joined(
     df: DataFrame, key: Sequence[str], order: Sequence[str], split_source: DataFrame | None
-) -> DataFrame:
-    """Rows with their chunk, a number that grows with the order, and whether their key was split."""
+) -> tuple[DataFrame, bool]:
+    """(rows with their chunk, a number that grows with the order, and whether their key was split; was any)."""
     source = split_source if split_source is not None else df
-    points = split_points(source, key, order)
+    points = stage(split_points(source, key, order), "points")
+    if points.isEmpty():
+        return df.withColumns({_HOT: F.lit(False), CHUNK: F.lit(0).cast("bigint")}), False
     position = f"struct({', '.join(order)})"
     out = df
     for level, cell in ((2, "__c2"), (1, "__c1"), (0, "__c0")):
@@ -143,7 +148,7 @@ def _joined(
         )
     return out.selectExpr(
         *df.columns, f"coalesce({_HOT}, false) as {_HOT}",
-        f"shiftleft(__c2, 40) + shiftleft(__c1, 20) + __c0 as {CHUNK}")
+        f"shiftleft(__c2, 40) + shiftleft(__c1, 20) + __c0 as {CHUNK}"), True
 
 
 def with_chunks(
@@ -153,7 +158,7 @@ def with_chunks(
     split_source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the chunk number of each row; keys without split points have one chunk."""
-    return _joined(df, key, order, split_source).drop(_HOT)
+    return _joined(df, key, order, split_source)[0].drop(_HOT)
 
 
 class Scan:
@@ -167,7 +172,7 @@ class Scan:
         split_source: DataFrame | None = None,
     ):
         self.key, self.order = list(key), list(order)
-        rows = _joined(df, self.key, self.order, split_source)
+        rows, self.split = _joined(df, self.key, self.order, split_source)
         self._source = split_source if split_source is not None else df
         self._all = rows.drop(_HOT)
         self._hot = rows.where(_HOT).drop(_HOT)
@@ -175,7 +180,7 @@ class Scan:
     def _copy(self, all_rows: DataFrame, hot_rows: DataFrame) -> "Scan":
         out = object.__new__(Scan)
         out.key, out.order, out._all, out._hot = self.key, self.order, all_rows, hot_rows
-        out._source = self._source
+        out._source, out.split = self._source, self.split
         return out
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> "Scan":
@@ -201,7 +206,7 @@ class Scan:
         return self._all.drop(CHUNK)
 
     def run(self, **ops: Op) -> "Scan":
-        carry = self._carry(ops)
+        carry = self._carry(ops) if self.split else None
         return self._copy(
             self._local(self._all, ops, carry), self._local(self._hot, ops, carry)
         )
@@ -252,6 +257,14 @@ class Scan:
                 "sum": lambda: F.sum(op.col),
             }.get(op.kind, lambda: F.last(op.col, ignorenulls=True))()
             local[name] = fn.over(frame)
+        if carry is None:  # every key is one chunk, nothing comes before
+            out = df.withColumns(local)
+            for name, op in ops.items():
+                if op.kind == "sum":
+                    out = out.withColumn(name, F.coalesce(name, F.lit(0)))
+                elif op.kind == "lag":
+                    out = out.withColumn(name, F.col(name).getField("v"))
+            return out
         out = df.withColumns(local).join(self.bounded(carry), [*self.key, CHUNK], "left")
         merged = {}
         for name, op in ops.items():
