@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cutline.plans.stage import stage
+
 MAX_CODES = 256  # of a palette
-BLOCK_CODES = 4096
+HELD_CODES = 4096  # of a codebook sent to every task
+CELL_CODES = 64
 
 
 def palette_stats(pixels: DataFrame, by: Sequence[str] = ("anim_id",)) -> DataFrame:
@@ -73,6 +76,113 @@ def moment_stats(points: DataFrame, dims: Sequence[str], by: Sequence[str]) -> D
         *by, "i", "j", "n", "s", (F.col("s") - F.col("mi") * F.col("mj") / F.col("n")).alias("cov_n"))
 
 
+class PlaneTree:
+    """A binary tree of planes over codes, searched for the nearest code by branch and bound.
+
+    A code lies on its own side of every plane above it, so what is beyond a plane is at least
+    as far as the plane: a branch is left out once that exceeds the best distance so far.
+    Every batch walks the tree twice, all its points together: down to the leaf they fall in,
+    which gives a first distance, and once more through all branches not ruled out.
+    """
+
+    def __init__(self, centres: np.ndarray, codes: np.ndarray):
+        self.centres, self.codes = centres, codes
+        self.axis: list[np.ndarray | None] = []
+        self.cut: list[float] = []
+        self.kids: list[tuple[int, int]] = []
+        self.rows: list[np.ndarray | None] = []
+
+    def add(self, axis=None, cut=0.0, rows=None) -> int:
+        self.axis.append(axis)
+        self.cut.append(cut)
+        self.kids.append((-1, -1))
+        self.rows.append(rows)
+        return len(self.axis) - 1
+
+    @classmethod
+    def over(cls, centres: np.ndarray, codes: np.ndarray, leaf: int = 8) -> "PlaneTree":
+        """Halved along the principal axis until at most `leaf` codes are left, or equal ones."""
+        tree = cls(centres, codes)
+
+        def grow(rows: np.ndarray) -> int:
+            part = centres[rows]
+            if len(rows) > leaf and (part != part[0]).any():
+                spread = np.cov(part, rowvar=False).reshape(part.shape[1], -1)
+                axis = np.linalg.eigh(spread)[1][:, -1]
+                at = part @ axis
+                low = at <= np.median(at)
+                if low.all():
+                    low = at < at.max()
+                if low.any():
+                    me = tree.add(axis, float((at[low].max() + at[~low].min()) / 2))
+                    tree.kids[me] = (grow(rows[low]), grow(rows[~low]))
+                    return me
+            return tree.add(rows=rows)
+
+        grow(np.arange(len(centres)))
+        return tree
+
+    def leaves_within(self, x: np.ndarray, best: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, points) of each leaf not farther than `best` (read anew at every step); own leaves if it is None."""
+        stack = [(0, np.arange(len(x)), np.zeros(len(x)))] if len(x) else []
+        while stack:
+            node, who, bound = stack.pop()
+            if best is not None:
+                near = bound * (1 - 1e-9) - 1e-12 <= best[who]
+                who, bound = who[near], bound[near]
+            if not len(who):
+                continue
+            if self.axis[node] is None:
+                yield node, who
+                continue
+            gap = x[who] @ self.axis[node] - self.cut[node]
+            for kid, mine in zip(self.kids[node], (gap <= 0, gap > 0)):
+                if best is None:
+                    stack.append((kid, who[mine], bound[mine]))
+                else:
+                    stack.append((kid, who, np.where(mine, bound, np.maximum(bound, gap * gap))))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distance, code) of the nearest code; of equal ones the lower code."""
+        best = np.full(len(x), np.inf)
+        pick = np.full(len(x), len(self.codes))
+
+        def visit(leaf: int, who: np.ndarray) -> None:
+            rows = self.rows[leaf]  # in the order of the codes
+            for k in range(0, len(who), 4096):
+                part = who[k:k + 4096]
+                d = np.zeros((len(part), len(rows)))
+                for c in range(x.shape[1]):
+                    d += (x[part, c][:, None] - self.centres[rows, c]) ** 2
+                at = d.argmin(axis=1)
+                d, at = d[np.arange(len(part)), at], rows[at]
+                better = (d < best[part]) | ((d == best[part]) & (at < pick[part]))
+                best[part[better]], pick[part[better]] = d[better], at[better]
+
+        for leaf, who in self.leaves_within(x, None):
+            visit(leaf, who)
+        for leaf, who in self.leaves_within(x, best):
+            visit(leaf, who)
+        return best, self.codes[np.where(pick < len(self.codes), pick, 0)]  # no distance: any code
+
+
+def _search(points: DataFrame, dims: Sequence[str], scale: float, tree: PlaneTree, kind: T.DataType) -> DataFrame:
+    """Adds `code` by the tree, on Arrow batches."""
+    names = [f"c{k}" for k in range(len(points.columns))]  # names may clash
+    at = [points.columns.index(c) for c in dims]
+    schema = T.StructType([*points.toDF(*names).schema, T.StructField("code", kind)])
+    arrow = to_arrow_schema(schema)
+    held = points.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(k), np.float64) * scale for k in at], axis=1)
+            found = held.value.nearest(x)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow.field("code").type)], schema=arrow)
+
+    return points.toDF(*names).mapInArrow(run, schema).toDF(*points.columns, "code")
+
+
 @dataclass
 class _Node:
     n: int
@@ -144,6 +254,25 @@ class Codebook:
         number = {id(nd): i for i, nd in enumerate(self.codes)}
         return points.withColumn("code", F.expr(self.descend(lambda nd: str(number[id(nd)]))))
 
+    def nearest(self, points: DataFrame) -> DataFrame:
+        """Adds `code`, the code whose mean is nearest, which may lie beyond a plane; ties take the lower code."""
+        number = {id(nd): i for i, nd in enumerate(self.codes)}
+        means = np.array([nd.mean for nd in self.codes], np.float64)
+        tree = PlaneTree(means, np.arange(len(self.codes)))
+        empty = np.array([number[id(nd)] for nd in self.codes if not nd.n], np.int64)
+
+        def grow(nd: _Node) -> int:
+            if not nd.split:
+                return tree.add(rows=np.array([number[id(nd)]]))
+            me = tree.add(np.asarray(nd.axis), nd.cut)
+            tree.kids[me] = tuple(grow(c) for c in nd.children)
+            return me
+
+        grow(self.root)
+        if len(empty):  # the mean of no points lies on no side: such codes are tried with every leaf
+            tree.rows = [None if r is None else np.union1d(r, empty) for r in tree.rows]
+        return _search(points, self.dims, self.scale, tree, T.IntegerType())
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
             (i, nd.n, [float(v) for v in nd.mean], [float(v) for v in nd.axis], nd.weight)
@@ -231,56 +360,67 @@ def pca_split_codebook(
 def assign_nearest(points: DataFrame, codes: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Adds `code`, the exact nearest of codes(code, dims...); ties take the lower code.
 
-    Distances are matrix operations on Arrow batches.  Codes are cut into blocks of
-    `BLOCK_CODES`.  One block (the usual codebook) is broadcast; with more, every point
-    meets every block by a join on the block number and the nearest of the blocks is kept.
+    Up to `HELD_CODES` codes are sent to every task as a plane tree.  More are cut into cells
+    by the tree of a bounded sample, and stay distributed: a point joins its own cell, and
+    then the cells whose planes are not farther than what it found there.
     """
     dims = list(dims)
-    listed = codes.select("code", *dims)
-    count = listed.limit(BLOCK_CODES + 1).count()
+    held = codes.select("code", *dims).limit(HELD_CODES + 1).toArrow()
+    if not held.num_rows:
+        raise ValueError("a codebook holds at least one code")
+    code = held.column("code").to_numpy(zero_copy_only=False)
+    centres = np.stack([np.asarray(held.column(c), np.float64) for c in dims], axis=1)
+    order = np.argsort(code, kind="stable")
+    if held.num_rows <= HELD_CODES:
+        return _search(points, dims, 1.0, PlaneTree.over(centres[order], code[order]), codes.schema["code"].dataType)
+    return _nearest_in_cells(points, codes.select("code", *dims), dims, PlaneTree.over(centres, code, leaf=CELL_CODES))
+
+
+def _nearest_in_cells(points: DataFrame, codes: DataFrame, dims: list[str], cells: PlaneTree) -> DataFrame:
+    """As `assign_nearest`; `cells` only cuts, it was made from some of the codes."""
     names = [f"c{k}" for k in range(len(points.columns))]
-    plain = points.toDF(*names)
     at = [points.columns.index(c) for c in dims]
-    schema = T.StructType([
-        *plain.schema, T.StructField("d", T.DoubleType()), T.StructField("code", codes.schema["code"].dataType)])
+    position = lambda cols: F.array(*(F.col(c).cast("double") for c in cols)).alias("x")
+    plain = stage(points.toDF(*names).withColumn("id", F.monotonically_increasing_id()), "points")
+    x = plain.select("id", position(names[k] for k in at))
+    tree = points.sparkSession.sparkContext.broadcast(cells)
 
-    def nearest(x, code, centres):
-        best = np.full(len(x), np.inf)
-        pick = np.zeros(len(x), np.int64)
-        for row in range(0, len(x), 1024):
-            part = x[row:row + 1024]
-            d = np.zeros((len(part), len(centres)))
-            for k in range(len(dims)):
-                d += (part[:, k:k + 1] - centres[None, :, k]) ** 2
-            pick[row:row + 1024] = d.argmin(axis=1)
-            best[row:row + 1024] = d.min(axis=1)
-        return best, code[pick]
-
-    if count <= BLOCK_CODES:
-        held = sorted(tuple(r) for r in listed.collect())
-        if not held:
-            raise ValueError("a codebook holds at least one code")
-        code, centres = np.array([r[0] for r in held]), np.array([r[1:] for r in held], np.float64)
+    def own(rows: DataFrame) -> DataFrame:
+        """Rows (.., x) with the cell they lie in."""
+        def run(batches):
+            for batch in batches:
+                v, cell = _matrix(batch, "x"), np.zeros(batch.num_rows, np.int64)
+                for leaf, who in tree.value.leaves_within(v, None):
+                    cell[who] = leaf
+                yield batch.append_column("cell", pa.array(cell))
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("cell", T.LongType())]))
 
+    def others(rows: DataFrame) -> DataFrame:
+        """Rows (id, x, own, d) once for each other cell within the squared distance d."""
         def run(batches):
             for batch in batches:
-                x = np.stack([np.asarray(batch.column(k), np.float64) for k in at], axis=1)
-                d, found = nearest(x, code, centres)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(d), pa.array(found, arrow.field("code").type)], schema=arrow)
-
-        arrow = to_arrow_schema(schema)
-        return plain.mapInArrow(run, schema).drop("d").toDF(*points.columns, "code")
-
-    blocks = (codes.count() - 1) // BLOCK_CODES + 1
-    block = F.pmod(F.xxhash64("code"), F.lit(blocks))
-    books = listed.withColumn("block", block).groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("code", F.array(*dims).alias("v")))).alias("book"))
-    met = plain.withColumn("id", F.monotonically_increasing_id()).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(books, "block")
-    gap = lambda v: F.aggregate(F.zip_with(
-        F.array(*(F.col(names[k]).cast("double") for k in at)), v, lambda a, b: (a - b) * (a - b)),
-        F.lit(0.0), lambda x, y: x + y)
-    best = F.array_min(F.transform("book", lambda c: F.struct(gap(c["v"]).alias("d"), c["code"].alias("code"))))
-    return met.withColumn("best", best).groupBy("id", *names).agg(F.min("best").alias("best")).select(
-        *names, "best.code").toDF(*points.columns, "code")
+                home, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "d"))
+                for leaf, who in tree.value.leaves_within(_matrix(batch, "x"), d):
+                    part = batch.take(pa.array(who[home[who] != leaf])).select(["id", "x"])
+                    yield part.append_column("cell", pa.array(np.full(part.num_rows, leaf)))
+
+        return rows.select("id", "x", "own", "d").mapInArrow(run, "id long, x array<double>, cell long")
+
+    book = stage(own(codes.select("code", position(dims))).withColumnRenamed("x", "y"), "cells")
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda u, v: u + v)
+        return rows.join(book, "cell").groupBy("id").agg(F.min(F.struct(gap.alias("d"), "code")).alias("best"))
+
+    home = stage(own(x), "home")
+    first = stage(best_of(home), "first")
+    known = home.withColumnRenamed("cell", "own").join(first, "id", "left").withColumn(
+        "d", F.coalesce("best.d", F.lit(float("inf"))))
+    both = first.unionByName(best_of(others(known))).groupBy("id").agg(F.min("best").alias("best"))
+    return plain.join(both, "id").select(*names, "best.code").toDF(*points.columns, "code")
+
+
+def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))

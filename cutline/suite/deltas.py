@@ -93,7 +93,13 @@ def _f6_tree(s, d):
     return book.assign(pixels).select("frame_id", "x", "y", "code")
 
 
+def _f6_in_book(s, d):
+    pixels, book = _book(s, d)
+    return book.nearest(pixels).select("frame_id", "x", "y", "code")
+
+
 QUERIES = {
+    "f6_nearest_in_book": _f6_in_book,
     "f1_change_bbox": lambda s, d: N.change_bbox(_levels(s, d)),
     "f2_best_predecessor": lambda s, d: N.best_predecessor(_levels(s, d)),
     "f3_delta_encode": _f3,
@@ -277,6 +283,11 @@ ORACLE = {
         FROM (SELECT *, CASE WHEN ma < 0.001 THEN 0 ELSE 1 / ma END AS per FROM codes)""", recursive=True),
     "f6_assign_tree": X.with_tables("pixels", _BOOK + f"""
         SELECT frame_id, x, y, code FROM pts{CODES - 1} JOIN codes USING (leaf)""", recursive=True),
+    "f6_nearest_in_book": X.with_tables("pixels", _BOOK + f"""
+        SELECT frame_id, x, y, arg_min(code, struct_pack(d := (r / 255.0::DOUBLE - mr) * (r / 255.0::DOUBLE - mr)
+            + (g / 255.0::DOUBLE - mg) * (g / 255.0::DOUBLE - mg) + (b / 255.0::DOUBLE - mb) * (b / 255.0::DOUBLE - mb)
+            + (a / 255.0::DOUBLE - ma) * (a / 255.0::DOUBLE - ma), c := code)) AS code
+        FROM pts{CODES - 1}, codes GROUP BY frame_id, x, y""", recursive=True),
     "f6_assign_nearest": X.with_tables("vectors", f"""
         WITH {_VEC},
         codes AS (SELECT label AS code, {_CENTRES} FROM v GROUP BY label)

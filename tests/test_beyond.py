@@ -52,12 +52,46 @@ def test_nearest_of_many_codes(spark, monkeypatch):
     p = spark.createDataFrame(points, "id long, a double, b double, c double")
     q = spark.createDataFrame(codes, "code int, a double, b double, c double")
     want = {i: min((sum((u - w) ** 2 for u, w in zip(v, c[1:])), c[0]) for c in codes)[1] for i, *v in points}
-    for block in (4096, 7):
-        monkeypatch.setattr(K, "BLOCK_CODES", block)
+    for held, cell in ((4096, 8), (7, 2), (39, 4)):
+        monkeypatch.setattr(K, "HELD_CODES", held)
+        monkeypatch.setattr(K, "CELL_CODES", cell)
         got = K.assign_nearest(p.union(p), q, ["a", "b", "c"]).collect()
         assert len(got) == 120 and all(want[r.id] == r.code for r in got)
 
 
+def test_plane_tree_is_exact_and_prunes():
+    """Every tree over random, clustered, repeated and collinear codes against all distances."""
+    rng = np.random.default_rng(7)
+    for size, dims, leaf in ((1, 3, 8), (200, 4, 1), (500, 2, 8), (64, 64, 4), (300, 1, 2)):
+        centres = rng.normal(size=(size, dims)).round(1) + rng.integers(0, 4, (size, 1)) * 5
+        tree = K.PlaneTree.over(centres, np.arange(size) * 10, leaf)
+        x = np.concatenate([rng.normal(size=(400, dims)) * 6, centres])
+        d = ((x[:, None, :] - centres[None]) ** 2)
+        d = np.array([[float(np.add.accumulate(v)[-1]) for v in row] for row in d])
+        best, code = tree.nearest(x)
+        assert (code == d.argmin(axis=1) * 10).all() and np.allclose(best, d.min(axis=1))
+    tree = K.PlaneTree.over(rng.normal(size=(4096, 3)), np.arange(4096))
+    x = rng.normal(size=(1000, 3))
+    first = tree.nearest(x)[0]
+    seen = sum(len(who) * len(tree.rows[leaf]) for leaf, who in tree.leaves_within(x, first))
+    assert seen < 0.1 * 1000 * 4096
+
+
+def test_nearest_of_a_learnt_codebook(spark):
+    """The nearest mean may lie beyond a plane; the search finds it where the walk does not."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(int, v)) for i, v in enumerate(np.clip(rng.normal(128, 60, (1500, 4)), 0, 255))]
+    df = spark.createDataFrame(rows, "id int, r int, g int, b int, a int")
+    book = K.pca_split_codebook(df, list("rgba"), 24, 1 / 255)
+    means = np.array([nd.mean for nd in book.codes])
+    x = np.array([r[1:] for r in rows]) * (1 / 255)
+    want = ((x[:, None, :] - means[None]) ** 2).sum(axis=2)
+    got = {r.id: r.code for r in book.nearest(df).collect()}
+    assert all(np.isclose(want[k, got[k]], want[k].min(), rtol=1e-12) for k in range(len(rows)))
+    walked = {r.id: r.code for r in book.assign(df).collect()}
+    assert sum(walked[k] != got[k] for k in got) > 0
+
+
 def test_maps_round_as_published(spark):
     rows = {(r.map_key, r.idx): (r.r, r.g, r.b) for r in builtin_luts(spark).collect()}
     assert [rows["jet", k] for k in (0, 1, 2)] == [(0, 0, 128), (0, 0, 132), (0, 0, 137)]
