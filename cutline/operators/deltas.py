@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,44 +161,63 @@ def replay_kept(
     )
 
 
-def _over(top: tuple, under: tuple) -> tuple:
-    """Source-over of two RGBA pixels, truncated to bytes."""
-    fa, ba = top[3] * (1 / 255), under[3] * (1 / 255)
+def _over(top: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """Source-over of rows of RGBA pixels, truncated to bytes."""
+    fa, ba = top[:, 3:] * (1 / 255), under[:, 3:] * (1 / 255)
     keep = 1 - fa
     oa = fa + ba * keep
-    if oa == 0:
-        return (0, 0, 0, 0)
-    mixed = [int((t * fa + u * ba * keep) * (1 / oa)) for t, u in zip(top[:3], under[:3])]
-    return (*mixed, int(255 * oa))
+    part = np.where(oa == 0, 0, 1 / np.where(oa == 0, 1, oa))
+    mixed = (top[:, :3] * fa + under[:, :3] * ba * keep) * part
+    return np.trunc(np.concatenate([mixed, 255 * oa], axis=1))
 
 
-def _replay_fn(schema: pa.Schema):
-    names = [*CELL, "seq", "blend", "dispose", "inside", *RGBA]
-    clear = (0, 0, 0, 0)
+def _fold(fresh: np.ndarray, rows: dict[str, np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels shown, on the next frame, and on those after it; last state) of draws in order.
 
+    `fresh` flags the first draw of a segment; rows before the first of them go on from `state`,
+    the canvas and what a restore brings back.  All segments are stepped together.
+    """
+    n = len(fresh)
+    segment = np.cumsum(fresh)  # 0 goes on from `state`
+    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    place = np.arange(n) - start
+    held = np.zeros((2, int(segment[-1]) + 1, 4))
+    held[:, 0] = state
+    out = np.zeros((3, n, 4))
+    order = np.argsort(place, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        canvas, anchor = held[:, segment[at]]
+        drawn, mode = rows["px"][at], rows["dispose"][at][:, None]
+        shown = np.where(rows["over"][at][:, None], _over(drawn, canvas), drawn)
+        anchor = np.where(mode == 2, anchor, shown)
+        canvas = np.where(mode == 2, anchor, np.where(mode == 1, 0, shown))
+        # frames that do not touch the pixel: the first restores or confirms, the rest change nothing
+        rest = np.where(rows["next"][at][:, None] == 2, anchor, canvas)
+        alone = rows["gap"][at][:, None] > 0
+        out[:, at] = shown, canvas, rest
+        held[:, segment[at]] = np.where(alone, rest, canvas), np.where(alone, rest, anchor)
+    return out.astype(np.int32), held[:, -1]
+
+
+def _replay_fn(keys: list[str], schema: pa.Schema):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = None
-        canvas = anchor = clear
+        last, state = None, np.zeros((2, 4))
         for batch in batches:
-            out = []
-            for ax, x, y, seq, blend, dispose, inside, *px in zip(
-                *[batch.column(n).to_pylist() for n in names]
-            ):
-                if (ax, x, y) != cell:
-                    cell, canvas, anchor = (ax, x, y), clear, clear
-                if inside:
-                    drawn = tuple(px) if px[0] is not None else clear
-                    canvas = _over(drawn, canvas) if blend == 1 and seq > 0 else drawn
-                out.append((ax, seq, x, y, *canvas))
-                if dispose == 2:
-                    canvas = anchor
-                else:
-                    anchor = canvas
-                    if dispose == 1 and inside:
-                        canvas = clear
-            if out:
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            n = batch.num_rows
+            if not n:
+                continue
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            ident = np.stack([column[k].astype(np.int64) for k in keys])
+            fresh = np.ones(n, bool)
+            fresh[1:] = (ident[:, 1:] != ident[:, :-1]).any(axis=0)
+            fresh[0] = last is None or (ident[:, 0] != last).any()
+            last = ident[:, -1]
+            rows = {c: column[c] for c in ("over", "dispose", "next", "gap")}
+            rows["px"] = np.stack([column[c] for c in RGBA], axis=1).astype(np.float64)
+            out, state = _fold(fresh, rows, state)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*CELL, "idx", "gap")), *(pa.array(out[k, :, c]) for k in range(3) for c in range(4))],
+                schema=schema)
 
     return fn
 
@@ -209,27 +229,52 @@ def replay_disposed(
     the box, 2 restore the frame before).
 
     deltas(anim_id, seq, x, y, r, g, b, a) and frames(anim_id, seq, box_x, box_y,
-    box_w, box_h, blend, dispose).  Each frame expands to its own pixels; blending
-    and disposal act on a pixel alone, so one pixel's frames are folded in order
-    with constant state.
+    box_w, box_h, blend, dispose).  Only draws, the pixels inside a frame's box, are
+    folded; the frames up to a pixel's next draw are expanded from what the fold leaves.
+    A draw that replaces (or is opaque) and is not restored needs nothing of the past,
+    so a pixel's draws are cut there into segments, and segments are folded in parallel: the
+    longest fold is a run of translucent or restored draws of one pixel.
     """
-    inside = (
-        (F.col("x") >= F.col("box_x")) & (F.col("x") < F.col("box_x") + F.col("box_w"))
-        & (F.col("y") >= F.col("box_y")) & (F.col("y") < F.col("box_y") + F.col("box_h"))
+    order = S.Scan(frames, ["anim_id"], ["seq"]).run(
+        idx=S.row_index(), next=S.next_value(F.col("dispose"))).df
+    order = stage(order, "frames")
+    total = order.groupBy("anim_id").agg(F.count("*").alias("frames"))
+
+    def span(low: str, size: str, limit: int) -> Column:
+        first, last = F.greatest(F.col(low), F.lit(0)), F.least(F.col(low) + F.col(size), F.lit(limit)) - 1
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    boxes = order.withColumn("y", span("box_y", "box_h", height)).withColumn("x", span("box_x", "box_w", width))
+    drawn = boxes.join(deltas.select(*FRAME, "x", "y", *RGBA), [*FRAME, "x", "y"], "left").select(
+        *CELL, "idx", "dispose", F.coalesce("next", F.lit(0)).alias("next"),
+        ((F.col("blend") == 1) & (F.col("seq") > 0)).alias("over"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in RGBA],
     )
-    line = F.explode(F.expr(f"sequence(0, {height - 1})"))
-    cell = F.explode(F.expr(f"sequence(0, {width - 1})"))
-    grid = frames.withColumn("y", line).withColumn("x", cell).withColumn("inside", inside)
-    rows = grid.join(deltas.select(*FRAME, "x", "y", *RGBA), [*FRAME, "x", "y"], "left")
-    kinds = {"anim_id": pa.int64(), "seq": pa.int64()}
-    out = [*FRAME, "x", "y", *RGBA]
-    schema = pa.schema([pa.field(n, kinds.get(n, pa.int32())) for n in out])
-    return (
-        rows.select(*CELL, "seq", "blend", "dispose", "inside", *RGBA)
-        .repartition(*CELL)
-        .sortWithinPartitions(*CELL, "seq")
-        .mapInArrow(
-            _replay_fn(schema),
-            "anim_id long, seq long, x int, y int, r int, g int, b int, a int",
-        )
+    # the empty canvas before the first frame
+    before = order.where("idx = 0").select(
+        "anim_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), F.col("dispose").alias("next"))
+    before = before.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).select(
+        *CELL, F.lit(-1).cast("long").alias("idx"), F.lit(0).alias("dispose"), "next", F.lit(False).alias("over"),
+        *[F.lit(0).alias(c) for c in RGBA])
+    alone = (~F.col("over") | (F.col("a") == 255)) & (F.col("dispose") != 2)
+    cut = S.Scan(drawn.unionByName(before), CELL, ["idx"]).run(
+        part=S.running_sum(alone.cast("long"), inclusive=True), until=S.next_value(F.col("idx"))).df
+    parts = [*CELL, "part"]
+    ready = cut.join(total, "anim_id").select(
+        *parts, "idx", (F.coalesce("until", "frames") - F.col("idx") - 1).alias("gap"), "dispose", "next", "over", *RGBA)
+    seen = [f"{c}{k}" for k in range(3) for c in RGBA]
+    kinds = {"anim_id": pa.int64(), "idx": pa.int64(), "gap": pa.int64()}
+    schema = pa.schema([pa.field(n, kinds.get(n, pa.int32())) for n in (*CELL, "idx", "gap", *seen)])
+    folded = (
+        ready.withColumns({c: F.col(c).cast(t) for c, t in
+                           (("anim_id", "long"), ("x", "int"), ("y", "int"), ("idx", "long"), ("gap", "long"))})
+        .repartition(*parts).sortWithinPartitions(*parts, "idx")
+        .mapInArrow(_replay_fn(parts, schema), "anim_id long, x int, y int, idx long, gap long, "
+                    + ", ".join(f"{c} int" for c in seen))
     )
+    step = F.col("step")
+    shown = series(folded, F.col("gap") + 1, "step").where((F.col("idx") >= 0) | (step > 0)).select(
+        *CELL, (F.col("idx") + step).alias("idx"),
+        *[F.when(step == 0, F.col(f"{c}0")).when(step == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in RGBA])
+    return shown.join(order.select("anim_id", "idx", "seq"), ["anim_id", "idx"]).select(
+        "anim_id", F.col("seq").cast("long").alias("seq"), "x", "y", *RGBA)

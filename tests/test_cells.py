@@ -69,6 +69,16 @@ def test_nearest_takes_more_codes_than_a_palette(spark, points):
     assert got.count() == points[1].count() and got.where("code <> r").count() == 0
 
 
+def over(top, under):
+    """Source-over of two RGBA pixels, truncated to bytes."""
+    fa, ba = top[3] * (1 / 255), under[3] * (1 / 255)
+    keep = 1 - fa
+    oa = fa + ba * keep
+    if oa == 0:
+        return (0, 0, 0, 0)
+    return (*[int((t * fa + u * ba * keep) * (1 / oa)) for t, u in zip(top[:3], under[:3])], int(255 * oa))
+
+
 def replay(frames, w, h):
     """Straight replay of (box, blend, dispose, pixels) frames."""
     canvas, shown = np.zeros((h, w, 4), int), []
@@ -76,7 +86,7 @@ def replay(frames, w, h):
         for dy in range(bh):
             for dx in range(bw):
                 top, under = tuple(px[dy][dx]), tuple(canvas[y + dy][x + dx])
-                canvas[y + dy][x + dx] = N._over(top, under) if blend and i else top
+                canvas[y + dy][x + dx] = over(top, under) if blend and i else top
         shown.append(canvas.copy())
         if dispose == 1:
             canvas[y:y + bh, x:x + bw] = 0
@@ -88,13 +98,16 @@ def replay(frames, w, h):
     return shown
 
 
-def test_replay_with_all_disposals(spark):
-    rng = random.Random(9)
+@pytest.mark.parametrize("seed, count, chunk", [(9, 12, None), (10, 40, None), (11, 40, 7)])
+def test_replay_with_all_disposals(spark, seed, count, chunk):
+    if chunk:
+        spark.conf.set("spark.cutline.rowsPerChunk", str(chunk))
+    rng = random.Random(seed)
     frames = []
-    for i in range(12):
+    for i in range(count):
         x, y = (0, 0) if i == 0 else (rng.randrange(3), rng.randrange(2))
         bw, bh = (4, 3) if i == 0 else (rng.randrange(1, 5 - x), rng.randrange(1, 4 - y))
-        px = [[[rng.randrange(256) for _ in range(4)] for _ in range(bw)] for _ in range(bh)]
+        px = [[[*(rng.randrange(256) for _ in range(3)), rng.choice([0, 255, rng.randrange(256)])] for _ in range(bw)] for _ in range(bh)]
         frames.append((x, y, bw, bh, rng.randrange(2), 0 if i == 0 else rng.randrange(3), px))
     meta = spark.createDataFrame(
         [(1, i, *f[:6]) for i, f in enumerate(frames)],
@@ -106,10 +119,26 @@ def test_replay_with_all_disposals(spark):
         "anim_id long, seq long, x int, y int, r int, g int, b int, a int",
     )
     want = replay(frames, 4, 3)
-    for r in N.replay_disposed(deltas, meta, 4, 3).collect():
+    got = N.replay_disposed(deltas, meta, 4, 3).collect()
+    if chunk:
+        spark.conf.unset("spark.cutline.rowsPerChunk")
+    assert len(got) == len({(r.seq, r.x, r.y) for r in got}) == count * 12
+    for r in got:
         assert (r.r, r.g, r.b, r.a) == tuple(want[r.seq][r.y][r.x]), (r.seq, r.x, r.y)
 
 
+def test_replay_cuts_a_pixel_into_segments():
+    """A thousand draws of one pixel, every tenth opaque: folded in steps of ten, not a thousand."""
+    n = 1000
+    rng = np.random.default_rng(3)
+    px = rng.integers(0, 255, (n, 4)).astype(float)
+    px[::10, 3] = 255
+    rows = {"px": px, "over": np.ones(n, bool), "dispose": np.zeros(n, int), "next": np.zeros(n, int), "gap": np.zeros(n, int)}
+    whole, last = N._fold(np.arange(n) == 0, rows, np.zeros((2, 4)))
+    cut, end = N._fold(np.arange(n) % 10 == 0, rows, np.zeros((2, 4)))
+    assert (whole == cut).all() and (last == end).all()
+
+
 def test_default_curve_is_not_the_identity():
     table = tone_curve(0, 128, 255)
     assert [x for x in range(256) if table[x] != x] == list(range(64, 128))
