@@ -23,14 +23,38 @@ RAMPS = {
 
 # Evenly spaced anchors of the published ColorBrewer schemes.
 BREWER = {
-    "Greys": "ffffff f0f0f0 d9d9d9 bdbdbd 969696 737373 525252 252525 000000",
-    "Reds": "fff5f0 fee0d2 fcbba1 fc9272 fb6a4a ef3b2c cb181d a50f15 67000d",
-    "Greens": "f7fcf5 e5f5e0 c7e9c0 a1d99b 74c476 41ab5d 238b45 006d2c 00441b",
-    "Blues": "f7fbff deebf7 c6dbef 9ecae1 6baed6 4292c6 2171b5 08519c 08306b",
-    "Oranges": "fff5eb fee6ce fdd0a2 fdae6b fd8d3c f16913 d94801 a63603 7f2704",
-    "Purples": "fcfbfd efedf5 dadaeb bcbddc 9e9ac8 807dba 6a51a3 54278f 3f007d",
-    "RdBu": "67001f b2182b d6604d f4a582 fddbc7 f7f7f7 d1e5f0 92c5de 4393c3 2166ac 053061",
-    "Spectral": "9e0142 d53e4f f46d43 fdae61 fee08b ffffbf e6f598 abdda4 66c2a5 3288bd 5e4fa2",
+    "Greys": [
+        "ffffff", "f0f0f0", "d9d9d9", "bdbdbd", "969696", "737373",
+        "525252", "252525", "000000",
+    ],
+    "Reds": [
+        "fff5f0", "fee0d2", "fcbba1", "fc9272", "fb6a4a", "ef3b2c",
+        "cb181d", "a50f15", "67000d",
+    ],
+    "Greens": [
+        "f7fcf5", "e5f5e0", "c7e9c0", "a1d99b", "74c476", "41ab5d",
+        "238b45", "006d2c", "00441b",
+    ],
+    "Blues": [
+        "f7fbff", "deebf7", "c6dbef", "9ecae1", "6baed6", "4292c6",
+        "2171b5", "08519c", "08306b",
+    ],
+    "Oranges": [
+        "fff5eb", "fee6ce", "fdd0a2", "fdae6b", "fd8d3c", "f16913",
+        "d94801", "a63603", "7f2704",
+    ],
+    "Purples": [
+        "fcfbfd", "efedf5", "dadaeb", "bcbddc", "9e9ac8", "807dba",
+        "6a51a3", "54278f", "3f007d",
+    ],
+    "RdBu": [
+        "67001f", "b2182b", "d6604d", "f4a582", "fddbc7", "f7f7f7",
+        "d1e5f0", "92c5de", "4393c3", "2166ac", "053061",
+    ],
+    "Spectral": [
+        "9e0142", "d53e4f", "f46d43", "fdae61", "fee08b", "ffffbf",
+        "e6f598", "abdda4", "66c2a5", "3288bd", "5e4fa2",
+    ],
 }
 
 # Names of maps that exist as tables only.
@@ -66,8 +90,8 @@ def _channels() -> dict[str, list[list[tuple[float, float]]]]:
     maps = {}
     for key, ends in RAMPS.items():
         maps[key] = [[(0.0, ends[0][c] / 255), (1.0, ends[1][c] / 255)] for c in range(3)]
-    for key, text in BREWER.items():
-        stops = [bytes.fromhex(h) for h in text.split()]
+    for key, anchors in BREWER.items():
+        stops = [bytes.fromhex(h) for h in anchors]
         last = len(stops) - 1
         maps[key] = [[(i / last, s[c] / 255) for i, s in enumerate(stops)] for c in range(3)]
     for key, parts in SEGMENTS.items():

@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,34 +45,68 @@ def _moments(dims: Sequence[str]) -> list[Column]:
     return [F.count("*").alias("n"), *sums, *prods]
 
 
+GROUPS = 512
+
+
 def moment_stats(points: DataFrame, dims: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per group and pair i <= j: n, sum of products and n * covariance.
 
-    d(d+1)/2 sums outgrow one generated aggregate, so each Arrow batch gives its partial
-    sums per group as matrix products, and Spark adds the partial rows up.
+    d(d+1)/2 sums outgrow one generated aggregate, so each task adds matrix products of its
+    groups up (at most `GROUPS` of them are held) and emits one array per group; the
+    arrays of a group, one or few per task, are added element by element.
     """
     dims, by = list(dims), list(by)
     head = T.StructType([points.schema[c] for c in by])
+    held = T.StructType([*head, T.StructField("sums", T.ArrayType(T.DoubleType()))])
     schema = T.StructType([
         *head, *(T.StructField(n, T.IntegerType()) for n in "ij"), T.StructField("n", T.LongType()),
-        *(T.StructField(n, T.DoubleType()) for n in ("s", "mi", "mj"))])
-    i, j = np.triu_indices(len(dims))
+        *(T.StructField(n, T.DoubleType()) for n in ("s", "cov_n"))])
+    first, second = np.triu_indices(len(dims))
+    d = len(dims)
 
     def partial(batches):
-        for batch in batches:
-            pdf = batch.to_pandas()
-            for group, rows in pdf.groupby(by, dropna=False):
-                x = rows[dims].to_numpy(np.float64)
-                total, prods = x.sum(axis=0), x.T @ x
-                out = {c: np.repeat(np.array([v]), len(i)) for c, v in zip(by, group)}
-                out |= {"i": i, "j": j, "n": len(x), "s": prods[i, j], "mi": total[i], "mj": total[j]}
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out), schema=arrow, preserve_index=False)
+        known: dict[tuple, np.ndarray] = {}
 
-    arrow = to_arrow_schema(schema)
-    merged = points.select(*by, *dims).mapInArrow(partial, schema).groupBy(*by, "i", "j").agg(
-        *(F.sum(c).alias(c) for c in ("n", "s", "mi", "mj")))
-    return merged.select(
-        *by, "i", "j", "n", "s", (F.col("s") - F.col("mi") * F.col("mj") / F.col("n")).alias("cov_n"))
+        def rows():
+            cols = [pa.array([g[k] for g in known], f.type) for k, f in enumerate(held_arrow) if k < len(by)]
+            sums = pa.array([v.tolist() for v in known.values()], held_arrow.field("sums").type)
+            known.clear()
+            return pa.RecordBatch.from_arrays([*cols, sums], schema=held_arrow)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for group, part in _parts(table, by):
+                x = np.stack([part.column(c).to_numpy().astype(np.float64) for c in dims], axis=1)
+                sums = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[first, second]])
+                known[group] = known[group] + sums if group in known else sums
+                if len(known) >= GROUPS:
+                    yield rows()
+        if known:
+            yield rows()
+
+    def merged(key, batches):
+        total = 0
+        for batch in batches:
+            flat = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
+            total = total + flat.sum(axis=0)
+        n, m, s = total[0], total[1:d + 1], total[d + 1:]
+        head = [pa.array([k.as_py()] * len(s), f.type) for k, f in zip(key, arrow)]
+        yield pa.RecordBatch.from_arrays(
+            [*head, pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)),
+             pa.array(np.full(len(s), int(n))), pa.array(s), pa.array(s - m[first] * m[second] / n)], schema=arrow)
+
+    held_arrow, arrow = to_arrow_schema(held), to_arrow_schema(schema)
+    sums = points.select(*by, *dims).mapInArrow(partial, held)
+    return sums.groupBy(*by).applyInArrow(lambda key, table: pa.Table.from_batches(merged(key, table.to_batches())), schema)
+
+
+def _parts(table: pa.Table, by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each group of a batch."""
+    code = table.select(by).append_column("at", pa.array(np.arange(table.num_rows)))
+    groups = code.group_by(by, use_threads=False).aggregate([("at", "list")])
+    for k in range(groups.num_rows):
+        yield (tuple(groups.column(c)[k].as_py() for c in by),
+               table.take(groups.column("at_list")[k].values))
 
 
 class PlaneTree:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions.numeric import even, half_up
 from cutline.plans import scan as S
+from cutline.plans.stage import stage
 
 FRAME_BYTES_LIMIT = 1.2e9
 COMFORT_BYTES = 4e8
@@ -115,11 +116,15 @@ def expand_variants(jobs: DataFrame) -> DataFrame:
 
 # Encoder options per codec, best first, and acceleration modes.
 LADDER = {
-    "avc": "avc1.640034 avc1.640033 avc1.640032 avc1.64002a avc1.640029 avc1.640028"
-           " avc1.64001f avc1.4d0028 avc1.42001f",
-    "hevc": "hvc1.1.6.L186.B0 hvc1.1.6.L156.B0 hvc1.1.6.L153.B0 hvc1.1.6.L150.B0"
-            " hvc1.1.6.L123.B0 hvc1.1.6.L120.B0 hvc1.1.6.L93.B0 hev1.1.6.L153.B0"
-            " hev1.1.6.L123.B0",
+    "avc": [
+        "avc1.640034", "avc1.640033", "avc1.640032", "avc1.64002a", "avc1.640029", "avc1.640028",
+        "avc1.64001f", "avc1.4d0028", "avc1.42001f",
+    ],
+    "hevc": [
+        "hvc1.1.6.L186.B0", "hvc1.1.6.L156.B0", "hvc1.1.6.L153.B0", "hvc1.1.6.L150.B0",
+        "hvc1.1.6.L123.B0", "hvc1.1.6.L120.B0", "hvc1.1.6.L93.B0",
+        "hev1.1.6.L153.B0", "hev1.1.6.L123.B0",
+    ],
 }
 MAX_OPTIONS = 1024
 ACCELS = ["prefer-hardware", "no-preference"]
@@ -132,11 +137,10 @@ def first_supported(requests: DataFrame, supports: DataFrame) -> DataFrame:
     before rank.  With none, `advice` says whether the other codec would do.
 
     While there are at most MAX_OPTIONS options, requests look them up in one short
-    broadcast list per codec.  Beyond that they are joined with the options that take
-    them and keep the first.
+    broadcast list per codec.  Beyond that `_first_by_levels` finds them by sorting.
     """
     if supports.limit(MAX_OPTIONS + 1).count() > MAX_OPTIONS:
-        return _first_by_join(requests, supports)
+        return _first_by_levels(requests, supports)
     lists = supports.groupBy("codec").agg(
         F.array_sort(
             F.collect_list(F.struct("accel_rank", "rank", "option", "max_w", "max_h"))
@@ -174,21 +178,54 @@ def _advice() -> list[Column]:
     ]
 
 
-def _first_by_join(requests: DataFrame, supports: DataFrame) -> DataFrame:
-    """The same per distinct (codec, w, h), of which there are far fewer than requests."""
-    sizes = requests.select("codec", "w", "h").distinct().withColumn("alt_codec", _other_codec())
+def _first_by_levels(requests: DataFrame, supports: DataFrame) -> DataFrame:
+    """The same by dominance lookup: no size meets an option it does not choose.
 
-    def first(codec: str, name: str) -> DataFrame:
-        options = supports.withColumnRenamed("codec", codec)
-        fits = sizes.join(options, codec).where((F.col("max_w") >= F.col("w")) & (F.col("max_h") >= F.col("h")))
-        return fits.groupBy("codec", "w", "h").agg(
-            F.min(F.struct("accel_rank", "rank", "option", "max_w", "max_h")).alias(name))
-
-    found = (
-        sizes.join(first("codec", "hit"), ["codec", "w", "h"], "left")
-        .join(first("alt_codec", "alt_hit"), ["codec", "w", "h"], "left")
+    A codec's options are numbered by `max_w`; level k cuts the numbers into blocks of 2^k.
+    Those wide enough for a request are a suffix of the numbers, hence at most one block of
+    each level.  In a block the options by falling `max_h`, with the best place so far, are
+    a staircase; all requests of the block are sorted into it by their `h` and read the step
+    they stand on.  With n options and m sizes that is (n + m) log n rows in one scan.
+    """
+    place = ["accel_rank", "rank", "option", "max_w", "max_h"]
+    options = stage(S.Scan(supports.select("codec", *place), ["codec"], place).run(place=S.row_index()).df, "options")
+    ranked = stage(
+        S.Scan(options.where("max_w is not null and max_h is not null").select("codec", "place", "max_w", "max_h"),
+               ["codec"], ["max_w", "place"]).run(i=S.row_index()).df, "ranked")
+    levels = int(ranked.agg(F.max("i")).first()[0] or 0).bit_length()
+
+    wanted = requests.select("codec", "w", "h").where("w is not null and h is not null")
+    sizes = wanted.unionByName(wanted.withColumn("codec", _other_codec())).distinct()
+    nothing = F.lit(None).cast("long")
+    along = ranked.select("codec", F.col("max_w").cast("double").alias("at"), F.lit(1).alias("kind"), nothing.alias("w"), nothing.alias("h"))
+    asked = sizes.select("codec", F.col("w").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("w").cast("long"), F.col("h").cast("long"))
+    narrower = S.Scan(along.unionByName(asked), ["codec"], ["at", "kind", "h"]).run(p=S.running_sum(F.col("kind").cast("long")))
+    asks = narrower.df.where("kind = 0").select("codec", "w", "h", "p")
+
+    block = ["codec", "level", "block"]
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    steps = ranked.select("codec", "i", "max_h", "place", level).select(
+        "codec", "level", F.expr("shiftright(i, level)").alias("block"), (-F.col("max_h").cast("double")).alias("at"),
+        F.lit(0).alias("kind"), (-F.col("place")).alias("best"), nothing.alias("w"), nothing.alias("h"))
+    later = F.array(F.struct(F.lit(0).alias("level"), F.col("p").alias("block")), *(
+        F.when(F.expr(f"(shiftright(p, {k}) & 1) = 0"), F.struct(
+            F.lit(k).alias("level"), F.expr(f"shiftright(p, {k}) + 1").alias("block"))) for k in range(levels)))
+    reads = asks.select("codec", "w", "h", F.explode(F.array_compact(later)).alias("b")).select(
+        "codec", "b.level", "b.block", (-F.col("h").cast("double")).alias("at"), F.lit(1).alias("kind"),
+        nothing.alias("best"), "w", "h")
+    stairs = S.Scan(steps.unionByName(reads), block, ["at", "kind", "w", "best"]).run(top=S.running_max(F.col("best")))
+    first = (
+        stairs.df.where("kind = 1").groupBy("codec", "w", "h").agg((-F.max("top")).alias("place"))
+        .join(options, ["codec", "place"])
+        .select("codec", "w", "h", F.struct("accel_rank", "rank", "option").alias("hit"))
+    )
+    first = stage(first, "first")
+    other = first.select(F.col("codec").alias("alt_codec"), "w", "h", F.col("hit").alias("alt_hit"))
+    return (
+        requests.withColumn("alt_codec", _other_codec())
+        .join(first, ["codec", "w", "h"], "left").join(other, ["alt_codec", "w", "h"], "left")
+        .select(*requests.columns, *_advice())
     )
-    return requests.join(found, ["codec", "w", "h"], "left").select(*requests.columns, *_advice())
 
 
 def size_report(runs: DataFrame) -> DataFrame:

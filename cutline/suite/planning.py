@@ -15,8 +15,8 @@ JOB = ["job_id", "n", "w", "h"]
 def support_rows() -> list[tuple]:
     """Options with caps that shrink down the ladder; hardware stops at 1920 x 1088."""
     rows = []
-    for codec, text in G.LADDER.items():
-        for rank, option in enumerate(text.split()):
+    for codec, options in G.LADDER.items():
+        for rank, option in enumerate(options):
             w, h = 2560 - 240 * rank, 1600 - 150 * rank
             rows.append((codec, 0, rank, option, min(w, 1920) - 640, min(h, 1088)))
             rows.append((codec, 1, rank, option, w + (320 if codec == "hevc" else 0), h))

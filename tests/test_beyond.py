@@ -45,6 +45,48 @@ def test_options_by_join(spark, monkeypatch):
     assert compare(spark, connect(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) is None
 
 
+def test_many_options_without_pairs(spark):
+    """100 000 options, 300 sizes: no step makes anything like their product, and the first option is right."""
+    rng = np.random.default_rng(6)
+    n = 100_000
+    w, h = rng.integers(100, 4000, n), rng.integers(100, 4000, n)
+    rank = rng.permutation(n)
+    codec = np.where(rng.random(n) < 0.7, "avc", "hevc")
+    accel = rng.integers(0, 2, n)
+    supports = spark.createDataFrame(
+        [(c, int(a), int(r), f"o{r}", int(x), int(y)) for c, a, r, x, y in zip(codec, accel, rank, w, h)],
+        "codec string, accel_rank int, rank int, option string, max_w int, max_h int")
+    asks = [(k, ["avc", "hevc"][k % 2], int(a), int(b)) for k, (a, b) in enumerate(rng.integers(100, 4100, (300, 2)))]
+    asks += [(900, "avc", None, 5), (901, "avc", 3999, 3999), (902, "hevc", 100, 100)]
+    requests = spark.createDataFrame(asks, "job_id int, codec string, w int, h int")
+
+    def first(c, a, b):
+        fits = (codec == c) & (w >= a) & (h >= b)
+        return f"o{min(zip(accel[fits], rank[fits]))[1]}" if fits.any() else None
+
+    got = {r.job_id: r for r in G.first_supported(requests, supports).collect()}
+    assert len(got) == len(asks)
+    for k, c, a, b in asks:
+        own = None if a is None else first(c, a, b)
+        other = None if a is None else first("avc" if c == "hevc" else "hevc", a, b)
+        assert got[k].option == own
+        assert got[k].advice == ("ok" if own else f"switch to {'avc' if c == 'hevc' else 'hevc'}" if other else "pick a smaller size")
+
+
+def test_moments_of_many_groups(spark, monkeypatch):
+    """More groups than a task holds, null keys included: the same sums."""
+    monkeypatch.setattr(K, "GROUPS", 3)
+    rows = [(None if k % 11 == 0 else k % 7, k % 2, float(k % 5), float(k % 3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, h int, a double, b double").repartition(3)
+    got = {(r.g, r.h, r.i, r.j): (r.n, r.s) for r in K.moment_stats(df, ["a", "b"], ["g", "h"]).collect()}
+    want = {}
+    for g, h, *v in rows:
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            n, s = want.get((g, h, i, j), (0, 0.0))
+            want[g, h, i, j] = (n + 1, s + v[i] * v[j])
+    assert got == want
+
+
 def test_nearest_of_many_codes(spark, monkeypatch):
     rng = np.random.default_rng(4)
     points = [(i, *map(float, v)) for i, v in enumerate(rng.integers(0, 6, (60, 3)))]
