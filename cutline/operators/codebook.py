@@ -17,7 +17,8 @@ from cutline.plans.stage import stage
 
 MAX_CODES = 256  # of a palette
 HELD_CODES = 4096  # of a codebook sent to every task
-CELL_CODES = 64
+CELL_CODES = 16  # of the sample, in a cell
+CELL_POINTS = 1 << 18  # of a cell, in a task
 
 
 def palette_stats(pixels: DataFrame, by: Sequence[str] = ("anim_id",)) -> DataFrame:
@@ -394,29 +395,50 @@ def assign_nearest(points: DataFrame, codes: DataFrame, dims: Sequence[str]) ->
     """Adds `code`, the exact nearest of codes(code, dims...); ties take the lower code.
 
     Up to `HELD_CODES` codes are sent to every task as a plane tree.  More are cut into cells
-    by the tree of a bounded sample, and stay distributed: a point joins its own cell, and
-    then the cells whose planes are not farther than what it found there.
+    by the tree of a bounded sample, and stay distributed: a point is sent to its own cell,
+    and then to the cells whose planes are not farther than what it found there.
     """
     dims = list(dims)
-    held = codes.select("code", *dims).limit(HELD_CODES + 1).toArrow()
-    if not held.num_rows:
+    listed = codes.select("code", *dims)
+    held = _codes(listed.limit(HELD_CODES + 1), dims)
+    if not len(held[0]):
         raise ValueError("a codebook holds at least one code")
-    code = held.column("code").to_numpy(zero_copy_only=False)
-    centres = np.stack([np.asarray(held.column(c), np.float64) for c in dims], axis=1)
+    kind = codes.schema["code"].dataType
+    if len(held[0]) <= HELD_CODES:
+        return _search(points, dims, 1.0, PlaneTree.over(*held), kind)
+    # of codes at one place only the lowest can be an answer
+    place = [F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(dims)]
+    listed = stage(listed.select("code", *place).groupBy(*[f"x{k}" for k in range(len(dims))]).agg(
+        F.min("code").alias("code")), "codes")
+    step = max(1, listed.count() // HELD_CODES)
+    sample = listed.where(F.pmod(F.xxhash64("code"), F.lit(step)) == 0).orderBy(F.xxhash64("code")).limit(HELD_CODES)
+    dims_at = [f"x{k}" for k in range(len(dims))]
+    return _nearest_in_cells(points, listed, dims, dims_at, PlaneTree.over(*_codes(sample, dims_at), leaf=CELL_CODES))
+
+
+def _codes(rows: DataFrame, dims: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, codes) by code."""
+    held = rows.toArrow()
+    code = held.column("code").to_numpy()
     order = np.argsort(code, kind="stable")
-    if held.num_rows <= HELD_CODES:
-        return _search(points, dims, 1.0, PlaneTree.over(centres[order], code[order]), codes.schema["code"].dataType)
-    return _nearest_in_cells(points, codes.select("code", *dims), dims, PlaneTree.over(centres, code, leaf=CELL_CODES))
+    return np.stack([held.column(c).to_numpy().astype(np.float64) for c in dims], axis=1)[order], code[order]
 
 
-def _nearest_in_cells(points: DataFrame, codes: DataFrame, dims: list[str], cells: PlaneTree) -> DataFrame:
-    """As `assign_nearest`; `cells` only cuts, it was made from some of the codes."""
+def _nearest_in_cells(points: DataFrame, codes: DataFrame, dims: list[str], dims_at: list[str], cells: PlaneTree) -> DataFrame:
+    """As `assign_nearest`; `cells` only cuts, it was made from some of the codes.
+
+    In a cell points meet its codes as a tree of their own.  A cell with many points is dealt to
+    several tasks, which all get its codes.
+    """
     names = [f"c{k}" for k in range(len(points.columns))]
     at = [points.columns.index(c) for c in dims]
     position = lambda cols: F.array(*(F.col(c).cast("double") for c in cols)).alias("x")
     plain = stage(points.toDF(*names).withColumn("id", F.monotonically_increasing_id()), "points")
     x = plain.select("id", position(names[k] for k in at))
     tree = points.sparkSession.sparkContext.broadcast(cells)
+    kind = codes.schema["code"].dataType
+    found = T.StructType([T.StructField("id", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("code", kind)])
+    arrow = to_arrow_schema(found)
 
     def own(rows: DataFrame) -> DataFrame:
         """Rows (.., x) with the cell they lie in."""
@@ -440,17 +462,31 @@ def _nearest_in_cells(points: DataFrame, codes: DataFrame, dims: list[str], cell
 
         return rows.select("id", "x", "own", "d").mapInArrow(run, "id long, x array<double>, cell long")
 
-    book = stage(own(codes.select("code", position(dims))).withColumnRenamed("x", "y"), "cells")
+    def meet(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        mine, theirs = (t.combine_chunks().to_batches()[0] for t in (left, right))
+        code = theirs.column("code").to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        local = PlaneTree.over(_matrix(theirs, "x")[order], code[order])
+        d, pick = local.nearest(_matrix(mine, "x"))
+        return pa.table([mine.column("id"), pa.array(d), pa.array(pick, arrow.field("code").type)], schema=arrow)
+
+    book = stage(own(codes.select("code", position(dims_at))), "cells")
 
     def best_of(rows: DataFrame) -> DataFrame:
-        gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda u, v: u + v)
-        return rows.join(book, "cell").groupBy("id").agg(F.min(F.struct(gap.alias("d"), "code")).alias("best"))
+        rows = stage(rows, "met")
+        deal = F.broadcast(rows.groupBy("cell").agg((F.count("*") / CELL_POINTS + 1).cast("int").alias("tasks")))  # a row per cell
+        dealt = rows.join(deal, "cell").select("id", "x", "cell", F.pmod("id", F.col("tasks")).cast("int").alias("task"))
+        given = book.join(deal, "cell").select("code", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+        return dealt.groupBy("cell", "task").cogroup(given.groupBy("cell", "task")).applyInArrow(meet, found)
 
     home = stage(own(x), "home")
-    first = stage(best_of(home), "first")
-    known = home.withColumnRenamed("cell", "own").join(first, "id", "left").withColumn(
-        "d", F.coalesce("best.d", F.lit(float("inf"))))
-    both = first.unionByName(best_of(others(known))).groupBy("id").agg(F.min("best").alias("best"))
+    first = stage(best_of(home.select("id", "x", "cell")), "first")
+    known = home.withColumnRenamed("cell", "own").join(first.select("id", "d"), "id", "left").withColumn(
+        "d", F.coalesce("d", F.lit(float("inf"))))
+    best = F.min(F.struct("d", "code")).alias("best")
+    both = first.unionByName(best_of(others(known))).groupBy("id").agg(best)
     return plain.join(both, "id").select(*names, "best.code").toDF(*points.columns, "code")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.numeric import clamp
+from cutline.operators.codebook import assign_nearest
 from cutline.plans import scan as S
 from cutline.plans.topn import first_n
 
@@ -308,6 +309,19 @@ def nearest(points: DataFrame, targets: DataFrame, key: Sequence[str] = ("doc_id
     )
 
 
+def nearest_in_plane(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """points(.., px, py) with the id and distance of the closest of targets(ord, px, py).
+
+    The lower ord wins ties.  Few targets are searched in every task, many in cells of the plane
+    that a point leaves only for cells nearer than what it has found; no pairs are formed.
+    """
+    spots = targets.select(F.col("ord").alias("code"), "px", "py")
+    hit = assign_nearest(points, spots, ["px", "py"]).withColumnRenamed("code", "ord")
+    at = targets.select("ord", F.col("px").alias("tx"), F.col("py").alias("ty"))
+    gap = (F.col("px") - F.col("tx")) * (F.col("px") - F.col("tx")) + (F.col("py") - F.col("ty")) * (F.col("py") - F.col("ty"))
+    return hit.join(at, "ord").select(*points.columns, "ord", F.sqrt(gap).alias("distance"))
+
+
 def nearest_handle(points: DataFrame, handles: Sequence[tuple[float, float]]) -> DataFrame:
     """Index of the closest of a few fixed handles (px, py); the first wins ties."""
     options = []

@@ -103,7 +103,16 @@ def _h12(s, d):
     return H.nearest(points, targets)
 
 
+def _h12_plane(s, d):
+    """For the second pair of every vector's values the vector whose first pair is closest."""
+    at = lambda a, b: [F.col("embedding")[a].cast("double").alias("px"), F.col("embedding")[b].cast("double").alias("py")]
+    rows = X.vectors(s, d)
+    points, targets = rows.select("vec_id", *at(2, 3)), rows.select(F.col("vec_id").alias("ord"), *at(0, 1))
+    return H.nearest_in_plane(points, targets).select("vec_id", "ord", F.round("distance", 9).alias("distance"))
+
+
 QUERIES = {
+    "h12_nearest_in_plane": _h12_plane,
     "h2_typed_values": lambda s, d: _shown(H.typed_values(_raw(s, d))),
     "h1_classify_fields": lambda s, d: H.classify_fields(X.widgets(s, d)).select(
         "doc_id", "page", "ord", "name", "kind", "read_only"
@@ -256,6 +265,13 @@ ORACLE = {
                min(abs((pg - 1) * 500 + ph / 2 - (x * 7 + i.y))) AS distance
         FROM items i JOIN (SELECT doc_id, page AS pg, h AS ph FROM sheets) t USING (doc_id)
         GROUP BY i.doc_id, item_id, x, i.y"""),
+    "h12_nearest_in_plane": X.with_tables("vectors", """
+        SELECT vec_id, arg_min(ord, struct_pack(d := d, o := ord)) AS ord, round(sqrt(min(d)), 9) AS distance
+        FROM (SELECT p.vec_id, t.vec_id AS ord,
+                     (p.embedding[3]::DOUBLE - t.embedding[1]::DOUBLE) * (p.embedding[3]::DOUBLE - t.embedding[1]::DOUBLE)
+                     + (p.embedding[4]::DOUBLE - t.embedding[2]::DOUBLE) * (p.embedding[4]::DOUBLE - t.embedding[2]::DOUBLE) AS d
+              FROM vectors p, vectors t)
+        GROUP BY vec_id"""),
     "h12_nearest_handle": X.with_tables("items", """
         SELECT item_id, px, py, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS handle
         FROM (SELECT *, px * px + py * py AS d0, (px - 128) * (px - 128) + (py - 128) * (py - 128) AS d1,

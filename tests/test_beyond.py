@@ -14,6 +14,7 @@ from oracle import compare, connect  # noqa: E402
 
 from cutline import fixtures as X  # noqa: E402
 from cutline.functions.colormaps import builtin_luts  # noqa: E402
+from cutline.operators import forms  # noqa: E402
 from cutline.operators import codebook as K  # noqa: E402
 from cutline.operators import planning as G  # noqa: E402
 from cutline.operators import sampling as C  # noqa: E402
@@ -101,6 +102,21 @@ def test_nearest_of_many_codes(spark, monkeypatch):
         assert len(got) == 120 and all(want[r.id] == r.code for r in got)
 
 
+def test_nearest_in_plane_with_many_targets(spark, monkeypatch):
+    """Crowded, repeated and far points: cells dealt to several tasks, no pairs of points and targets."""
+    monkeypatch.setattr(K, "HELD_CODES", 500)
+    monkeypatch.setattr(K, "CELL_POINTS", 200)
+    rng = np.random.default_rng(12)
+    t = np.concatenate([rng.normal(size=(3000, 2)), np.zeros((1500, 2)), rng.integers(-9, 9, (500, 2)) * 10.0])
+    p = np.concatenate([rng.normal(size=(300, 2)) * 5, np.zeros((600, 2)), t[:100], [[1e6, -1e6]]])
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(p)], "point_id int, px double, py double")
+    targets = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(t)], "ord int, px double, py double")
+    d = ((p[:, None, :] - t[None]) ** 2)
+    want = (d[..., 0] + d[..., 1]).argmin(axis=1)
+    got = forms.nearest_in_plane(points, targets).collect()
+    assert len(got) == len(p) and all(r.ord == want[r.point_id] for r in got)
+
+
 def test_plane_tree_is_exact_and_prunes():
     """Every tree over random, clustered, repeated and collinear codes against all distances."""
     rng = np.random.default_rng(7)
