@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # --- timelines -------------------------------------------------------------
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def samples(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    return (events if events is not None else table(spark, sf, "events")).select(
         F.col("user_id").alias("asset_id"),
         F.col("event_id").alias("sample_id"),
         epoch_us(spark, "ts").alias("t_us"),

@@ -17,6 +17,7 @@ from cutline.plans.stage import stage
 
 MAX_CODES = 256  # of a palette
 HELD_CODES = 4096  # of a codebook sent to every task
+GROUPS = 512  # held by a task before it passes them on
 CELL_CODES = 16  # of the sample, in a cell
 CELL_POINTS = 1 << 18  # of a cell, in a task
 
@@ -36,6 +37,53 @@ def palette_stats(pixels: DataFrame, by: Sequence[str] = ("anim_id",)) -> DataFr
     return out.withColumns({"depth": depth, "indexed": F.col("slots") <= MAX_CODES})
 
 
+def palette_capped(pixels: DataFrame, by: Sequence[str] = ("anim_id",), cap: int = 300) -> DataFrame:
+    """Colour count up to `cap`, where counting stops; slot 0 is reserved for transparent black.
+
+    Each task keeps at most `cap` - 1 colours of a group, and such sets are merged into another: no
+    row per distinct colour is shuffled.  Counts below the cap are exact, `saturated` tells others.
+    """
+    by = list(by)
+    packed = F.expr("(a * 16777216L) + (b * 65536L) + (g * 256L) + r").cast("long").alias("c")
+    rows = pixels.select(*by, packed)
+    head = T.StructType([rows.schema[c] for c in by])
+    held = T.StructType([*head, T.StructField("colours", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*head, T.StructField("slots", T.LongType()), T.StructField("saturated", T.BooleanType())])
+    held_arrow, arrow = to_arrow_schema(held), to_arrow_schema(schema)
+
+    def partial(batches):
+        known: dict[tuple, np.ndarray] = {}
+
+        def sets():
+            cols = [pa.array([g[k] for g in known], held_arrow.field(c).type) for k, c in enumerate(by)]
+            lists = pa.array(list(known.values()), held_arrow.field("colours").type)
+            known.clear()
+            return pa.RecordBatch.from_arrays([*cols, lists], schema=held_arrow)
+
+        for batch in batches:
+            for group, part in _parts(pa.Table.from_batches([batch]), by):
+                seen = known.get(group, np.empty(0, np.int64))
+                if len(seen) < cap - 1:
+                    new = part.column("c").drop_null().to_numpy()
+                    seen = np.union1d(seen, new[new != 0])[:cap - 1]
+                known[group] = seen
+                if len(known) >= GROUPS:
+                    yield sets()
+        if known:
+            yield sets()
+
+    def merged(key, table):
+        seen = np.empty(0, np.int64)
+        for part in table.column("colours"):
+            if len(seen) < cap - 1:
+                seen = np.union1d(seen, part.values.to_numpy(zero_copy_only=False))[:cap - 1]
+        slots = len(seen) + 1
+        return pa.table([*(pa.array([k.as_py()], f.type) for k, f in zip(key, arrow)),
+                         pa.array([slots]), pa.array([slots >= cap])], schema=arrow)
+
+    return rows.mapInArrow(partial, held).groupBy(*by).applyInArrow(merged, schema)
+
+
 def _moments(dims: Sequence[str]) -> list[Column]:
     """count, sums and upper-triangle product sums; integers stay exact."""
     sums = [F.sum(F.col(c)).alias(f"m{i}") for i, c in enumerate(dims)]
@@ -46,9 +94,6 @@ def _moments(dims: Sequence[str]) -> list[Column]:
     return [F.count("*").alias("n"), *sums, *prods]
 
 
-GROUPS = 512
-
-
 def moment_stats(points: DataFrame, dims: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per group and pair i <= j: n, sum of products and n * covariance.
 

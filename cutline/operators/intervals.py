@@ -9,7 +9,9 @@ forward (`plans.scan`), so the work is n log n and a hot asset is split over tas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.plans import scan as S
@@ -208,6 +210,29 @@ def trim_window(samples: DataFrame, assets: DataFrame, slack_us: int = 1) -> Dat
     )
 
 
+def prune_to_assets(stored: DataFrame, assets: DataFrame, time_col: str, slack_us: int = 1) -> DataFrame:
+    """Rows of a stored table that some asset's trim window can hold, by its own time column.
+
+    The smallest `in` and the largest `out` (one row to the driver) become literals on the column as
+    it is stored, so they reach Parquet and whole files and row groups are skipped; the exact
+    test per asset stays with `trim_window`.
+    """
+    lo, hi = assets.agg(F.min("in_us"), F.max("out_us")).first()
+    if lo is None:
+        return stored.where(F.lit(False))
+    kind = stored.schema[time_col].dataType.simpleString()
+
+    def literal(us: int) -> Column:
+        if kind == "bigint":
+            return F.lit(us)
+        stamp = datetime(1970, 1, 1) + timedelta(microseconds=us)
+        zone = "" if kind == "timestamp_ntz" else "+00:00"
+        return F.expr(f"{kind} '{stamp.isoformat(sep=' ', timespec='microseconds')}{zone}'")
+
+    t = F.col(time_col)
+    return stored.where((t >= literal(lo - slack_us)) & (t < literal(hi)))
+
+
 def snap_to_kept(
     points: DataFrame, assets: DataFrame, cuts: DataFrame, end_slack_us: int = 0
 ) -> DataFrame:

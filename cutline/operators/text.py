@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.text import ASCII, fuzzy_score, odd_characters, replaced
+from cutline.plans.stage import stage
 
 
 def fuzzy_scores(df: DataFrame, query: str, cols: Sequence[str]) -> DataFrame:
@@ -90,6 +91,40 @@ def apply_defaults(pages: DataFrame, scopes: Sequence[dict]) -> DataFrame:
     return pages.withColumn("front", F.map_concat(own, filled))
 
 
+def apply_default_table(pages: DataFrame, scopes: DataFrame) -> DataFrame:
+    """As `apply_defaults`, for any number of scopes in a table (path, type, ord, key, value).
+
+    A page's path is expanded to its prefixes, of the lengths that scopes have, and these are
+    joined by hash with the scopes of that path: no page meets a scope that does not match it.
+    Of the values found for a key the most specific wins.  Pages of one path and type are
+    looked up once.
+    """
+    named = F.when(F.col("type") != "", F.col("type"))
+    rules = scopes.select(
+        F.coalesce("path", F.lit("")).alias("scope"), named.alias("only"), "key", "value",
+        F.struct(F.length(F.coalesce("path", F.lit(""))).alias("n"), named.isNotNull().alias("typed"), "ord").alias("rank"))
+    rules = stage(rules.groupBy("scope", "only", "key").agg(
+        F.max_by("value", "rank").alias("value"), F.max("rank").alias("rank")), "rules")
+    sizes = sorted(r[0] for r in rules.select(F.length("scope")).distinct().collect())  # no more than the longest path
+    if not sizes:
+        return pages
+    kinds = pages.select("path", "type").distinct()
+    size = F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("path"))).alias("n")
+    prefixes = kinds.select("path", "type", size).select("path", "type", F.substring("path", F.lit(1), F.col("n")).alias("scope"))
+    hits = prefixes.join(rules, "scope").where(F.col("only").isNull() | (F.col("only") == F.col("type")))
+    best = hits.groupBy("path", "type", "key").agg(F.max_by("value", "rank").alias("value"))
+    filled = best.groupBy("path", "type").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("__filled"))
+    filled = filled.withColumnsRenamed({"path": "__path", "type": "__type"})
+    none = F.create_map().cast("map<string,string>")
+    own, more = F.coalesce("front", none), F.coalesce("__filled", none)
+    front = F.map_concat(
+        F.map_filter(own, lambda k, v: v.isNotNull() | ~F.map_contains_key(more, k)),
+        F.map_filter(more, lambda k, _: F.get(F.array(own[k]), F.lit(0)).isNull()))
+    joined = pages.join(
+        filled, F.col("path").eqNullSafe(F.col("__path")) & F.col("type").eqNullSafe(F.col("__type")), "left")
+    return joined.withColumn("front", front).select(*pages.columns)
+
+
 def canonical_url(pages: DataFrame, base: str = "", host: str = "", col: str = "url") -> DataFrame:
     """Adds canonical: the path without index.html below host and base."""
     return pages.withColumn(

@@ -105,6 +105,7 @@ QUERIES = {
     "f3_delta_encode": _f3,
     "f3_delta_flicker": lambda s, d: _f3(s, d, _flicker),
     "f4_palette_stats": lambda s, d: K.palette_stats(X.pixels(s, d)),
+    "f4_palette_capped": lambda s, d: K.palette_capped(X.pixels(s, d), ["frame_id"], 12),
     "f4_palette_coarse": lambda s, d: K.palette_stats(
         X.pixels(s, d).selectExpr(
             "frame_id", "r div 64 as r", "g div 64 as g", "b div 64 as b", "a div 64 as a"
@@ -269,6 +270,10 @@ ORACLE = {
                    WHEN slots <= 16 THEN 4 ELSE 8 END AS depth, slots <= 256 AS indexed
         FROM (SELECT anim_id, count(DISTINCT (r, g, b, a)) FILTER (WHERE r + g + b + a > 0) + 1 AS slots
               FROM pixels GROUP BY anim_id)"""),
+    "f4_palette_capped": X.with_tables("pixels", """
+        SELECT frame_id, least(n + 1, 12) AS slots, n + 1 >= 12 AS saturated
+        FROM (SELECT frame_id, count(DISTINCT (r, g, b, a)) FILTER (WHERE r + g + b + a > 0) AS n
+              FROM pixels GROUP BY frame_id)"""),
     "f4_palette_coarse": X.with_tables("pixels", """
         SELECT frame_id, slots, CASE WHEN slots <= 2 THEN 1 WHEN slots <= 4 THEN 2
                    WHEN slots <= 16 THEN 4 ELSE 8 END AS depth, slots <= 256 AS indexed

@@ -39,7 +39,15 @@ def _b6(spark, sf, empty):
     return B.from_output_time(at, keep, X.assets(spark, sf) if empty == "in" else None)
 
 
+def _b8_pruned(spark, sf):
+    """The trim window over only those events that some window can hold."""
+    a = stage(X.assets(spark, sf), "assets")
+    near = B.prune_to_assets(X.table(spark, sf, "events"), a, "ts")
+    return B.trim_window(X.samples(spark, sf, near).select(*SAMPLE), a)
+
+
 QUERIES = {
+    "b8_trim_pruned": _b8_pruned,
     "b1_clip_intervals": lambda s, d: B.clip_intervals(X.assets(s, d), X.cuts(s, d)),
     "b2_merge_intervals": lambda s, d: B.merge_intervals(X.cuts(s, d)),
     "b3_keep_ranges": _keep,
@@ -138,3 +146,5 @@ ORACLE = {
         UNION ALL SELECT asset_id, out_us, end_us, 'outside' FROM assets WHERE end_us > out_us
         UNION ALL SELECT asset_id, a, b, 'cut' FROM edges WHERE b > a"""),
 }
+
+ORACLE["b8_trim_pruned"] = ORACLE["b8_trim_window"]

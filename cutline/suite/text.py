@@ -47,6 +47,20 @@ def _i5(s, d):
     )
 
 
+def _i5_table(s, d):
+    """The same scopes as a table, with one more for every month that posts have."""
+    mine = _posts(s, d).select("path", F.lit("posts").alias("type"), "front")
+    rows = [(o["path"], o.get("type"), k, key, value) for k, o in enumerate(SCOPES) for key, value in o["values"].items()]
+    fixed = s.createDataFrame(rows, "path string, type string, ord int, key string, value string")
+    month = F.substring("path", 1, 14)
+    months = mine.select(month.alias("path")).distinct().select(
+        "path", F.lit(None).cast("string").alias("type"), F.lit(9).alias("ord"), F.lit("month").alias("key"),
+        F.substring("path", 8, 7).alias("value"))
+    front = F.col("front")
+    return I.apply_default_table(mine, fixed.unionByName(months)).select(
+        "path", front["layout"].alias("layout"), front["comments"].alias("comments"), front["month"].alias("month"))
+
+
 def _i6(s, d):
     ended = X.table(s, d, "pages").select("page_id", F.concat("url", F.lit("/index.html")).alias("url"))
     return I.canonical_url(ended, BASE, HOST)
@@ -78,6 +92,7 @@ QUERIES = {
     "i3_sanitize_text": lambda s, d: I.sanitize_text(X.table(s, d, "documents")),
     "i4_post_index": lambda s, d: I.post_index(_posts(s, d), "\n"),
     "i5_apply_defaults": _i5,
+    "i5_default_table": _i5_table,
     "i6_canonical_url": _i6,
     "i7_page_title": _i7,
     "i8_exclude_paths": _i8,
@@ -123,6 +138,10 @@ ORACLE = {
                regexp_extract(content, 'lang: (.*)', 1) AS lang
         FROM posts
         UNION ALL SELECT url, 'pages', 'default', NULL, NULL FROM pages"""),
+    "i5_default_table": X.with_tables("posts", """
+        SELECT path, 'posts' AS layout, CASE WHEN path LIKE '\\_posts/2016-%' ESCAPE '\\' THEN 'false' ELSE 'true' END AS comments,
+               substr(path, 8, 7) AS month
+        FROM posts"""),
     "i6_canonical_url": f"""
         SELECT page_id, url || '/index.html' AS url, '{HOST}{BASE}' || url || '/' AS canonical FROM pages""",
     "i7_page_title": """

@@ -14,7 +14,7 @@ from oracle import compare, connect  # noqa: E402
 
 from cutline import fixtures as X  # noqa: E402
 from cutline.functions.colormaps import builtin_luts  # noqa: E402
-from cutline.operators import forms  # noqa: E402
+from cutline.operators import forms, intervals, text  # noqa: E402
 from cutline.operators import codebook as K  # noqa: E402
 from cutline.operators import planning as G  # noqa: E402
 from cutline.operators import sampling as C  # noqa: E402
@@ -176,3 +176,60 @@ def test_first_n_beyond_the_rank_limit(spark):
     assert len(out) == 3000 and min(r.id for r in out) == 6000
     assert all(r.rank == (8999 - r.id) // 2 + 1 for r in out)
     assert X.table(spark, SF, "region").count() == 5
+
+
+def test_scopes_from_a_table(spark):
+    """Thousands of scopes give what the expressions give: longer, typed, later ones win, own values stay."""
+    rng = np.random.default_rng(3)
+    part = ["", "a", "a/", "a/b", "a/b/c", "ab", "b/"]
+    scopes, rows = [], []
+    for k in range(60):
+        path, kind = part[rng.integers(7)], [None, "posts", "pages"][rng.integers(3)]
+        values = {f"k{j}": f"v{k}" for j in rng.integers(0, 5, 2)}
+        scopes.append({"path": path, "type": kind, "values": values})
+        rows += [(path or None, kind, k, key, v) for key, v in values.items()]
+    far = [(f"z/{k}/", None, k, "k0", "far") for k in range(10_000)]
+    kind = "path string, type string, ord int, key string, value string"
+    pages = [(f"{part[k % 7]}x{k % 9}", ["posts", "pages", "other"][k % 3], {"k1": "own", "mine": "m"} if k % 4 else {"k2": None})
+             for k in range(200)] + [("z/77/q", None, {}), ("", "posts", None)]
+    df = spark.createDataFrame(pages, "path string, type string, front map<string,string>")
+    table = text.apply_default_table(df, spark.createDataFrame(rows + far, kind))
+    plain = text.apply_defaults(df.withColumn("front", F.coalesce("front", F.create_map().cast("map<string,string>"))), scopes)
+    keys = [f"k{j}" for j in range(5)] + ["mine"]
+    pick = lambda d: sorted((str(r) for r in d.select("path", "type", *[F.col("front")[k].alias(k) for k in keys]).where("path not like 'z/%'").collect()))
+    assert pick(table) == pick(plain) and table.count() == len(pages)
+    assert table.where("path = 'z/77/q'").first().front["k0"] == "far"
+    assert text.apply_default_table(df, spark.createDataFrame([], kind)).count() == len(pages)
+
+
+def test_capped_palette(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUPS", 2)
+    rows = [(a, k % n, 0, 1, 255) for a, n in ((1, 250), (2, 3), (3, 299), (4, 256)) for k in range(600)]
+    rows += [(5, k % 256, k // 256, 7, 255) for k in range(500)] + [(6, 0, 0, 0, 0)] * 5
+    df = spark.createDataFrame(rows, "anim_id int, r int, g int, b int, a int").repartition(4)
+    got = {r.anim_id: (r.slots, r.saturated) for r in K.palette_capped(df).collect()}
+    assert got == {1: (251, False), 2: (4, False), 3: (300, True), 4: (257, False), 5: (300, True), 6: (1, False)}
+    exact = {r.anim_id: r.slots for r in K.palette_stats(df).collect()}
+    assert all(got[a] == (min(n, 300), n >= 300) for a, n in exact.items())
+
+
+def test_pruned_scan_reads_fewer_row_groups(spark, tmp_path):
+    """Bounds of the assets reach the stored column: most rows are never read, the result is the same."""
+    rows = spark.range(200_000).select(
+        F.col("id").alias("sample_id"), (F.col("id") % 3).alias("asset_id"),
+        F.timestamp_micros(F.col("id") * 1000).alias("ts"), (F.col("id") * 1000).alias("t_us"))
+    for kind in ("timestamp", "timestamp_ntz"):
+        path = f"{tmp_path}/{kind}"
+        rows.withColumn("ts", F.col("ts").cast(kind)).coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(path)
+        assets = spark.createDataFrame([(0, 50_000_000, 52_000_000), (1, 51_000_000, 53_000_000)], "asset_id long, in_us long, out_us long")
+        stored = spark.read.parquet(path)
+        near = intervals.prune_to_assets(stored, assets, "ts")
+        read = near.select("sample_id", "ts")
+        n = len(read.collect())
+        assert n == 3000
+        plan = read._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan.toString()
+        assert leaf.metrics().apply("numOutputRows").value() < 20_000
+        want = sorted(tuple(r) for r in intervals.trim_window(stored, assets).collect())
+        assert sorted(tuple(r) for r in intervals.trim_window(near, assets).collect()) == want and want
