@@ -48,6 +48,7 @@ SAMPLE = 16
 HEAVY = 1 << 18
 SEEN = 1 << 16
 VALUES = 1 << 18
+MET_BITS = 27
 
 
 class _Sets:
@@ -131,9 +132,12 @@ def heavy_shingles(sets: DataFrame, sample: int, heavy: int) -> tuple[np.ndarray
     return h[order], top.column("n").to_numpy().astype(np.int64)[order]
 
 
-def prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -> DataFrame:
-    """(h, key, n, pos): the prefix shingles of every text, its set's size and their places."""
-    table = sets.sparkSession.sparkContext.broadcast(heavy_shingles(sets, sample, heavy))
+def prefixes(sets: DataFrame, share: tuple[int, int], table, only=None, log_bits: int = MET_BITS) -> DataFrame:
+    """(h, key, n, pos): the prefix shingles of every text, its set's size and their places.
+
+    `table` is a broadcast of `heavy_shingles`; with the broadcast bitmap `only` just those of marked cells.
+    """
+    shift = np.uint64(64 - log_bits)
 
     def run(batches):
         known, count = table.value
@@ -146,7 +150,10 @@ def prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -
                     flat = flat[np.lexsort((weight, row))]  # stable: equal counts stay in the order of the hashes
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 first = n + (-share[0] * n) // share[1] + 1
-                use = pos < first[row]
+                use = np.flatnonzero(pos < first[row])
+                if only is not None:
+                    cell = (flat[use] >> shift).astype(np.int64)
+                    use = use[(only.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[use].view(np.int64)), pa.array(keys[row[use]]),
                      pa.array(n[row[use]].astype(np.int32)), pa.array(pos[use].astype(np.int32))],
@@ -155,6 +162,19 @@ def prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -
     return sets.select("key", "hashes").mapInArrow(run, "h long, key long, n int, pos int")
 
 
+def met_prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -> DataFrame:
+    """The prefix shingles that more than one row has.
+
+    They are counted first, by hash alone; a bitmap of their cells, of fixed size, then keeps
+    nearly all others out of what is stored.  Its false hits are harmless.
+    """
+    spark = sets.sparkSession.sparkContext
+    table = spark.broadcast(heavy_shingles(sets, sample, heavy))
+    twice = prefixes(sets, share, table).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    cells = twice.select(F.shiftrightunsigned("h", 64 - MET_BITS).cast("int").alias("cell"))
+    return prefixes(sets, share, table, spark.broadcast(bitmap(cells, MET_BITS)))
+
+
 def _may_fit(share: tuple[int, int]) -> Column:
     """Can the sets of a and b, which share the shingle at these places, be near copies?"""
     most = (F.least("a.pos", "b.pos") + 1
@@ -244,7 +264,7 @@ def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int =
     `prints` holds (fp, text_key) of every row of `docs`.
     """
     sets = stage(shingle_sets(texts(docs, id_col, text_col), shingle), "sets")
-    rows = stage(prefixes(sets, share, sample, heavy), "prefixes")
+    rows = stage(met_prefixes(sets, share, sample, heavy), "prefixes")
     met = (
         rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("pos", "key", "n")).alias("b"))
         .where("low < high").select("h", "b")
