@@ -12,6 +12,7 @@ import sys
 import time
 
 from cutline import suite
+from cutline.plans.stage import drop_staged
 from cutline.session import session
 
 HEADLINE = """
@@ -54,6 +55,7 @@ def main() -> None:
         run(name)
     times = {name: run(name) for name in names}
     total = round(sum(times.values()), 3)
+    drop_staged(spark)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": total, "unit": "sec",
         "queries": times, "sf": os.path.basename(os.path.normpath(sf)).removeprefix("sf"),

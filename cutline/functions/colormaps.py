@@ -85,7 +85,7 @@ SEGMENTS = {
 }
 
 
-def _channels() -> dict[str, list[list[tuple[float, float]]]]:
+def anchors() -> dict[str, list[list[tuple[float, float]]]]:
     """Every generated map as three lists of (position, level), both in 0..1."""
     maps = {}
     for key, ends in RAMPS.items():
@@ -103,7 +103,7 @@ def builtin_luts(spark: SparkSession) -> DataFrame:
     """lut(map_key, idx, r, g, b) of the generated maps, 256 rows each."""
     rows = [
         (key, c, a[0], a[1], b[0], b[1])
-        for key, channels in _channels().items()
+        for key, channels in anchors().items()
         for c, stops in enumerate(channels)
         for a, b in zip(stops, stops[1:])
     ]

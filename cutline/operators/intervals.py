@@ -214,7 +214,8 @@ def prune_to_assets(stored: DataFrame, assets: DataFrame, time_col: str, slack_u
     """Rows of a stored table that some asset's trim window can hold, by its own time column.
 
     The smallest `in` and the largest `out` (one row to the driver) become literals on the column as
-    it is stored, so they reach Parquet and whole files and row groups are skipped; the exact
+    it is stored, so they reach Parquet and whole files and row groups are skipped (integers and
+    timestamps; Spark 4.1 applies filters on zone-less timestamps row by row).  The exact
     test per asset stays with `trim_window`.
     """
     lo, hi = assets.agg(F.min("in_us"), F.max("out_us")).first()

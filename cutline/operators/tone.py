@@ -96,6 +96,15 @@ def colormap(
     ).select(*cells.columns)
 
 
+def level_maps(cells: DataFrame, lut: DataFrame, which: str = "luma") -> DataFrame:
+    """(map_key, idx, n, r, g, b): how many cells each level has, and its colour in every map of `lut`.
+
+    A preview of all maps at once: the cells are counted first, so maps meet 256 levels and no cells.
+    """
+    levels = cells.groupBy(channel_value(which).cast("int").alias("idx")).agg(F.count("*").alias("n"))
+    return lut.join(F.broadcast(levels), "idx").select("map_key", "idx", "n", *RGB)
+
+
 def pixel_effects(
     cells: DataFrame,
     lut: DataFrame,

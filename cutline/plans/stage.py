@@ -5,6 +5,9 @@ points).  A result that feeds another scan is therefore written once, below the
 folder the cluster names in `spark.checkpoint.dir`, and read back: lineage ends
 there, lost executors recompute only what follows, columns stay prunable, and the
 file size lets the planner decide on a broadcast by itself.
+
+All tables of a session lie in one folder, which `drop_staged` deletes; results not yet
+computed need it until then.
 """
 
 from __future__ import annotations
@@ -17,14 +20,28 @@ _CONF = "spark.checkpoint.dir"
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder; a session without one uses its warehouse, which is shared as well."""
+    """The shared folder of this session; where no folder is named, one in the warehouse.
+
+    On a cluster a warehouse on the local disk is no shared folder, hence an error.
+    """
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
-    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+        alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+        if not alone and (root.startswith("file:") or "://" not in root):
+            raise ValueError(f"set {_CONF} to a folder that all executors share")
+    return f"{root}/cutline-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once and return the stored table."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/cutline/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every table this session has staged."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -61,7 +61,7 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run over everything available now and return the written table."""
     spark = stream.sparkSession
     spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
-    base = f"{stage_root(spark)}/cutline/{name}-{uuid.uuid4().hex}"
+    base = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows")

@@ -83,7 +83,7 @@ def _live_debounce(s, d):
 
 def _live_superseded(s, d):
     """The best result per key in a merge table, after two runs of one stream over growing files."""
-    base = f"{stage_root(s)}/cutline/superseded-{uuid.uuid4().hex}"
+    base = f"{stage_root(s)}/superseded-{uuid.uuid4().hex}"
     rows = _results(s, d)
     table = live.MergeTable(s, f"{base}/table", ["asset_id", "event_type"], "token", buckets=8)
     for late in (False, True):

@@ -56,6 +56,7 @@ QUERIES = {
     "d4_colormap": lambda s, d: D.colormap(
         _pix(s, d), colormaps.builtin_luts(s), "black-red", reverse=True, curve=STRONG
     ),
+    "d4_all_maps": lambda s, d: D.level_maps(_pix(s, d), colormaps.builtin_luts(s)),
     "d4_colormap_fallback": lambda s, d: D.colormap(
         _pix(s, d), colormaps.builtin_luts(s), "no-such-map", which="g"
     ),
@@ -161,6 +162,12 @@ def _fit(x, y, w, h, fw, fh, ratio) -> str:
                CAST(fw AS BIGINT) AS fw, CAST(fh AS BIGINT) AS fh FROM s4""")
 
 
+#: Every span between two anchors of a channel of a generated map.
+_SPANS = " UNION ALL ".join(
+    f"SELECT '{key}' AS key, {c} AS c, {a[0]!r}::DOUBLE AS x0, {a[1]!r}::DOUBLE AS y0, {b[0]!r}::DOUBLE AS x1, {b[1]!r}::DOUBLE AS y1"
+    for key, channels in colormaps.anchors().items() for c, stops in enumerate(channels) for a, b in zip(stops, stops[1:]))
+_WAVE = "CAST(round_even(least(1, greatest(0, {})) * 255, 0) AS INTEGER)"
+
 ORACLE = {
     "d1_channel": X.with_tables("pixels", f"SELECT {_COLS}, {_LUMA} AS v FROM pixels"),
     "d2_curve_lut": X.with_tables("curves", """
@@ -181,6 +188,17 @@ ORACLE = {
     "d4_colormap": X.with_tables("pixels", f"""
         SELECT frame_id, x, y, 255 - {_values(STRONG)}[{_LUMA} + 1] AS r, 0 AS g, 0 AS b, a
         FROM pixels"""),
+    "d4_all_maps": X.with_tables("pixels", f"""
+        WITH levels AS (SELECT CAST({_LUMA} AS INTEGER) AS idx, count(*) AS n FROM pixels GROUP BY ALL),
+        spans AS ({_SPANS}),
+        parts AS (
+            SELECT key, c, idx, CAST(round_even(((idx - x0 * 255) / (x1 * 255 - x0 * 255) * (y1 - y0) + y0) * 255, 0) AS INTEGER) AS v
+            FROM spans, levels WHERE idx / 255.0::DOUBLE >= x0 AND (idx / 255.0::DOUBLE < x1 OR (x1 = 1 AND idx = 255)))
+        SELECT key AS map_key, idx, n, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b
+        FROM parts JOIN levels USING (idx) GROUP BY key, idx, n
+        UNION ALL
+        SELECT 'rainbow', idx, n, {_WAVE.format("abs(2 * idx / 255.0::DOUBLE - 0.5::DOUBLE)")},
+               {_WAVE.format("sin(pi() * idx / 255.0::DOUBLE)")}, {_WAVE.format("cos(pi() * idx / 510.0::DOUBLE)")} FROM levels"""),
     "d4_colormap_fallback": X.with_tables(
         "pixels", "SELECT frame_id, x, y, g AS r, g, g AS b, a FROM pixels"
     ),
