@@ -143,7 +143,10 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, inner: int = 30, depth: in
                     [pa.array(h1), pa.array(h2), pa.array(ids[doc], pa.int64())], names=["h1", "h2", "ord"])
 
     found = stage(rows.select("ord", "text").mapInArrow(candidates, "h1 long, h2 int, ord long"), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("ord").alias("low"))
+    # stored, so that the join reads both sides by shuffle and a crowded window is split over tasks
+    first = stage(
+        found.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+        .where("low < high").drop("high"), "first")
     marks = (
         found.join(first, ["h1", "h2"]).where("ord > low")
         .groupBy("ord").agg(F.collect_set("h1").alias("marks"))
