@@ -92,6 +92,49 @@ def bitmap(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
     return table
 
 
+def marked_cells(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
+    """As `bitmap`, for many cells: blocks are packed from sorted cells, no set is held anywhere."""
+    size = 1 << block
+
+    def pack(batches):
+        now, bits = None, np.zeros(size, np.uint8)
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+                names=["block", "bits"])
+
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            for part in np.split(cell, np.flatnonzero(np.diff(cell >> block)) + 1):
+                if len(part) and part[0] >> block != now:
+                    if now is not None:
+                        yield row()
+                    now, bits[:] = int(part[0] >> block), 0
+                bits[part & (size - 1)] = 1
+        if now is not None:
+            yield row()
+
+    rows = cells.distinct().repartition(F.shiftright("cell", block)).sortWithinPartitions("cell").mapInArrow(
+        pack, "block int, bits binary")
+    table = np.zeros(max(1 << log_bits, size) >> 3, np.uint8)
+    for r in rows.toLocalIterator():
+        table[r.block * (size >> 3):(r.block + 1) * (size >> 3)] = np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows while the block runs jobs: long texts by the ten thousand take much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes."""
     table = []

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import bitmap, raw, slices, texts
+from cutline.llm.common import marked_cells, raw, slices, texts
 from cutline.llm.components import components
 from cutline.llm.windows import Roller, WordHashes, inside
 from cutline.plans.stage import stage
@@ -48,7 +48,7 @@ SAMPLE = 16
 HEAVY = 1 << 18
 SEEN = 1 << 16
 VALUES = 1 << 18
-MET_BITS = 27
+MET_BITS = 26
 
 
 class _Sets:
@@ -172,7 +172,7 @@ def met_prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: in
     table = spark.broadcast(heavy_shingles(sets, sample, heavy))
     twice = prefixes(sets, share, table).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     cells = twice.select(F.shiftrightunsigned("h", 64 - MET_BITS).cast("int").alias("cell"))
-    return prefixes(sets, share, table, spark.broadcast(bitmap(cells, MET_BITS)))
+    return prefixes(sets, share, table, spark.broadcast(marked_cells(cells, MET_BITS)))
 
 
 def _may_fit(share: tuple[int, int]) -> Column:
@@ -197,7 +197,7 @@ def _held(sets: DataFrame, keys: DataFrame, pack, log_bits: int = 23) -> DataFra
     """(key, held): `pack` of the sets of the texts in `keys`, once for each text."""
     keys, shift = keys.distinct(), 64 - log_bits
     bits = sets.sparkSession.sparkContext.broadcast(
-        bitmap(keys.select(F.shiftrightunsigned("key", shift).cast("int").alias("cell")), log_bits))
+        marked_cells(keys.select(F.shiftrightunsigned("key", shift).cast("int").alias("cell")), log_bits))
 
     def run(batches):
         packed = bits.value
