@@ -15,7 +15,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from cutline.llm import bpe, decontam, divergence, pii, resemblance, simhash
-from cutline.llm.common import read
+from cutline.llm.common import read, small_batches
 from cutline.plans.stage import stage
 
 
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles, similarity 0.8, and SimHash links (operator 10)."""
-    return simhash.keep_one(docs, join=partial(resemblance.joined, docs))
+    with small_batches(spark):  # all Python work of this stage is done here
+        return simhash.keep_one(docs, join=partial(resemblance.joined, docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
