@@ -123,16 +123,10 @@ def marked_cells(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray
     return table
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of fewer rows while the block runs jobs: long texts by the ten thousand take much memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand texts over by fewer rows than Spark's thousands, which take much memory."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.set(name, str(rows))
 
 
 def crc32_sql(text: str) -> str:

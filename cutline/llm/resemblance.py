@@ -172,7 +172,11 @@ def met_prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: in
     table = spark.broadcast(heavy_shingles(sets, sample, heavy))
     twice = prefixes(sets, share, table).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     cells = twice.select(F.shiftrightunsigned("h", 64 - MET_BITS).cast("int").alias("cell"))
-    return prefixes(sets, share, table, spark.broadcast(marked_cells(cells, MET_BITS)))
+    only = spark.broadcast(marked_cells(cells, MET_BITS))
+    rows = stage(prefixes(sets, share, table, only), "prefixes")
+    table.unpersist()
+    only.unpersist()
+    return rows
 
 
 def _may_fit(share: tuple[int, int]) -> Column:
@@ -210,7 +214,9 @@ def _held(sets: DataFrame, keys: DataFrame, pack, log_bits: int = 23) -> DataFra
                         [pa.array(found[hit]), pa.array(pack(flat[np.repeat(hit, n)], n[hit]), pa.binary())], names=["key", "held"])
 
     held = sets.select("key", "hashes").mapInArrow(run, "key long, held binary").join(keys, "key", "left_semi")
-    return stage(held.dropDuplicates(["key"]), "held")
+    held = stage(held.dropDuplicates(["key"]), "held")
+    bits.unpersist()
+    return held
 
 
 def _most(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +270,7 @@ def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int =
     `prints` holds (fp, text_key) of every row of `docs`.
     """
     sets = stage(shingle_sets(texts(docs, id_col, text_col), shingle), "sets")
-    rows = stage(met_prefixes(sets, share, sample, heavy), "prefixes")
+    rows = met_prefixes(sets, share, sample, heavy)
     met = (
         rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("pos", "key", "n")).alias("b"))
         .where("low < high").select("h", "b")
