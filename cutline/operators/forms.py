@@ -228,16 +228,16 @@ def to_page_space(items: DataFrame, sheets: DataFrame) -> DataFrame:
     swap = F.col("turn").isin(90, 270)
     rows = items.join(page, ["doc_id", "page"]).withColumns(
         {
-            "kx": F.when(swap, F.col("vh")).otherwise(F.col("vw")) / F.col("disp_w"),
-            "ky": F.when(swap, F.col("vw")).otherwise(F.col("vh")) / F.col("disp_h"),
+            "scale_x": F.when(swap, F.col("vh")).otherwise(F.col("vw")) / F.col("disp_w"),
+            "scale_y": F.when(swap, F.col("vw")).otherwise(F.col("vh")) / F.col("disp_h"),
             "co": F.cos(F.col("rot") * F.lit(math.pi) / 180),
             "si": F.sin(F.col("rot") * F.lit(math.pi) / 180),
         }
     )
-    rows = rows.withColumn("k", (F.col("kx") + F.col("ky")) / 2)
+    rows = rows.withColumn("k", (F.col("scale_x") + F.col("scale_y")) / 2)
     rows = rows.withColumns(
         {
-            "dx": F.col("x") * F.col("kx"), "dy": F.col("y") * F.col("ky"),
+            "dx": F.col("x") * F.col("scale_x"), "dy": F.col("y") * F.col("scale_y"),
             "dw": F.col("w") * F.col("k"), "dh": F.col("h") * F.col("k"),
         }
     )
@@ -261,12 +261,12 @@ def to_page_space(items: DataFrame, sheets: DataFrame) -> DataFrame:
             pick(by + lx, by + ly, by + h - lx, by + h - ly),
         )
 
-    ux, uy = mapped(F.col("ox"), F.col("oy"))
+    origin_x, origin_y = mapped(F.col("ox"), F.col("oy"))
     vx, vy = mapped(F.col("ox") + F.col("co"), F.col("oy") + F.col("si"))
     return rows.select(
-        "item_id", "doc_id", "page", ux.alias("ux"), uy.alias("uy"),
+        "item_id", "doc_id", "page", origin_x.alias("origin_x"), origin_y.alias("origin_y"),
         F.col("dw").alias("draw_w"), F.col("dh").alias("draw_h"),
-        F.degrees(F.atan2(vy - uy, vx - ux)).alias("deg"),
+        F.degrees(F.atan2(vy - origin_y, vx - origin_x)).alias("deg"),
     )
 
 

@@ -79,7 +79,7 @@ def _items(s, d):
 
 def _h9(s, d):
     out = H.to_page_space(_items(s, d), _sheets(s, d))
-    rounded = {c: F.round(c, 6) for c in ("ux", "uy", "draw_w", "draw_h")}
+    rounded = {c: F.round(c, 6) for c in ("origin_x", "origin_y", "draw_w", "draw_h")}
     turn = F.pmod(F.round("deg", 6) + 360, F.lit(360.0))
     return out.withColumns({**rounded, "deg": F.round(turn, 5)})
 
@@ -238,17 +238,17 @@ ORACLE = {
         a AS (SELECT i.*, turn, inset, disp_w, disp_h, p.w - 2 * inset AS vw, p.h - 2 * inset AS vh,
                      cos(radians(i.rot)) AS co, sin(radians(i.rot)) AS si
               FROM items i JOIN pg p ON p.doc_id = i.doc_id AND p.page = i.page),
-        b AS (SELECT *, CASE WHEN turn IN (90, 270) THEN vh ELSE vw END / disp_w AS kx,
-                     CASE WHEN turn IN (90, 270) THEN vw ELSE vh END / disp_h AS ky FROM a),
-        c AS (SELECT *, x * kx AS dx, y * ky AS dy, w * (kx + ky) / 2 AS dw, h * (kx + ky) / 2 AS dh FROM b),
+        b AS (SELECT *, CASE WHEN turn IN (90, 270) THEN vh ELSE vw END / disp_w AS scale_x,
+                     CASE WHEN turn IN (90, 270) THEN vw ELSE vh END / disp_h AS scale_y FROM a),
+        c AS (SELECT *, x * scale_x AS dx, y * scale_y AS dy, w * (scale_x + scale_y) / 2 AS dw, h * (scale_x + scale_y) / 2 AS dh FROM b),
         e AS (SELECT *, dx + dw / 2 - dw / 2 * co - dh / 2 * si AS ox,
                      dy + dh / 2 - dw / 2 * si + dh / 2 * co AS oy FROM c),
-        f AS (SELECT *, {_MX.format(x='ox', y='oy')} AS ux, {_MY.format(x='ox', y='oy')} AS uy,
+        f AS (SELECT *, {_MX.format(x='ox', y='oy')} AS origin_x, {_MY.format(x='ox', y='oy')} AS origin_y,
                      {_MX.format(x='(ox + co)', y='(oy + si)')} AS vx,
                      {_MY.format(x='(ox + co)', y='(oy + si)')} AS vy FROM e)
-        SELECT item_id, doc_id, page, round(ux, 6) AS ux, round(uy, 6) AS uy, round(dw, 6) AS draw_w,
+        SELECT item_id, doc_id, page, round(origin_x, 6) AS origin_x, round(origin_y, 6) AS origin_y, round(dw, 6) AS draw_w,
                round(dh, 6) AS draw_h,
-               round(fmod(round(degrees(atan2(vy - uy, vx - ux)), 6) + 360, 360), 5) AS deg FROM f"""),
+               round(fmod(round(degrees(atan2(vy - origin_y, vx - origin_x)), 6) + 360, 360), 5) AS deg FROM f"""),
     "h10_asset_usage": X.with_tables("items", """
         SELECT a.asset_id, count(i.item_id) AS used
         FROM (SELECT DISTINCT CAST(s_suppkey % 7 AS BIGINT) AS asset_id FROM supplier) a
