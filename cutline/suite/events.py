@@ -47,11 +47,11 @@ def _kept(s, d):
 
 
 def _live_kept(s, d):
-    """The streaming form over the same events, run to the end and read back."""
+    """The streaming form over the same events, run to the end with what is then still held."""
     a = X.assets(s, d)
     keep = stage(B.keep_ranges(a, B.clip_intervals(a, X.cuts(s, d))), "keep")
     out = live.stream_kept_samples(live.sample_stream(s, d), a, keep, X.GAP_36000S)
-    return live.run_to_table(out, "kept").select(*SLIM, "out_us")
+    return live.thin_to_end(out, "kept", X.GAP_36000S).select(*SLIM, "out_us")
 
 
 def _stream(s, d):
@@ -190,7 +190,6 @@ def _passed(sql: str, column: str, rows: str = "events") -> str:
         SELECT * FROM ({sql}) WHERE {column} < 1000 * (SELECT max(epoch_ms(ts)) - 3600000 FROM {rows})"""
 
 
-_PLACED = "1000 * ((SELECT max(t_us) FROM placed) // 1000 - 3600000)"
 ORACLE |= {
     "j1_stream_debounce": f"""
         SELECT asset_id, sample_id, t_us, emit_us FROM ({ORACLE['j1_debounce']})
@@ -200,5 +199,5 @@ ORACLE |= {
     "j4_stream_pending": _passed(
         ORACLE["j4_latest_pending"], "issued_us", "events WHERE event_type IN ('click', 'view', 'purchase')"),
     "j5_stream_superseded": ORACLE["j5_drop_superseded"],
-    "j6_stream_kept_samples": f"{_J6} WHERE t_us < {_PLACED}",
+    "j6_stream_kept_samples": _J6,
 }
