@@ -5,6 +5,9 @@ Walking a container means following offsets through its bytes, which SQL cannot
 do; a small Arrow function per grammar returns the chunk list of each file and
 everything after that is built-in.  Walkers stop at the first header that does not
 fit, so damaged files end early instead of failing the job.
+
+Files are walked in slices of a few megabytes, whose chunks are handed on as columns, so
+that a worker's memory follows the slice (or one large file) and not the Arrow batch.
 """
 
 from __future__ import annotations
@@ -12,14 +15,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from struct import unpack_from
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNKS = (
-    "array<struct<pos:bigint,type:string,size:bigint,hdr:int,"
-    "delay_ms:bigint,plays:bigint,alpha:boolean>>"
-)
+SLICE_BYTES = 2 << 20
+CHUNK = {
+    "pos": pa.int64(), "type": pa.string(), "size": pa.int64(), "hdr": pa.int32(),
+    "delay_ms": pa.int64(), "plays": pa.int64(), "alpha": pa.bool_(),
+}
+CHUNK_COLUMNS = "pos bigint, type string, size bigint, hdr int, delay_ms bigint, plays bigint, alpha boolean"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -129,21 +136,54 @@ WALKERS: dict[str, Callable[[bytes], Iterator[tuple]]] = {
 }
 
 
-def chunk_list(kind: str, content: str = "content") -> Column:
-    """The chunk array of each file."""
-    walk = WALKERS[kind]
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most `limit` bytes in `column` (a longer value comes alone)."""
+    for batch in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(end):
+            base = end[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(end, base + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+        pa.default_memory_pool().release_unused()
 
-    @F.pandas_udf(CHUNKS)
-    def chunks(files: pd.Series) -> pd.Series:
-        names = ("pos", "type", "size", "hdr", "delay_ms", "plays", "alpha")
-        return pd.Series([[dict(zip(names, row)) for row in walk(bytes(b))] for b in files])
 
-    return chunks(content)
+def _walked(files: pa.Array, kind: str) -> tuple[list[int], list[pa.Array]]:
+    """(chunks of each file, the columns of all chunks)."""
+    walk, counts, rows = WALKERS[kind], [], []
+    for b in files:
+        before = len(rows)
+        rows += walk(b.as_py())
+        counts.append(len(rows) - before)
+    columns = zip(*rows) if rows else [()] * len(CHUNK)
+    return counts, [pa.array(c, t) for c, t in zip(columns, CHUNK.values())]
 
 
 def container_chunks(files: DataFrame, kind: str) -> DataFrame:
     """One row per chunk, atom or block."""
-    return files.select("path", F.inline(chunk_list(kind)))
+
+    def run(batches):
+        for part in slices(batches, "content"):
+            counts, columns = _walked(part["content"], kind)
+            path = part["path"].take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([path, *columns], names=["path", *CHUNK])
+
+    return files.select("path", "content").mapInArrow(run, f"path string, {CHUNK_COLUMNS}")
+
+
+def with_chunk_list(files: DataFrame, kind: str) -> DataFrame:
+    """(path, content, chunks): each file with the array of its chunks."""
+
+    def run(batches):
+        for part in slices(batches, "content"):
+            counts, columns = _walked(part["content"], kind)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=list(CHUNK)))
+            yield pa.RecordBatch.from_arrays([part["path"], part["content"], lists], names=["path", "content", "chunks"])
+
+    return files.select("path", "content").mapInArrow(
+        run, f"path string, content binary, chunks array<struct<{CHUNK_COLUMNS.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def chunk_crc_audit(files: DataFrame) -> DataFrame:
@@ -160,7 +200,7 @@ def chunk_crc_audit(files: DataFrame) -> DataFrame:
                  as stored))"""
     )
     return (
-        files.withColumn("chunks", chunk_list("png"))
+        with_chunk_list(files, "png")
         .select("path", F.inline(checked))
         .withColumn("ok", F.col("crc") == F.col("stored"))
     )

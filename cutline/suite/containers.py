@@ -10,7 +10,7 @@ from __future__ import annotations
 import zlib
 from struct import pack
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cutline import fixtures as X
@@ -67,14 +67,16 @@ def files(spark, sf, kind):
     """(path, content) of one container per document."""
     build = BUILDERS[kind]
 
-    @F.pandas_udf("binary")
-    def content(text: pd.Series, bad: pd.Series) -> pd.Series:
-        return pd.Series([build(t.encode().split(b"\n"), b) for t, b in zip(text, bad)])
+    def run(batches):
+        for part in A.slices(batches, "text"):
+            texts, bad = part["text"].cast(pa.binary()).to_pylist(), part["bad"].to_pylist()
+            content = pa.array([build(t.split(b"\n"), b) for t, b in zip(texts, bad)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["path"], content], names=["path", "content"])
 
     return X.table(spark, sf, "documents").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("path"),
-        content("text", F.col("doc_id") % 20 == 0).alias("content"),
-    )
+        F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("path"), "text",
+        (F.col("doc_id") % 20 == 0).alias("bad"),
+    ).mapInArrow(run, "path string, content binary")
 
 
 def _chunks(s, d, kind):
