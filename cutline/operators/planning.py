@@ -240,14 +240,15 @@ def size_report(runs: DataFrame) -> DataFrame:
 def evict_cold(items: DataFrame, keep_n: int = 24) -> DataFrame:
     """items(doc_id, item_id, last_seen, visible): what to drop so keep_n remain.
 
-    Only invisible items go, least recently seen first.
+    Only invisible items go, least recently seen first.  Both sides of the join grow with the
+    documents, so neither is broadcast; adaptive execution splits a hot document.
     """
     over = items.groupBy("doc_id").agg(F.count("*").alias("total")).where(F.col("total") > keep_n)
     cold = S.Scan(items.where(~F.col("visible")), ["doc_id"], ["last_seen", "item_id"]).run(
         ix=S.row_index()
     )
     return (
-        cold.df.join(over, "doc_id")
+        cold.df.join(over.hint("merge"), "doc_id")
         .where(F.col("ix") < F.col("total") - keep_n)
         .select("doc_id", "item_id", "last_seen")
     )
