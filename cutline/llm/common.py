@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.plans.stage import stage
+
 SLICE_BYTES = 2 << 20
 SPACE = b" \t\n\v\f\r"
 
@@ -115,8 +117,8 @@ def marked_cells(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray
         if now is not None:
             yield row()
 
-    rows = cells.distinct().repartition(F.shiftright("cell", block)).sortWithinPartitions("cell").mapInArrow(
-        pack, "block int, bits binary")
+    rows = stage(cells.distinct().repartition(F.shiftright("cell", block)).sortWithinPartitions("cell").mapInArrow(
+        pack, "block int, bits binary"), "cells")
     table = np.zeros(max(1 << log_bits, size) >> 3, np.uint8)
     for r in rows.toLocalIterator():
         table[r.block * (size >> 3):(r.block + 1) * (size >> 3)] = np.frombuffer(r.bits, np.uint8)

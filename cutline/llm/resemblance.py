@@ -15,6 +15,11 @@ intersection of their sets is at least SHARE (4/5) of the union.
 3. Rest.  Of all other pairs that share one, those not yet in one component are compared.
    Pairs within a component are not even formed, so a crowd of copies costs its stars.
 
+Near copies have nothing in common before the first shingle they share, so behind its places there
+is room for the whole intersection.  A row whose own place leaves too little room, even for the
+smallest set of its crowd, is dropped, and so is a pair at such places: a text with many
+shingles of its own does not meet the crowd of which it is a distant copy.
+
 Candidates are cut by the sizes of the sets and by the places of the shared shingle, then by
 counts of hashes in 256 bins, all bounds of the intersection; then the sets themselves decide.
 
@@ -186,6 +191,18 @@ def _may_fit(share: tuple[int, int]) -> Column:
     return most.cast("long") * sum(share) >= (F.col("a.n").cast("long") + F.col("b.n")) * share[0]
 
 
+def _has_room(share: tuple[int, int]) -> Column:
+    """Can the shingle be the first one that this row shares with any of its crowd's, of `least` shingles or more?"""
+    n = F.col("n").cast("long")
+    return (n - F.col("pos")) * sum(share) >= (n + F.col("least")) * share[0]
+
+
+def _may_be_first(share: tuple[int, int]) -> Column:
+    """Can the shingle at these places be the first one that a and b share, if they are near copies?"""
+    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return room.cast("long") * sum(share) >= (F.col("a.n").cast("long") + F.col("b.n")) * share[0]
+
+
 def _bins(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Counts of the hashes of every row in 256 bins, at most 255 each."""
     cell = np.repeat(np.arange(len(n)), n) * 256 + (flat & np.uint64(255)).astype(np.int64)
@@ -272,12 +289,13 @@ def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int =
     sets = stage(shingle_sets(texts(docs, id_col, text_col), shingle), "sets")
     rows = met_prefixes(sets, share, sample, heavy)
     met = (
-        rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("pos", "key", "n")).alias("b"))
-        .where("low < high").select("h", "b")
+        rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("n").alias("least"),
+                             F.min(F.struct("pos", "key", "n")).alias("b"))
+        .where("low < high").select("h", "b", "least")
     )
     names = prints.select(F.col("text_key").alias("key"), "fp").distinct()
     crowds = stage(
-        rows.join(met, "h").join(names, "key").select("h", "key", "fp", "n", "pos", "b").dropDuplicates(["h", "key"]), "crowds")
+        rows.join(met, "h").where(_has_room(share)).join(names, "key").select("h", "key", "fp", "n", "pos", "b").dropDuplicates(["h", "key"]), "crowds")
     bins = _held(sets, crowds.select("key"), _bins)
 
     ends = [F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")]
@@ -297,7 +315,7 @@ def joined(docs: DataFrame, prints: DataFrame, links: DataFrame, shingle: int =
     present = placed.groupBy("h", F.col("fp").alias("other")).agg(F.lit(1).alias("one")).drop("one")
     rest = (
         placed.join(present, "h").where("fp < other").alias("a")
-        .join(placed.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.other") == F.col("b.fp")) & _may_fit(share))
+        .join(placed.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.other") == F.col("b.fp")) & _may_be_first(share))
         .select(*ends).distinct()
     )
     more = verified(rest, bins, sets, share)

@@ -4,7 +4,8 @@ A scan reads its input up to three times (rows, totals of split keys, split
 points).  A result that feeds another scan is therefore written once, below the
 folder the cluster names in `spark.checkpoint.dir`, and read back: lineage ends
 there, lost executors recompute only what follows, columns stay prunable, and the
-file size lets the planner decide on a broadcast by itself.
+file size lets the planner decide on a broadcast by itself.  What was shuffled for it is
+deleted as soon as it is written, not when the driver next collects garbage.
 
 All tables of a session lie in one folder, which `drop_staged` deletes; results not yet
 computed need it until then.
@@ -17,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -37,7 +39,15 @@ def stage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once and return the stored table."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
