@@ -50,7 +50,7 @@ def _live_kept(s, d):
     """The streaming form over the same events, run to the end with what is then still held."""
     a = X.assets(s, d)
     keep = stage(B.keep_ranges(a, B.clip_intervals(a, X.cuts(s, d))), "keep")
-    out = live.stream_kept_samples(live.sample_stream(s, d), a, keep, X.GAP_36000S)
+    out = live.stream_kept_samples(live.sample_stream(s, d), a, keep, X.GAP_36000S, buckets=live.BUCKETS)
     return live.thin_to_end(out, "kept", X.GAP_36000S).select(*SLIM, "out_us")
 
 
@@ -62,18 +62,19 @@ def _stream(s, d):
 
 
 def _live_coalesce(s, d):
-    return live.run_to_table(live.stream_coalesce(_stream(s, d).select(*SLIM, "edit_key", "ts"), X.GAP_6H), "coalesce")
+    return live.run_to_table(live.stream_coalesce(
+        _stream(s, d).select(*SLIM, "edit_key", "ts"), X.GAP_6H, buckets=live.BUCKETS), "coalesce")
 
 
 def _live_throttle(s, d):
-    rows = live.stream_thin(_stream(s, d).select(*SLIM, "ts"), X.GAP_36000S, 0)
+    rows = live.stream_thin(_stream(s, d).select(*SLIM, "ts"), X.GAP_36000S, 0, buckets=live.BUCKETS)
     return live.run_to_table(rows, "throttle").select(*SLIM)
 
 
 def _live_pending(s, d):
     asked = F.col("event_type").isin("click", "view", "purchase")
     return live.run_to_table(
-        live.stream_latest_pending(_stream(s, d).where(asked).select(*SLIM, "done", "ts")), "pending")
+        live.stream_latest_pending(_stream(s, d).where(asked).select(*SLIM, "done", "ts"), buckets=live.BUCKETS), "pending")
 
 
 def _live_debounce(s, d):
