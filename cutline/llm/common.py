@@ -87,11 +87,7 @@ def bitmap(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
 
     blocks = cells.groupBy(F.shiftright("cell", block).alias("block")).agg(
         F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << block) - 1))).alias("cells"))
-    table = np.zeros(max(1 << log_bits, 1 << block) >> 3, np.uint8)
-    step = 1 << (block - 3)
-    for row in blocks.mapInArrow(pack, "block int, bits binary").toLocalIterator():
-        table[row.block * step:(row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return table
+    return gathered(blocks.mapInArrow(pack, "block int, bits binary"), log_bits, block)
 
 
 def marked_cells(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray:
@@ -119,9 +115,15 @@ def marked_cells(cells: DataFrame, log_bits: int, block: int = 16) -> np.ndarray
 
     rows = stage(cells.distinct().repartition(F.shiftright("cell", block)).sortWithinPartitions("cell").mapInArrow(
         pack, "block int, bits binary"), "cells")
-    table = np.zeros(max(1 << log_bits, size) >> 3, np.uint8)
+    return gathered(rows, log_bits, block)
+
+
+def gathered(rows: DataFrame, log_bits: int, block: int) -> np.ndarray:
+    """The 2^log_bits bits of which `rows` (block, bits) hold blocks of 2^block; the others are 0."""
+    step = 1 << (block - 3)
+    table = np.zeros(max(1 << log_bits, 1 << block) >> 3, np.uint8)
     for r in rows.toLocalIterator():
-        table[r.block * (size >> 3):(r.block + 1) * (size >> 3)] = np.frombuffer(r.bits, np.uint8)
+        table[r.block * step:(r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
     return table
 
 

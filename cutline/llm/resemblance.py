@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import marked_cells, raw, slices, texts
+from cutline.llm.common import gathered, marked_cells, raw, slices, texts
 from cutline.llm.components import components
 from cutline.llm.windows import Roller, WordHashes, inside
 from cutline.plans.stage import stage
@@ -137,6 +137,22 @@ def heavy_shingles(sets: DataFrame, sample: int, heavy: int) -> tuple[np.ndarray
     return h[order], top.column("n").to_numpy().astype(np.int64)[order]
 
 
+def _first_shingles(batches, share: tuple[int, int], table):
+    """(keys, set sizes, hashes, their rows, their places) of the prefixes in batches of sets."""
+    known, count = table.value
+    for batch in batches:
+        for keys, flat, n in _lists(batch):
+            row = np.repeat(np.arange(len(n)), n)
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                weight = np.where(known[spot] == flat, count[spot], 0)
+                flat = flat[np.lexsort((weight, row))]  # stable: equal counts stay in the order of the hashes
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = n + (-share[0] * n) // share[1] + 1
+            use = np.flatnonzero(pos < first[row])
+            yield keys, n, flat[use], row[use], pos[use]
+
+
 def prefixes(sets: DataFrame, share: tuple[int, int], table, only=None, log_bits: int = MET_BITS) -> DataFrame:
     """(h, key, n, pos): the prefix shingles of every text, its set's size and their places.
 
@@ -145,39 +161,80 @@ def prefixes(sets: DataFrame, share: tuple[int, int], table, only=None, log_bits
     shift = np.uint64(64 - log_bits)
 
     def run(batches):
-        known, count = table.value
-        for batch in batches:
-            for keys, flat, n in _lists(batch):
-                row = np.repeat(np.arange(len(n)), n)
-                if len(known):
-                    spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    weight = np.where(known[spot] == flat, count[spot], 0)
-                    flat = flat[np.lexsort((weight, row))]  # stable: equal counts stay in the order of the hashes
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                first = n + (-share[0] * n) // share[1] + 1
-                use = np.flatnonzero(pos < first[row])
-                if only is not None:
-                    cell = (flat[use] >> shift).astype(np.int64)
-                    use = use[(only.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[use].view(np.int64)), pa.array(keys[row[use]]),
-                     pa.array(n[row[use]].astype(np.int32)), pa.array(pos[use].astype(np.int32))],
-                    names=["h", "key", "n", "pos"])
+        for keys, n, h, row, pos in _first_shingles(batches, share, table):
+            if only is not None:
+                cell = (h >> shift).astype(np.int64)
+                use = (only.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                h, row, pos = h[use], row[use], pos[use]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(keys[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
+                names=["h", "key", "n", "pos"])
 
     return sets.select("key", "hashes").mapInArrow(run, "h long, key long, n int, pos int")
 
 
+def met_cells(sets: DataFrame, share: tuple[int, int], table, log_bits: int = MET_BITS, block: int = 16) -> np.ndarray:
+    """Bytes in which bit k says whether cell k has a prefix shingle of more than one row of `sets`.
+
+    Hashes travel many to a row, by blocks of cells, each at most twice from `VALUES` hashes: the
+    executors' heap holds few rows, and a shingle of very many texts is no large group.
+    """
+    size, shift = 1 << block, 64 - log_bits
+
+    def deal(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values = np.repeat(values, np.minimum(n, 2))
+        group = (values >> np.uint64(shift + block)).astype(np.int32)
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = (np.append(start, len(values)) * 8).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+        return pa.RecordBatch.from_arrays([pa.array(group[start]), packed], names=["block", "hashes"])
+
+    def run(batches):
+        held, n = [], 0
+        for _, _, h, _, _ in _first_shingles(batches, share, table):
+            held.append(h)
+            n += len(h)
+            if n >= VALUES:
+                yield deal(held)
+                held, n = [], 0
+        if n:
+            yield deal(held)
+
+    def row(now, held):
+        values = np.sort(np.concatenate(held))
+        bits = np.zeros(size, np.uint8)
+        bits[(values[1:][values[1:] == values[:-1]] >> np.uint64(shift)).astype(np.int64) & (size - 1)] = 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+            names=["block", "bits"])
+
+    def mark(batches):
+        now, held = None, []
+        for batch in batches:
+            for group, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if group != now:
+                    if held:
+                        yield row(now, held)
+                    now, held = group, []
+                held.append(np.frombuffer(packed.as_py(), np.uint64))
+        if held:
+            yield row(now, held)
+
+    dealt = sets.select("key", "hashes").mapInArrow(run, "block int, hashes binary")
+    rows = stage(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(mark, "block int, bits binary"), "cells")
+    return gathered(rows, log_bits, block)
+
+
 def met_prefixes(sets: DataFrame, share: tuple[int, int], sample: int, heavy: int) -> DataFrame:
     """The prefix shingles that more than one row has.
 
-    They are counted first, by hash alone; a bitmap of their cells, of fixed size, then keeps
+    They are looked for first, by hash alone; a bitmap of their cells, of fixed size, then keeps
     nearly all others out of what is stored.  Its false hits are harmless.
     """
     spark = sets.sparkSession.sparkContext
     table = spark.broadcast(heavy_shingles(sets, sample, heavy))
-    twice = prefixes(sets, share, table).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    cells = twice.select(F.shiftrightunsigned("h", 64 - MET_BITS).cast("int").alias("cell"))
-    only = spark.broadcast(marked_cells(cells, MET_BITS))
+    only = spark.broadcast(met_cells(sets, share, table))
     rows = stage(prefixes(sets, share, table, only), "prefixes")
     table.unpersist()
     only.unpersist()
