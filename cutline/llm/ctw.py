@@ -1,15 +1,16 @@
 """Language-model scores by context-tree weighting (operator 8).
 
-A byte is eight binary decisions, each with its own context tree over the two bytes before
+A byte is eight binary decisions, each with its own context tree over the `depth` bytes before
 it.  A node of a tree holds how often its bit was 0 and 1 in the training texts; its
 Krichevsky-Trofimov estimate is mixed with that of the deeper nodes by the weights of the
 context-tree recursion: half the node's own block probability, half the product of its
 children's.  With the counts of the training texts the next-bit mixture is exact.
 
 Counting is one pass: every batch gives its byte-trigram and word counts, Spark adds them
-up.  There are at most 2^24 trigrams, which bounds the tree, what the driver holds while it
-mixes, and the table that is broadcast (in practice a few megabytes).  Scoring looks up one
-entry per byte.
+up.  There are at most 2^24 trigrams, which bounds the tree over two bytes, what the driver holds
+while it mixes, and the table that is broadcast (in practice a few megabytes).  With two bytes
+scoring looks up one entry per byte; nodes below are counted and mixed in tasks, and texts get
+the probabilities of their bytes from there (`context_trees`).  The query uses `DEEP` bytes.
 
 The base score is an add-one unigram model over lower-cased words and one end per text.
 The most frequent training words (a bounded number of bounded length) are looked up in a
@@ -31,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import id_crc, raw, read, segment_sums, slices, texts
+from cutline.llm import context_trees as trees
+from cutline.llm.common import id_crc, raw, read, segment_sums, slices, small_batches, texts
 from cutline.plans.stage import stage
 
 END = 0xFF  # no byte of UTF-8: ends a text, and stands for what precedes one
 DEPTH = 2
+DEEP = 5  # of the query
 
 
 def held_out(fold: int = 7, part: int = 2) -> Column:
@@ -144,6 +147,61 @@ def mix_tree(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, table
 
 
+def top_tree(code: np.ndarray, count: np.ndarray, node: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row of each two-byte context, parts of the chance of 0, of 1, factor of the chance given three bytes).
+
+    As `mix_tree`, with nodes of two bytes above deeper ones, whose log weights sum to `weight` (see `context_trees.below`).
+    """
+    two, back = np.unique(code >> 8, return_inverse=True)
+    leaf = np.zeros((len(two), 256))
+    np.add.at(leaf, (back, code & 255), count)
+    one, up = np.unique(two & 255, return_inverse=True)
+    mid = np.zeros((len(one), 256))
+    np.add.at(mid, up, leaf)
+    near = node // 255
+    older_first = (near & 255) << 8 | near >> 8
+    spot = np.minimum(np.searchsorted(two, older_first), max(len(two) - 1, 0))
+    seen = two[spot] == older_first if len(two) else np.zeros(len(node), bool)  # contexts of held-out texts alone weigh nothing
+    deep = np.zeros((len(two), 255))
+    deep[spot[seen], node[seen] % 255] = weight[seen]
+
+    half = math.log(0.5)
+    below, stop_two, kt_two = np.zeros((len(one), 255)), np.empty((len(two), 255), np.float32), np.empty((len(two), 255))
+    for a in range(0, len(two), 4096):
+        counts = _bit_counts(leaf[a:a + 4096])
+        block = _block(counts)
+        weighted = half + np.logaddexp(block, deep[a:a + 4096])
+        stop_two[a:a + 4096] = np.exp(half + block - weighted)
+        kt_two[a:a + 4096] = _next(counts)
+        np.add.at(below, up[a:a + 4096], weighted)
+    counts = _bit_counts(mid)
+    block, kt_one = _block(counts), _next(counts)
+    weighted = half + np.logaddexp(block, below)
+    stop_one = np.exp(half + block - weighted)
+    counts = _bit_counts(mid.sum(axis=0, keepdims=True))
+    block, kt_root = _block(counts), _next(counts)
+    stop_root = np.exp(block - np.logaddexp(block, weighted.sum(axis=0, keepdims=True)))
+
+    size = len(two) + len(one) + 1
+    zeros, ones, rest = (np.empty((size, 255), np.float32) for _ in range(3))
+
+    def put(at, s1, k1, s2, k2):
+        go = (1 - stop_root) * (1 - s1)
+        ones[at] = stop_root * kt_root + (1 - stop_root) * s1 * k1 + go * s2 * k2
+        zeros[at] = stop_root * (1 - kt_root) + (1 - stop_root) * s1 * (1 - k1) + go * s2 * (1 - k2)
+        rest[at] = go * (1 - s2)
+
+    for a in range(0, len(two), 4096):
+        m = up[a:a + 4096]
+        put(slice(a, a + len(m)), stop_one[m], kt_one[m], stop_two[a:a + 4096], kt_two[a:a + 4096])
+    put(slice(len(two), size - 1), stop_one, kt_one, 0.5, 0.5)
+    put(slice(size - 1, size), 0.5, 0.5, 0.5, 0.5)
+    row = np.full(1 << 16, size - 1, np.int32)
+    row.reshape(256, 256)[:, one] = len(two) + np.arange(len(one))
+    row[two] = np.arange(len(two))
+    return row, zeros, ones, rest
+
+
 def corpus_counts(train: DataFrame) -> DataFrame:
     """(word, code, n): word counts (code null; '' is the end of a text) and trigram counts (word null)."""
 
@@ -170,26 +228,61 @@ def corpus_counts(train: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, fold: int = 7, part: int = 2, frequent: int = 100_000, max_bytes: int = 64,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+          id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every text.
 
     Training texts are those not held out.  -score / n_bytes * log2(10) is the code length
-    in bits per byte, the end counted as one byte.
+    in bits per byte, the end counted as one byte.  `depth` is the number of bytes of context, 2 to 7;
+    above 2 `docs` is read more than once and the session takes small batches.
     """
+    if not 2 <= depth <= 7:
+        raise ValueError("the depth must be from 2 to 7")
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("held_out", held_out(fold, part))
     counts = stage(corpus_counts(rows.where(~F.col("held_out"))), "counts")
     grams = counts.where("code is not null").select("code", "n").toArrow()  # at most 2^24 rows
     words = counts.where("word is not null").select("word", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    row_of, table = mix_tree(grams["code"].to_numpy().astype(np.int64), grams["n"].to_numpy().astype(np.float64))
+    code, times = grams["code"].to_numpy().astype(np.int64), grams["n"].to_numpy().astype(np.float64)
     top = (
         words.where(F.octet_length("word") <= max_bytes)
         .orderBy(F.desc("n"), "word").limit(frequent).collect()
     )
-    model = spark.sparkContext.broadcast((row_of, table, {r.word.encode(): r.n for r in top}))
+    frequent_words = {r.word.encode(): r.n for r in top}
+    if depth == 2:
+        model = spark.sparkContext.broadcast((*mix_tree(code, times), frequent_words))
+    else:
+        small_batches(spark)
+        rows = rows.withColumn("bucket", trees.bucket(rows))
+        ask = trees.asked(rows, depth)
+        sums = trees.below(ask, depth, _block).toArrow()  # at most 2^24 rows
+        above = spark.sparkContext.broadcast(top_tree(code, times, sums["node"].to_numpy().astype(np.int64), sums["weight"].to_numpy()))
+        replies = trees.answers(ask, depth, _block, above)
+        model = spark.sparkContext.broadcast(frequent_words)
     scale = math.log10(total + kinds + 1)
 
+    def lines(part_rows, data, bits, lens, ones, key):
+        out = []
+        for t in data:
+            tokens = t.split()
+            tokens.append(b"")
+            base, sure, rare = 0.0, 0, []
+            for w, n in Counter(tokens).items():
+                one = ones.get(w)
+                if one is None:
+                    rare.append({"word": w.decode("utf-8", "replace"), "tf": n})
+                else:
+                    base += n * one
+                    sure += n
+            out.append((len(tokens), sure, base, rare))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(key, key + len(data)), pa.int64()), part_rows.column(0), part_rows.column(2),
+             pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+             pa.array([o[2] for o in out], pa.float64()), pa.array(bits, pa.float64()),
+             pa.array(lens, pa.int64()),
+             pa.array([o[3] for o in out], pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
+            names=["key", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "n_bytes", "rare"])
+
     def run(batches):
         row_of, table, known = model.value
         ones = {w: math.log10(n + 1) - scale for w, n in known.items()}
@@ -200,31 +293,28 @@ def score(docs: DataFrame, fold: int = 7, part: int = 2, frequent: int = 100_000
                 data = [t.lower() for t in raw(part_rows, "text")]
                 before, byte, lens = contexts(data)
                 bits = segment_sums(flat[row_of[before].astype(np.int64) << 8 | byte].astype(np.float64), lens)
-                out = []
-                for t in data:
-                    tokens = t.split()
-                    tokens.append(b"")
-                    base, sure, rare = 0.0, 0, []
-                    for w, n in Counter(tokens).items():
-                        one = ones.get(w)
-                        if one is None:
-                            rare.append({"word": w.decode("utf-8", "replace"), "tf": n})
-                        else:
-                            base += n * one
-                            sure += n
-                    out.append((len(tokens), sure, base, rare))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(key, key + len(data)), pa.int64()), part_rows.column(0), part_rows.column(2),
-                     pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                     pa.array([o[2] for o in out], pa.float64()), pa.array(bits, pa.float64()),
-                     pa.array(lens, pa.int64()),
-                     pa.array([o[3] for o in out], pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
-                    names=["key", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "n_bytes", "rare"])
+                yield lines(part_rows, data, bits, lens, ones, key)
                 key += len(data)
 
-    scored = stage(rows.mapInArrow(
-        run, "key long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, "
-             "n_bytes long, rare array<struct<word:string,tf:long>>"), "scored")
+    def run_deep(left, right):
+        ones = {w: math.log10(n + 1) - scale for w, n in model.value.items()}
+        of, made = trees.looked_up(right), []
+        key = left.column("bucket")[0].as_py() << 40
+        for batch in left.select(["doc_id", "text", "held_out"]).to_batches():
+            for part_rows in slices(batch, "text"):
+                data = [t.lower() for t in raw(part_rows, "text")]
+                code, lens = trees.codes(data, depth)
+                made.append(lines(part_rows, data, segment_sums(of(code), lens), lens, ones, key))
+                key += len(data)
+        return pa.Table.from_batches(made)
+
+    kinds_out = ("key long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, "
+                 "n_bytes long, rare array<struct<word:string,tf:long>>")
+    if depth == 2:
+        scored = rows.mapInArrow(run, kinds_out)
+    else:
+        scored = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(run_deep, kinds_out)
+    scored = stage(scored, "scored")
     rare = (
         scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.tf")
         .join(words, "word", "left")
@@ -240,7 +330,7 @@ def score(docs: DataFrame, fold: int = 7, part: int = 2, frequent: int = 100_000
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both scores of all documents, from the six sevenths not held out."""
-    return score(read(spark, sf_dir, "documents")).drop("n_bytes")
+    return score(read(spark, sf_dir, "documents"), depth=DEEP).drop("n_bytes")
 
 
 QUERIES = {"op8_lm_score": op8_lm_score}
